@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import Protocol
@@ -56,9 +57,9 @@ class HashingEmbedder:
     def encode(self, texts: list[str]) -> np.ndarray:
         out = np.zeros((len(texts), self.dim))
         for row, text in zip(out, texts):
-            for token in re.findall(r"\w+", (text or "").lower()):
+            for token, times in Counter(re.findall(r"\w+", (text or "").lower())).items():
                 at, sign = _slot(token, self.dim)
-                row[at] += sign
+                row[at] += sign * times
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
 

@@ -13,6 +13,7 @@ has to fit anywhere as a whole.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -63,6 +64,37 @@ class DenseKernel:
         return np.round(rank, SCORE_DIGITS), None
 
 
+@dataclass(frozen=True)
+class FilteredKernel:
+    """Inner product over rows whose text holds every word the question asks for.
+
+    Payloads are structs: ``vec`` and ``words`` for questions, ``vec`` and ``text``
+    for the corpus.
+    """
+
+    def load(self, questions: pa.Table) -> Any:
+        payload = questions["payload"].combine_chunks()
+        return _matrix(payload.field("vec")), payload.field("words").to_pylist()
+
+    def width(self, loaded: Any) -> int:
+        return len(loaded[0])
+
+    def scores(self, loaded: Any, payload: pa.Array):
+        vectors, wanted = loaded
+        rank = np.round(_matrix(payload.field("vec")) @ vectors.T, SCORE_DIGITS)
+        lowered = pc.utf8_lower(payload.field("text"))
+        holds = {
+            word: pc.match_substring_regex(
+                lowered, rf"(^|[^\p{{L}}\p{{N}}_]){re.escape(word)}($|[^\p{{L}}\p{{N}}_])"
+            ).to_numpy(zero_copy_only=False).astype(bool)
+            for word in {w for words in wanted for w in words}
+        }
+        for q, words in enumerate(wanted):
+            for word in words:
+                rank[~holds[word], q] = -np.inf
+        return rank, None
+
+
 @dataclass(frozen=True)
 class QuantisedKernel:
     """Coarse int8 ranking; the exact score is computed for the coarse winners only."""
