@@ -16,9 +16,12 @@ def _id63(name: str) -> int:
     return int.from_bytes(hashlib.blake2b(name.encode(), digest_size=8).digest(), "big") & (2**63 - 1)
 
 
-@F.pandas_udf("long")
-def _ids(names: pd.Series) -> pd.Series:
-    return names.map(_id63)
+def _ids(names: Column) -> Column:
+    @F.pandas_udf("long")
+    def hashed(batch: pd.Series) -> pd.Series:
+        return batch.map(_id63)
+
+    return hashed(names)
 
 
 # The name formats of parent and child identifiers.

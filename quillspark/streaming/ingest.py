@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from quillspark.functions import models
 from quillspark.functions.chunking import ARTICLE_BOUNDARY
@@ -36,4 +35,4 @@ def ingest_stream(
         append_new(done.parents, parents_path, "parent_id", ["doc_id"], cfg.shard_rows)
         append_new(done.children, children_path, "cid", ["doc_id", "parent_index", "child_index"], cfg.shard_rows)
 
-    drain_batches(content.withColumn("doc_id", F.col("doc_id")), "ingest", apply)
+    drain_batches(content, "ingest", apply)
