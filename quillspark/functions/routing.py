@@ -68,7 +68,8 @@ CHITCHAT_REPLY = (
     "hoặc hướng dẫn thủ tục pháp lý. Bạn cần hỗ trợ gì?"
 )
 
-_FLAGS = "(?iuU)"
+# Case-insensitive and Unicode-aware; "." stops at line feeds only.
+_FLAGS = "(?iuUd)"
 
 
 def rule_intent(question: Column, rules: Mapping[str, Sequence[str]] = RULES) -> Column:

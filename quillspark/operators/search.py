@@ -218,6 +218,8 @@ def _candidates(questions: DataFrame, corpus: DataFrame, kernel, k: int, max_row
     spark = questions.sparkSession
 
     head = questions.limit(max_rows + 1).toArrow()
+    if head.num_rows == 0:
+        return spark.createDataFrame([], ddl)
     if head.num_rows <= max_rows and head.nbytes <= max_bytes:
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, head.schema) as writer:

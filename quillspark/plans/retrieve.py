@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 
 from quillspark import settings as S
 from quillspark.functions import models, routing
-from quillspark.functions.text import contains_any, fold, or_empty, strip, tokens
+from quillspark.functions.text import contains_any, or_empty, strip, tokens
 from quillspark.operators.dedup import merge_best
 from quillspark.operators.joins import attach_parent_text, filtered_else_all
 from quillspark.operators.ranking import rank_bounded, top_k_per_key
 from quillspark.operators.search import DenseKernel, FilteredKernel, search
+from quillspark.session import stored
 
 HIT_COLUMNS = ["qid", "cid", "score", "seq"]
 DOC_COLUMNS = ["text", "parent_id", "title", "url", "legal_type"]
@@ -42,22 +43,6 @@ class Index:
         return hits.join(self.points.select("cid", *DOC_COLUMNS), "cid")
 
 
-def numbered(queries: Column) -> list[Column]:
-    return [F.posexplode(queries).alias("ask_no", "query")]
-
-
-def vector_search(index: Index, asks: DataFrame, k: int) -> DataFrame:
-    """Hits of several queries per qid, merged by best score.
-
-    ``asks`` has qid, ask_no and query (or a ready ``payload`` vector).
-    """
-    if "payload" not in asks.columns:
-        asks = asks.withColumn("payload", models.embed(F.col("query"), index.embedder))
-    named = asks.withColumn("_ask", F.concat_ws("|", "qid", "ask_no"))
-    found = search(named.select(F.col("_ask").alias("qid"), "payload"), index.corpus(), k, DenseKernel())
-    return merge_asks(found, named)
-
-
 def merge_asks(found: DataFrame, named: DataFrame) -> DataFrame:
     """Union of the ranked lists of a qid, one row per document, in score order."""
     rows = found.withColumnRenamed("qid", "_ask").join(named.select("_ask", "qid", "ask_no"), "_ask")
@@ -77,18 +62,19 @@ def rerank(
 
     With a scorer: the first ``cap`` candidates in arrival order, blank texts
     dropped, ranked by sigmoid score.  Without one: all candidates by vector score.
-    ``candidates`` has qid, question, cid, text, score, seq.
+    ``candidates`` has qid, question, cid, text, score, seq, and optionally ``keep``,
+    a smaller width for single questions.
     """
-    if scorer is None:
-        return top_k_per_key(candidates, ["qid"], [F.col("score").desc(), F.col("seq")], k)
     body = F.col("text")
     if "child_text" in candidates.columns:
         body = F.coalesce(F.nullif(F.col("child_text"), F.lit("")), body)
-    first = top_k_per_key(candidates, ["qid"], [F.col("seq")], cap, "_arrived").drop("_arrived")
-    scored = first.where(strip(or_empty(body)) != "").withColumn(
-        "score", models.sigmoid(scorer.logits(F.col("question"), body))
-    )
-    return top_k_per_key(scored, ["qid"], [F.col("score").desc(), F.col("seq")], k)
+    if scorer is not None:
+        first = top_k_per_key(candidates, ["qid"], [F.col("seq")], cap, "_arrived").drop("_arrived")
+        candidates = first.where(strip(or_empty(body)) != "").withColumn(
+            "score", models.sigmoid(scorer.logits(F.col("question"), body))
+        )
+    ranked = top_k_per_key(candidates, ["qid"], [F.col("score").desc(), F.col("seq")], k)
+    return ranked.where(F.col("rank") <= F.col("keep")).drop("keep") if "keep" in ranked.columns else ranked
 
 
 def boost(score: Column, text: Column, words=routing.PROCEDURE_WORDS, bonus: float = S.KEYWORD_BONUS) -> Column:
@@ -97,141 +83,168 @@ def boost(score: Column, text: Column, words=routing.PROCEDURE_WORDS, bonus: flo
     return F.when(contains_any(lowered, [w.lower() for w in words]), score + bonus).otherwise(score)
 
 
-def _with_question(hits: DataFrame, questions: DataFrame) -> DataFrame:
-    return hits.join(questions.select("qid", "question"), "qid")
+def hop_question(second: Column, texts: Column) -> Column:
+    """Second sub-question extended by the start of the best texts of the first hop."""
+    context = strip(F.array_join(F.transform(texts, lambda t: F.left(t, F.lit(S.HOP_CONTEXT_CHARS))), " "))
+    return F.when(context != "", F.concat(second, F.lit(" [ngữ cảnh: "), context, F.lit("]"))).otherwise(second)
 
 
-def lookup(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    queries = F.concat(F.array("question"), F.col("expanded_queries"))
-    hits = vector_search(index, questions.select("qid", *numbered(queries)), k)
-    return rerank(_with_question(index.with_text(hits), questions), index.scorer, k)
+def strategy_of(intent: Column, sub_entities: Column) -> Column:
+    """Strategy of a question; comparisons and chains without parts are plain lookups."""
+    parts = F.size(sub_entities)
+    return (
+        F.when((intent == "COMPARE") & (parts > 0), F.lit("compare"))
+        .when(intent == "SUMMARIZE", F.lit("summarize"))
+        .when(intent == "PROCEDURE", F.lit("procedure"))
+        .when(intent == "DEFINITION", F.lit("definition"))
+        .when((intent == "MULTI_HOP") & (parts >= 2), F.lit("multi_hop"))
+        .otherwise(F.lit("lookup"))
+    )
 
 
-def compare(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """One search per compared thing; a document stays with the thing it fits best."""
-    things = questions.withColumn(
-        "_things", F.slice("sub_entities", F.lit(1), F.lit(S.COMPARE_MAX_ENTITIES))
-    )
-    each = things.select("qid", "expanded_queries", F.posexplode("_things").alias("no", "entity_label"))
-    extra = F.slice("expanded_queries", F.lit(1), F.lit(S.COMPARE_EXTRAS_PER_ENTITY))
-    queries = F.concat(
-        F.array("entity_label"), F.transform(extra, lambda x: F.concat_ws(" ", F.col("entity_label"), x))
-    )
-    keyed = each.withColumn("_pair", F.concat_ws("/", "qid", "no"))
-    hits = vector_search(index, keyed.select(F.col("_pair").alias("qid"), *numbered(queries)), k)
-    rows = hits.withColumnRenamed("qid", "_pair").join(
-        keyed.select("_pair", "qid", "no", "entity_label"), "_pair"
-    )
-    merged = merge_best(rows.drop("_pair"), ["qid", "cid"], ["no", "seq"])
-    pool = rank_bounded(merged.drop("seq"), ["qid"], ["seen_at"], "seq").drop("seen_at", "no")
-    ranked = rerank(
-        _with_question(index.with_text(pool), questions), index.scorer, k * S.COMPARE_MAX_ENTITIES
-    )
-    width = things.select("qid", (F.size("_things") * k).alias("_width"))
-    return ranked.join(width, "qid").where(F.col("rank") <= F.col("_width")).drop("_width")
+def _widths(k: int) -> dict[str, tuple[int, int]]:
+    """Strategy to (candidates per query, results per question)."""
+    broad, tight = min(k * S.SUMMARIZE_FACTOR, S.SUMMARIZE_CAP), min(k, 3)
+    return {
+        "lookup": (k, k),
+        "compare": (k, k * S.COMPARE_MAX_ENTITIES),
+        "summarize": (broad, broad),
+        "procedure": (2 * k, k),
+        "definition": (3 * tight, tight),
+        "multi_hop": (k, k),
+    }
+
+
+def _by_strategy(values: dict[str, int]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for pair in values.items() for x in pair]), F.col("strategy"))
 
 
-def summarize(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """Wider search inside the texts that name the asked document, else everywhere."""
-    width = min(k * S.SUMMARIZE_FACTOR, S.SUMMARIZE_CAP)
-    queries = F.concat(F.array("question"), F.col("expanded_queries"))
-    asks = questions.select("qid", "question", *numbered(queries)).withColumn(
-        "payload", models.embed(F.col("query"), index.embedder)
+def first_asks(planned: DataFrame, k: int) -> DataFrame:
+    """All queries of the first search: qid, part, entity_label, ask_no, query, width.
+
+    A comparison has one part per compared thing, every other question a single one.
+    """
+    extras = F.col("expanded_queries")
+    short = F.slice(extras, F.lit(1), F.lit(S.COMPARE_EXTRAS_PER_ENTITY))
+    things = F.slice("sub_entities", F.lit(1), F.lit(S.COMPARE_MAX_ENTITIES))
+    queries = (
+        F.when(F.col("strategy") == "definition", F.concat(F.array("question"), F.slice(extras, F.lit(1), F.lit(1))))
+        .when(F.col("strategy") == "multi_hop", F.slice("sub_entities", F.lit(1), F.lit(1)))
+        .otherwise(F.concat(F.array("question"), extras))
     )
-    everywhere = vector_search(index, asks.drop("question"), width)
-    named = asks.withColumn("words", F.array_distinct(tokens(routing.law_name(F.col("question"))))).where(
-        F.size("words") > 0
+
+    def part(label, texts):
+        return F.struct(label.cast("string").alias("entity_label"), texts.alias("queries"))
+
+    per_thing = F.transform(
+        things, lambda e: part(e, F.concat(F.array(e), F.transform(short, lambda x: F.concat_ws(" ", e, x))))
     )
-    named = named.withColumn("_ask", F.concat_ws("|", "qid", "ask_no"))
-    corpus = index.points.select(
-        F.col("cid").alias("id"), F.struct(F.col("embedding").alias("vec"), F.col("text")).alias("payload")
+    parts = F.when(F.col("strategy") == "compare", per_thing).otherwise(F.array(part(F.lit(None), queries)))
+    width = _by_strategy({name: w for name, (w, _) in _widths(k).items()})
+    exploded = planned.select("qid", "question", "strategy", width.alias("width"), F.posexplode(parts).alias("part", "_p"))
+    return exploded.select(
+        "qid", "question", "strategy", "width", "part", "_p.entity_label", F.posexplode("_p.queries").alias("ask_no", "query")
     )
-    inside = merge_asks(
-        search(
-            named.select(
-                F.col("_ask").alias("qid"), F.struct(F.col("payload").alias("vec"), "words").alias("payload")
-            ),
-            corpus, width, FilteredKernel(),
-        ),
-        named,
-    )
-    hits = filtered_else_all(inside, everywhere, "qid")
-    return rerank(_with_question(index.with_text(hits), questions), index.scorer, width)
 
 
-def procedure(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    queries = F.concat(F.array("question"), F.col("expanded_queries"))
-    hits = index.with_text(vector_search(index, questions.select("qid", *numbered(queries)), 2 * k))
-    boosted = hits.withColumn("score", boost(F.col("score"), F.col("text")))
-    return rerank(_with_question(boosted, questions), index.scorer, k)
+def _parts(found: DataFrame, asks: DataFrame) -> DataFrame:
+    """Hits per (qid, part), best score per document, in score order."""
+    rows = found.withColumnRenamed("qid", "_ask").join(
+        asks.select("_ask", "qid", "part", "ask_no", "width"), "_ask"
+    )
+    rows = rows.where(F.col("rank") <= F.col("width")).select(
+        "qid", "part", F.col("id").alias("cid"), "score", "ask_no", "rank"
+    )
+    merged = merge_best(rows, ["qid", "part", "cid"], ["ask_no", "rank"])
+    ranked = rank_bounded(merged, ["qid", "part"], [F.col("score").desc(), F.col("seen_at")], "seq")
+    return ranked.select("qid", "part", "cid", "score", "seq")
 
 
-def definition(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    tight = min(k, 3)
-    queries = F.concat(F.array("question"), F.slice("expanded_queries", F.lit(1), F.lit(1)))
-    hits = vector_search(index, questions.select("qid", *numbered(queries)), 3 * tight)
-    return rerank(_with_question(index.with_text(hits), questions), index.scorer, tight)
+def _search(index: Index, asks: DataFrame, k: int, kernel=DenseKernel()) -> DataFrame:
+    """One scan of the corpus for all asks (``_ask``, ``payload``)."""
+    return search(asks.select(F.col("_ask").alias("qid"), "payload"), index.corpus(), k, kernel)
 
 
-def hop_question(second: Column, texts: Column) -> Column:
-    """Second sub-question extended by the start of the best texts of the first hop."""
-    context = strip(F.array_join(F.transform(texts, lambda t: F.left(t, F.lit(S.HOP_CONTEXT_CHARS))), " "))
-    return F.when(context != "", F.concat(second, F.lit(" [ngữ cảnh: "), context, F.lit("]"))).otherwise(second)
+def _inside_named(index: Index, asks: DataFrame, width: int) -> DataFrame:
+    """Hits of the summaries that name a document, among the texts that mention it."""
+    words = F.array_distinct(tokens(routing.law_name(F.col("question"))))
+    named = asks.where(F.col("strategy") == "summarize").withColumn("words", words).where(F.size("words") > 0)
+    asked = named.select(F.col("_ask").alias("qid"), F.struct(F.col("payload").alias("vec"), "words").alias("payload"))
+    vec = F.struct(F.col("embedding").alias("vec"), F.col("text"))
+    corpus = index.points.select(F.col("cid").alias("id"), vec.alias("payload"))
+    return _parts(search(asked, corpus, width, FilteredKernel()), named)
 
 
-def multi_hop(index: Index, questions: DataFrame, k: int) -> DataFrame:
-    """Chained search: the first hop's best texts become context of the second question."""
-    first = questions.select("qid", F.lit(0).alias("ask_no"), F.get("sub_entities", F.lit(0)).alias("query"))
-    hop1 = vector_search(index, first, k)
+def _second_hop(index: Index, planned: DataFrame, hop1: DataFrame, k: int) -> DataFrame:
+    """Hits of the chained questions, asked with the best texts of the first hop."""
     best = index.with_text(hop1.where(F.col("seq") <= S.HOP_CONTEXT_DOCS))
     context = best.groupBy("qid").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda s: s["text"]).alias("texts")
     )
-    second = (
-        questions.join(context, "qid", "left")
-        .withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
-        .select(
-            "qid", F.lit(0).alias("ask_no"),
-            hop_question(F.get("sub_entities", F.lit(1)), F.col("texts")).alias("query"),
-        )
+    none = F.array().cast("array<string>")
+    second = planned.join(context, "qid", "left").select(
+        "qid", hop_question(F.get("sub_entities", F.lit(1)), F.coalesce("texts", none)).alias("query")
+    )
+    asks = second.select(
+        "qid", F.lit(1).alias("part"), F.lit(0).alias("ask_no"), F.lit(k).alias("width"),
+        F.col("qid").cast("string").alias("_ask"), models.embed(F.col("query"), index.embedder).alias("payload"),
     )
-    hop2 = vector_search(index, second, k)
-    rows = hop1.withColumn("hop", F.lit(1)).unionByName(hop2.withColumn("hop", F.lit(2)))
-    merged = merge_best(rows, ["qid", "cid"], ["hop", "seq"])
-    pool = rank_bounded(merged.drop("seq"), ["qid"], ["seen_at"], "seq").drop("seen_at", "hop")
-    return rerank(_with_question(index.with_text(pool), questions), index.scorer, k)
+    return _parts(_search(index, asks, k), asks)
+
+
+def run_strategies(index: Index, planned: DataFrame, k: int) -> DataFrame:
+    """Ranked documents of questions with a ``strategy``, for the whole batch at once.
+
+    The first searches of all strategies share one scan of the vectors.  A second
+    scan runs only for chained questions, a third only for summaries that name a
+    document.  The hits (a few rows per query) are stored, as several steps read them.
+    """
+    widths = _widths(k)
+    asks = first_asks(planned, k).withColumn("_ask", F.concat_ws("|", "qid", "part", "ask_no"))
+    asks = stored(asks.withColumn("payload", models.embed(F.col("query"), index.embedder)), "asks")
+    hits = stored(_parts(_search(index, asks, max(w for w, _ in widths.values())), asks), "hits")
+    kinds = {r[0] for r in planned.select("strategy").distinct().collect()}
+    if "summarize" in kinds:
+        inside = _inside_named(index, asks, widths["summarize"][0])
+        hits = filtered_else_all(inside, hits, "qid")
+    if "multi_hop" in kinds:
+        chained = planned.where(F.col("strategy") == "multi_hop")
+        hop1 = hits.join(chained.select("qid"), "qid", "left_semi")
+        hits = hits.unionByName(_second_hop(index, chained, hop1, widths["multi_hop"][0]))
+    labels = asks.select("qid", "part", "entity_label").distinct()
+    rows = hits.join(labels, ["qid", "part"], "left")
+    merged = merge_best(rows, ["qid", "cid"], ["part", "seq"])
+    pool = rank_bounded(merged.drop("seq", "part"), ["qid"], ["seen_at"], "seq").drop("seen_at")
+    keep = F.when(
+        F.col("strategy") == "compare", k * F.least(F.size("sub_entities"), F.lit(S.COMPARE_MAX_ENTITIES))
+    ).otherwise(_by_strategy({name: n for name, (_, n) in widths.items()}))
+    docs = index.with_text(pool).join(planned.select("qid", "question", "strategy", keep.alias("keep")), "qid")
+    boosted = F.when(F.col("strategy") == "procedure", boost(F.col("score"), F.col("text"))).otherwise(F.col("score"))
+    ranked = rerank(docs.withColumn("score", boosted).drop("strategy"), index.scorer, max(n for _, n in widths.values()))
+    return attach_parent_text(ranked, index.parents) if index.parents is not None else ranked
+
+
+def _forced(name: str):
+    def run(index: Index, questions: DataFrame, k: int) -> DataFrame:
+        return run_strategies(index, questions.withColumn("strategy", F.lit(name)), k)
+
+    run.__name__ = name
+    run.__doc__ = f"All questions by the {name} strategy."
+    return run
+
+
+lookup = _forced("lookup")
+compare = _forced("compare")
+summarize = _forced("summarize")
+procedure = _forced("procedure")
+definition = _forced("definition")
+multi_hop = _forced("multi_hop")
 
 
 def retrieve(index: Index, questions: DataFrame, k: int = S.DEFAULT_TOP_K) -> DataFrame:
-    """Every question through the strategy of its intent, then parent texts attached."""
-    intent, subs = F.col("intent"), F.size("sub_entities")
-    chosen = (
-        F.when((intent == "COMPARE") & (subs > 0), F.lit("compare"))
-        .when(intent == "SUMMARIZE", F.lit("summarize"))
-        .when(intent == "PROCEDURE", F.lit("procedure"))
-        .when(intent == "DEFINITION", F.lit("definition"))
-        .when((intent == "MULTI_HOP") & (subs >= 2), F.lit("multi_hop"))
-        .otherwise(F.lit("lookup"))
-    )
-    strategies = {
-        "lookup": lookup, "compare": compare, "summarize": summarize,
-        "procedure": procedure, "definition": definition, "multi_hop": multi_hop,
-    }
-    asked = questions.withColumn("_strategy", chosen)
-    present = {r[0] for r in asked.select("_strategy").distinct().collect()}
-    out = None
-    for name, run in strategies.items():
-        if name not in present:
-            continue
-        part = run(index, asked.where(F.col("_strategy") == name).drop("_strategy"), k)
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    if out is None:
-        out = lookup(index, questions, k)
-    if "entity_label" not in out.columns:
-        out = out.withColumn("entity_label", F.lit(None).cast("string"))
-    if index.parents is not None:
-        out = attach_parent_text(out, index.parents)
-    return out
+    """Every question through the strategy of its intent, with parent texts attached."""
+    chosen = strategy_of(F.col("intent"), F.col("sub_entities"))
+    return run_strategies(index, questions.withColumn("strategy", chosen), k)
 
 
 def route_merge(local: DataFrame, graph: DataFrame, k: int) -> DataFrame:
@@ -290,9 +303,3 @@ def context_block(docs: DataFrame, questions: DataFrame) -> DataFrame:
         "context", F.coalesce("context", F.lit(NO_CONTEXT))
     )
 
-
-__all__ = [
-    "Index", "boost", "compare", "context_block", "definition", "fold", "format_sources",
-    "lookup", "merge_asks", "multi_hop", "needs_fallback", "procedure", "rerank", "retrieve",
-    "route_merge", "substitute", "summarize", "vector_search",
-]
