@@ -9,9 +9,9 @@ from quillspark.catalog import sql as Q
 from quillspark.catalog.registry import query, table
 from quillspark.functions import routing
 from quillspark.functions.models import ExtractiveGenerator, HashingEmbedder, OverlapScorer, embed
-from quillspark.functions.text import contains_all_words
+from quillspark.functions.text import tokens
 from quillspark.operators.joins import attach_parent_text, filtered_else_all
-from quillspark.operators.ranking import top_k_per_key
+from quillspark.operators.search import FilteredKernel, search
 from quillspark.plans import retrieve as R
 from quillspark.plans import web
 from quillspark.session import spread, stored
@@ -184,28 +184,18 @@ def retrieve_all(spark, sf):
 )
 def filtered_else_unfiltered(spark, sf):
     """Longest documents holding the first words of the question, else the longest of all."""
-    from quillspark.functions.text import tokens
-    from quillspark.operators.ranking import top_k
-
-    docs = table(spark, sf, "documents")
-    words = table(spark, sf, "benchmark").select(
-        F.col("item_id").alias("qid"), F.array_distinct(tokens(F.left("text", F.lit(12)))).alias("w")
-    )
-    # Join on one word, then check the others on the pair; every word would do as the join key.
-    first = words.select("qid", "w", F.get("w", F.lit(0)).alias("word"))
-    wanted = first.select("word").distinct()
-    held = docs.select("doc_id", "n_chars", F.array_distinct(tokens(F.col("text"))).alias("t"))
-    rows = held.select("doc_id", "n_chars", "t", F.explode("t").alias("word")).join(wanted, "word", "left_semi")
-    hits = rows.join(first, "word").where(F.size(F.array_except("w", "t")) == 0)
-    order = [F.col("n_chars").desc(), F.col("doc_id")]
-    inside = top_k_per_key(hits.select("qid", "doc_id", "n_chars"), ["qid"], order, 3).withColumn("filtered", F.lit(True))
-    longest = top_k_per_key(top_k(docs.select("doc_id", "n_chars"), order, 3), [], order, 3)
-    packed = F.array(*[F.struct(F.lit(r["doc_id"]).alias("doc_id"), F.lit(r["rank"]).alias("rank")) for r in longest.collect()])
-    everywhere = words.select("qid", F.explode(packed).alias("d")).select(
-        "qid", "d.doc_id", "d.rank", F.lit(False).alias("filtered")
-    )
-    out = filtered_else_all(inside.drop("n_chars"), everywhere, "qid")
-    return out.select("qid", "doc_id", F.col("rank").cast("long").alias("rank"), "filtered")
+    words = F.array_distinct(tokens(F.left("text", F.lit(12))))
+    asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), words.alias("words"))
+    size = F.array(F.col("n_chars").cast("float"))
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), size.alias("vec"), "text")
+    one = F.array(F.lit(1.0).cast("float"))
+    inside = search(
+        asked.where(F.size("words") > 0).select("qid", F.struct(one.alias("vec"), "words").alias("payload")),
+        docs.select("id", F.struct("vec", "text").alias("payload")), 3, FilteredKernel(),
+    ).withColumn("filtered", F.lit(True))
+    everywhere = search(asked.select("qid", one.alias("payload")), docs.select("id", F.col("vec").alias("payload")), 3)
+    out = filtered_else_all(inside, everywhere.withColumn("filtered", F.lit(False)), "qid")
+    return out.select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "filtered")
 
 
 @query(
@@ -318,7 +308,6 @@ def both_route_merge(spark, sf):
 )
 def rerank_arrival_cap(spark, sf):
     """Only the first arrivals are reranked, however good the later ones are."""
-    from quillspark.functions.text import tokens
 
     class WordCount:
         def logits(self, question, text):
