@@ -20,7 +20,6 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit(" Part#"), F.col("l_partkey").cast("string")).alias("target"),
         F.when(F.col("l_returnflag") != "R", F.concat("o_orderpriority", F.lit(" "), "l_linestatus")).alias("description"),
         F.when(F.col("l_linestatus") == "O", F.col("l_quantity")).alias("weight"),
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_key"),
         F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").alias("edge_seq"),
     )
 

@@ -1 +1,65 @@
-"""To be filled."""
+"""Conversation memory."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillspark.catalog.registry import query, table
+from quillspark.catalog.sql import WS
+from quillspark.plans import memory
+from quillspark.session import scratch_path
+from quillspark.streaming.runner import drain, state_session, table_stream
+from quillspark.streaming.state import conversation_memory
+
+_TURNS = """turns AS (SELECT u.conv_id, u.turn, u.text AS user_text, a.text AS assistant_text FROM conversations u
+    JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
+
+
+@query(f"WITH {_TURNS} SELECT conv_id, turn, md5(user_text || assistant_text) AS pair_md5 FROM turns")
+def recorded_exchanges(spark, sf):
+    turns = memory.exchanges(table(spark, sf, "conversations"))
+    return turns.select("conv_id", "turn", F.md5(F.concat("user_text", "assistant_text")).alias("pair_md5"))
+
+
+@query(
+    f"""WITH {_TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns QUALIFY back <= 2),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM r)
+    SELECT conv_id, 2 * place - 1 AS msg_no, 'user' AS role, md5(user_text) AS content_md5 FROM p
+    UNION ALL SELECT conv_id, 2 * place, 'assistant', md5(assistant_text) FROM p"""
+)
+def memory_window(spark, sf):
+    """The last two exchanges (the fixtures' conversations are short) as messages."""
+    out = memory.window_messages(memory.exchanges(table(spark, sf, "conversations")), 2)
+    return out.select("conv_id", F.col("msg_no").cast("long").alias("msg_no"), "role", F.md5("content").alias("content_md5"))
+
+
+@query(f"WITH {_TURNS}, r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns) SELECT conv_id, turn FROM r WHERE back <= 5")
+def memory_window_default(spark, sf):
+    return memory.recent_window(memory.exchanges(table(spark, sf, "conversations"))).select("conv_id", "turn")
+
+
+@query(
+    f"""WITH {_TURNS}, n AS (SELECT conv_id, count(*) AS turns_total FROM turns GROUP BY 1)
+    SELECT conv_id, turns_total, CASE WHEN turns_total >= 3 THEN turns_total - 2 ELSE 0 END AS compactions,
+      CASE WHEN turns_total >= 3 THEN 2 ELSE turns_total END AS turns_kept FROM n"""
+)
+def memory_compaction(spark, sf):
+    """Threshold 3 and batch 1, as the fixtures' conversations are short."""
+    return memory.compaction_state(memory.exchanges(table(spark, sf, "conversations")), 3, 1)
+
+
+@query(
+    f"""WITH {_TURNS}, n AS (SELECT conv_id, turn, user_text, assistant_text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM turns),
+    s AS (SELECT conv_id, turn, i AS turns_total, CASE WHEN i >= 3 THEN i - 2 ELSE 0 END AS compactions, CASE WHEN i >= 3 THEN 2 ELSE i END AS turns_kept FROM n)
+    SELECT s.*, md5(coalesce(string_agg(rtrim(left(n.user_text, 40) || ' | ' || left(n.assistant_text, 40), {WS}), chr(10) ORDER BY n.i), '')) AS summary_md5
+    FROM s LEFT JOIN n ON n.conv_id = s.conv_id AND n.i <= s.compactions GROUP BY ALL"""
+)
+def memory_stream(spark, sf):
+    """The same memory as streaming state, one output row per recorded exchange."""
+    folder = scratch_path(spark, "exchanges")
+    memory.exchanges(table(spark, sf, "conversations")).write.parquet(f"{folder}/turns.parquet")
+    stream = table_stream(state_session(spark), folder, "turns")
+    path = drain(conversation_memory(stream, threshold=3, batch=1), "memory")
+    return spark.read.parquet(path).select(
+        "conv_id", "turn", "turns_total", "compactions", "turns_kept", F.md5("summary").alias("summary_md5")
+    )

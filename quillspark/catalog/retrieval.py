@@ -174,7 +174,7 @@ def retrieve_all(spark, sf):
 
 
 @query(
-    f"""WITH q AS (SELECT item_id AS qid, {Q.tokens("left(text, 12)")} AS w FROM benchmark),
+    f"""WITH q AS (SELECT item_id AS qid, list_distinct({Q.tokens("text")}) AS w FROM benchmark),
     d AS (SELECT doc_id, n_chars, list_distinct({Q.tokens("text")}) AS t FROM documents),
     f AS (SELECT qid, doc_id, n_chars, row_number() OVER (PARTITION BY qid ORDER BY n_chars DESC, doc_id) AS rank
       FROM q JOIN d ON len(w) > 0 AND len(list_filter(w, lambda x: NOT list_contains(t, x))) = 0 QUALIFY rank <= 3),
@@ -183,15 +183,15 @@ def retrieve_all(spark, sf):
     SELECT qid, doc_id, rank, FALSE FROM (SELECT item_id AS qid FROM benchmark), a WHERE qid NOT IN (SELECT qid FROM f)"""
 )
 def filtered_else_unfiltered(spark, sf):
-    """Longest documents holding the first words of the question, else the longest of all."""
-    words = F.array_distinct(tokens(F.left("text", F.lit(12))))
+    """Longest documents holding every word of the question, else the longest of all."""
+    words = F.array_distinct(tokens(F.col("text")))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), words.alias("words"))
     size = F.array(F.col("n_chars").cast("float"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), size.alias("vec"), "text")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), size.alias("vec"), words.alias("words"))
     one = F.array(F.lit(1.0).cast("float"))
     inside = search(
         asked.where(F.size("words") > 0).select("qid", F.struct(one.alias("vec"), "words").alias("payload")),
-        docs.select("id", F.struct("vec", "text").alias("payload")), 3, FilteredKernel(),
+        docs.select("id", F.struct("vec", "words").alias("payload")), 3, FilteredKernel(),
     ).withColumn("filtered", F.lit(True))
     everywhere = search(asked.select("qid", one.alias("payload")), docs.select("id", F.col("vec").alias("payload")), 3)
     out = filtered_else_all(inside, everywhere.withColumn("filtered", F.lit(False)), "qid")
@@ -199,12 +199,13 @@ def filtered_else_unfiltered(spark, sf):
 
 
 @query(
-    """SELECT d.doc_id, md5(CASE WHEN l.doc_id IS NULL THEN left(d.text, 50) ELSE d.text END) AS text_md5,
+    """SELECT d.doc_id, md5(CASE WHEN l.doc_id IS NULL THEN 'part of ' || d.source ELSE d.text END) AS text_md5,
       (l.doc_id IS NOT NULL) AS enriched FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 )
 def parent_enrich(spark, sf):
     docs = table(spark, sf, "documents")
-    children = docs.select("doc_id", F.col("doc_id").alias("parent_id"), F.left("text", F.lit(50)).alias("text"))
+    part = F.concat(F.lit("part of "), F.col("source"))
+    children = docs.select("doc_id", F.col("doc_id").alias("parent_id"), part.alias("text"))
     known = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
     parents = known.select(F.col("doc_id").alias("parent_id"), F.col("text").alias("parent_text"))
     out = attach_parent_text(children, parents)

@@ -278,36 +278,33 @@ def metadata_cleaning(spark, sf):
 
 
 @query(
-    f"""SELECT doc_id, CASE WHEN lang = 'en' THEN left(text, 500) WHEN lang = 'fr' THEN source ELSE 'unknown' END AS head
+    """SELECT doc_id, md5(CASE WHEN lang = 'en' THEN text WHEN lang = 'fr' THEN source ELSE 'unknown' END) AS body_md5
     FROM documents"""
 )
 def embed_text_fallback(spark, sf):
     lang = F.col("lang")
-    primary = F.when(lang == "en", F.left("text", F.lit(500))).otherwise(F.lit("  "))
-    return table(spark, sf, "documents").select(
-        "doc_id",
-        text.first_filled(
-            F.when(text.strip(primary) != "", primary), F.when(lang == "fr", text.strip(F.col("source"))), F.lit("unknown")
-        ).alias("head"),
-    )
+    primary = F.when(lang == "en", F.col("text")).otherwise(F.lit("  "))
+    secondary = F.when(lang == "fr", F.col("source"))
+    body = text.first_filled(F.when(text.strip(primary) != "", primary), text.strip(secondary), F.lit("unknown"))
+    return table(spark, sf, "documents").select("doc_id", F.md5(body).alias("body_md5"))
 
 
 @query(
-    f"""SELECT page_id, 'web_' || left(md5(url), 8) AS cid, md5('[Nguồn: ' || url || E']\n' || html) AS text_md5,
-      round_even(score, 4) AS score FROM (
-        SELECT page_id, url, {Q.strip("left(html, 150 * (page_id % 5))")} AS html, page_id / 7.0::DOUBLE AS score FROM pages)
-    WHERE length(html) >= 100"""
+    f"""SELECT page_id, 'web_' || left(md5(url), 8) AS cid, starts_with(body, url) AS short_page, round_even(page_id / 7.0::DOUBLE, 4) AS score
+    FROM (SELECT page_id, url, {Q.strip("CASE page_id % 5 WHEN 0 THEN url ELSE html END")} AS body FROM pages) WHERE length(body) >= 100"""
 )
 def web_content_gate(spark, sf):
-    cut = F.expr("left(html, cast(150 * (page_id % 5) as int))")
+    """Pages without body (their address only) are too short to be used."""
+    body = F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(F.col("html"))
     rows = table(spark, sf, "pages").select(
         F.col("page_id").alias("rank"), "url", F.lit("").alias("title"),
-        F.when(F.col("page_id") % 2 == 0, cut).otherwise(F.lit("")).alias("raw_content"),
-        cut.alias("content"), (F.col("page_id") / F.lit(7.0)).alias("score"),
+        F.when(F.col("page_id") % 2 == 0, body).otherwise(F.lit("")).alias("raw_content"),
+        body.alias("content"), (F.col("page_id") / F.lit(7.0)).alias("score"),
     )
     return web.web_documents(rows).select(
-        F.col("rank").alias("page_id"), "cid", F.md5("text").alias("text_md5"), "score"
-    )
+        F.col("rank").alias("page_id"), "cid",
+        F.col("text").startswith(F.concat(F.lit("[Nguồn: "), "url", F.lit("]\n"), "url")).alias("short_page"), "score",
+    )
 
 
 @query(

@@ -13,7 +13,6 @@ has to fit anywhere as a whole.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -64,37 +63,6 @@ class DenseKernel:
         return np.round(rank, SCORE_DIGITS), None
 
 
-@dataclass(frozen=True)
-class FilteredKernel:
-    """Inner product over rows whose text holds every word the question asks for.
-
-    Payloads are structs: ``vec`` and ``words`` for questions, ``vec`` and ``text``
-    for the corpus.
-    """
-
-    def load(self, questions: pa.Table) -> Any:
-        payload = questions["payload"].combine_chunks()
-        return _matrix(payload.field("vec")), payload.field("words").to_pylist()
-
-    def width(self, loaded: Any) -> int:
-        return len(loaded[0])
-
-    def scores(self, loaded: Any, payload: pa.Array):
-        vectors, wanted = loaded
-        rank = np.round(_matrix(payload.field("vec")) @ vectors.T, SCORE_DIGITS)
-        lowered = pc.utf8_lower(payload.field("text"))
-        holds = {
-            word: pc.match_substring_regex(
-                lowered, rf"(^|[^\p{{L}}\p{{N}}_]){re.escape(word)}($|[^\p{{L}}\p{{N}}_])"
-            ).to_numpy(zero_copy_only=False).astype(bool)
-            for word in {w for words in wanted for w in words}
-        }
-        for q, words in enumerate(wanted):
-            for word in words:
-                rank[~holds[word], q] = -np.inf
-        return rank, None
-
-
 @dataclass(frozen=True)
 class QuantisedKernel:
     """Coarse int8 ranking; the exact score is computed for the coarse winners only."""
@@ -123,35 +91,64 @@ class QuantisedKernel:
         return self._codes(rows) @ codes.T, rescore
 
 
+def _term_counts(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Vocabulary of the question side and its (terms x questions) counts."""
+    terms = lists.flatten()
+    vocabulary = pc.unique(terms)
+    at = pc.index_in(terms, value_set=vocabulary).to_numpy(zero_copy_only=False)
+    owner = lists.value_parent_indices().to_numpy(zero_copy_only=False)
+    counts = np.zeros((max(len(vocabulary), 1), len(lists)))
+    np.add.at(counts, (at.astype(np.int64), owner), 1.0)
+    return vocabulary, counts
+
+
+def _known_counts(lists: pa.Array, vocabulary: pa.Array, size: int) -> np.ndarray:
+    """(rows x terms) counts of the vocabulary terms in each list."""
+    found = pc.index_in(lists.flatten(), value_set=vocabulary)
+    owner = lists.value_parent_indices().to_numpy(zero_copy_only=False)
+    known = found.is_valid().to_numpy(zero_copy_only=False)
+    at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
+    return np.bincount(owner[known] * size + at, minlength=len(lists) * size).reshape(len(lists), size)
+
+
 @dataclass(frozen=True)
 class TermKernel:
     """Sum over shared terms of the product of their counts; payloads are term lists."""
 
     def load(self, questions: pa.Table) -> Any:
-        lists = questions["payload"].combine_chunks()
-        terms = lists.flatten()
-        vocabulary = pc.unique(terms)
-        at = pc.index_in(terms, value_set=vocabulary).to_numpy(zero_copy_only=False)
-        owner = lists.value_parent_indices().to_numpy(zero_copy_only=False)
-        weights = np.zeros((max(len(vocabulary), 1), len(lists)))
-        np.add.at(weights, (at.astype(np.int64), owner), 1.0)
-        return vocabulary, weights
+        return _term_counts(questions["payload"].combine_chunks())
 
     def width(self, loaded: Any) -> int:
-        return loaded[1].shape[1]
+        return max(loaded[1].shape)
 
     def scores(self, loaded: Any, payload: pa.Array):
-        vocabulary, weights = loaded
-        found = pc.index_in(payload.flatten(), value_set=vocabulary)
-        owner = payload.value_parent_indices().to_numpy(zero_copy_only=False)
-        known = found.is_valid().to_numpy(zero_copy_only=False)
-        at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
-        size = weights.shape[0]
-        counts = np.bincount(owner[known] * size + at, minlength=len(payload) * size)
-        rank = counts.reshape(len(payload), size) @ weights
+        vocabulary, counts = loaded
+        rank = _known_counts(payload, vocabulary, counts.shape[0]) @ counts
         return np.where(rank > 0, rank, -np.inf), None
 
 
+@dataclass(frozen=True)
+class FilteredKernel:
+    """Inner product over rows that hold every word the question asks for.
+
+    Payloads of both sides are structs of ``vec`` and ``words``.
+    """
+
+    def load(self, questions: pa.Table) -> Any:
+        payload = questions["payload"].combine_chunks()
+        vocabulary, wanted = _term_counts(payload.field("words"))
+        return _matrix(payload.field("vec")), vocabulary, (wanted > 0).astype(np.float64)
+
+    def width(self, loaded: Any) -> int:
+        return max(len(loaded[0]), loaded[2].shape[0])
+
+    def scores(self, loaded: Any, payload: pa.Array):
+        vectors, vocabulary, wanted = loaded
+        rank = np.round(_matrix(payload.field("vec")) @ vectors.T, SCORE_DIGITS)
+        held = (_known_counts(payload.field("words"), vocabulary, wanted.shape[0]) > 0) @ wanted
+        return np.where(held == wanted.sum(axis=0), rank, -np.inf), None
+
+
 class _Best:
     """Running k best (rank desc, id asc) per question."""
 
@@ -175,8 +172,6 @@ class _Best:
 def _scan(kernel, loaded, k: int, best: _Best, ids: pa.Array, payload: pa.Array) -> None:
     width = max(kernel.width(loaded), 1)
     step = max(1, _WORK // width)
-    if isinstance(kernel, TermKernel):
-        step = max(1, min(step, _WORK // loaded[1].shape[0]))
     for lo in range(0, len(ids), step):
         part = payload.slice(lo, step)
         names = ids.slice(lo, step).to_numpy(zero_copy_only=False)

@@ -170,7 +170,7 @@ def _inside_named(index: Index, asks: DataFrame, width: int) -> DataFrame:
     words = F.array_distinct(tokens(routing.law_name(F.col("question"))))
     named = asks.where(F.col("strategy") == "summarize").withColumn("words", words).where(F.size("words") > 0)
     asked = named.select(F.col("_ask").alias("qid"), F.struct(F.col("payload").alias("vec"), "words").alias("payload"))
-    vec = F.struct(F.col("embedding").alias("vec"), F.col("text"))
+    vec = F.struct(F.col("embedding").alias("vec"), F.array_distinct(tokens(F.col("text"))).alias("words"))
     corpus = index.points.select(F.col("cid").alias("id"), vec.alias("payload"))
     return _parts(search(asked, corpus, width, FilteredKernel()), named)
 

@@ -17,7 +17,7 @@ def table_stream(
     """Stream over the Parquet files of a table; each micro-batch takes a bounded number of files."""
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return reader.parquet(f"{folder}/{name}.parquet*")
 
 
 def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSession:
