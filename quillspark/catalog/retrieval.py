@@ -57,10 +57,8 @@ def benchmark_questions(spark: SparkSession, sf: str, intent: str | None = None)
         at = (F.col("item_id") % len(OPENINGS) + 1).cast("int")
         opening = F.element_at(F.array(*[F.lit(OPENINGS[n]) for n in _NAMES]), at)
     asked = items.select(F.col("item_id").alias("qid"), F.concat(opening, F.col("text")).alias("question"))
-    r = routing.reflect(F.col("question"))
-    return asked.withColumn("r", r).select(
-        "qid", F.col("r.refined_query").alias("question"), "r.intent", "r.expanded_queries", "r.sub_entities"
-    )
+    decided = routing.reflect(asked).withColumn("question", F.col("refined_query"))
+    return decided.select("qid", "question", "intent", "expanded_queries", "sub_entities")
 
 
 def _out(docs: DataFrame) -> DataFrame:
@@ -187,7 +185,7 @@ def filtered_else_unfiltered(spark, sf):
     words = F.array_distinct(tokens(F.col("text")))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), words.alias("words"))
     size = F.array(F.col("n_chars").cast("float"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), size.alias("vec"), words.alias("words"))
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), size.alias("vec"), words.alias("words"))
     one = F.array(F.lit(1.0).cast("float"))
     inside = search(
         asked.where(F.size("words") > 0).select("qid", F.struct(one.alias("vec"), "words").alias("payload")),
@@ -235,7 +233,7 @@ _TERMS = f"""wq AS (SELECT item_id AS qid, text AS question, {Q.content_tokens("
 
 def _web_docs(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
     """Documents as a web of pages."""
-    pages = table(spark, sf, "documents").select(
+    pages = spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("http://"), "source", F.lit("/"), "doc_id").alias("url"), F.col("source").alias("title"), "text"
     )
     found = web.search_web(asked.select("qid", F.col("question").alias("query")), web.PageSource(pages))

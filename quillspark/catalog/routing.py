@@ -72,11 +72,10 @@ _Q = Q.strip("question")
     FROM r"""
 )
 def reflect_questions(spark, sf):
-    r = routing.reflect(F.col("question"))
-    return user_questions(spark, sf).withColumn("r", r).select(
-        "qid", "r.intent", "r.confidence", "r.source",
-        F.md5(F.array_join("r.expanded_queries", "/")).alias("expanded_md5"),
-        F.coalesce(F.get("r.sub_entities", F.lit(0)), F.lit("")).alias("first_part"),
+    return routing.reflect(user_questions(spark, sf)).select(
+        "qid", "intent", "confidence", "source",
+        F.md5(F.array_join("expanded_queries", "/")).alias("expanded_md5"),
+        F.coalesce(F.get("sub_entities", F.lit(0)), F.lit("")).alias("first_part"),
     )
 
 

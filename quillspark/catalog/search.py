@@ -178,7 +178,7 @@ sparse AS (SELECT q.id AS qid, d.id AS id, sum(q.c * d.c)::DOUBLE AS score,
 
 def _term_search(spark: SparkSession, sf: str) -> DataFrame:
     asked = text_questions(spark, sf).select("qid", tokens(F.col("question")).alias("payload"))
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("payload"))
+    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("payload"))
     return S.search(asked, docs, 10, S.TermKernel())
 
 

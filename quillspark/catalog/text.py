@@ -11,6 +11,7 @@ from quillspark.functions import ids, parsing, text
 from quillspark.functions.models import sigmoid
 from quillspark.operators.ranking import top_k
 from quillspark.plans import index, retrieve, web
+from quillspark.session import spread
 from quillspark.settings import Settings
 
 SKIPPED = ("src3", "src11")
@@ -36,17 +37,17 @@ def _reason_sql(letter_class: str) -> str:
 def _reasons(spark: SparkSession, sf: str, profile: text.TextProfile) -> DataFrame:
     issued = F.concat(F.lit("01/02/"), (F.lit(1960) + F.col("doc_id") % 80).cast("string"))
     reason = text.reject_reason(F.col("text"), F.col("source"), issued, Settings(), profile, SKIPPED)
-    return table(spark, sf, "documents").select("doc_id", reason.alias("reject_reason"))
+    return spread(table(spark, sf, "documents")).select("doc_id", "n_chars", reason.alias("reject_reason"))
 
 
 @query(f"SELECT doc_id, {_reason_sql(r'\p{L}')} AS reject_reason FROM documents")
 def filter_cascade(spark, sf):
-    return _reasons(spark, sf, text.NEUTRAL)
+    return _reasons(spark, sf, text.NEUTRAL).drop("n_chars")
 
 
 @query(f"SELECT doc_id, {_reason_sql('[' + LETTERS + ']')} AS reject_reason FROM documents")
 def filter_cascade_default_profile(spark, sf):
-    return _reasons(spark, sf, text.VIETNAMESE)
+    return _reasons(spark, sf, text.VIETNAMESE).drop("n_chars")
 
 
 @query(
@@ -54,15 +55,14 @@ def filter_cascade_default_profile(spark, sf):
     FROM (SELECT n_chars, {_reason_sql(r'\p{L}')} AS reject_reason FROM documents) GROUP BY 1"""
 )
 def reject_stats(spark, sf):
-    rows = _reasons(spark, sf, text.NEUTRAL).join(table(spark, sf, "documents").select("doc_id", "n_chars"), "doc_id")
-    return rows.groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(
+    return _reasons(spark, sf, text.NEUTRAL).groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(
         F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars")
     )
 
 
 @query(f"SELECT doc_id, md5({Q.fold('text')}) AS folded FROM documents")
 def normalize_text(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.md5(text.fold(F.col("text"))).alias("folded"))
 
 
 def _last(sep: str) -> str:
@@ -81,7 +81,7 @@ def _last(sep: str) -> str:
 )
 def truncate_at_sentence(spark, sf):
     cut = text.smart_truncate(F.col("text"), 400)
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.md5(cut).alias("cut_md5"), F.length(cut).cast("long").alias("cut_chars")
     )
 
@@ -104,7 +104,7 @@ def year_of_issue(spark, sf):
 )
 def overlap_tokens(spark, sf):
     kept = text.content_tokens(F.col("text"))
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents")).select(
         "doc_id", F.size(kept).cast("long").alias("n_tokens"), F.md5(F.array_join(F.array_sort(kept), " ")).alias("token_md5")
     )
 

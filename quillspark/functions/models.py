@@ -9,9 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -42,10 +40,20 @@ class Summarizer(Protocol):
     def summarize(self, previous: str, turns: list[tuple[str, str]]) -> str: ...
 
 
-@lru_cache(maxsize=1_000_000)
-def _slot(token: str, dim: int) -> tuple[int, float]:
-    digest = hashlib.md5(token.encode()).hexdigest()
-    return int(digest[:8], 16) % dim, 1.0 if digest[8] < "8" else -1.0
+class _Slots(dict):
+    """Token to slot; slots from ``dim`` on count negatively.  Emptied when it grows large."""
+
+    def __init__(self, dim: int) -> None:
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, token: str) -> int:
+        digest = hashlib.md5(token.encode()).hexdigest()
+        slot = int(digest[:8], 16) % self.dim + (0 if digest[8] < "8" else self.dim)
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = slot
+        return slot
 
 
 class HashingEmbedder:
@@ -55,11 +63,13 @@ class HashingEmbedder:
         self.dim = dim
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim))
+        slots, dim = _Slots(self.dim), self.dim
+        out = np.zeros((len(texts), dim))
         for row, text in zip(out, texts):
-            for token, times in Counter(re.findall(r"\w+", (text or "").lower())).items():
-                at, sign = _slot(token, self.dim)
-                row[at] += sign * times
+            found = [slots[token] for token in re.findall(r"\w+", (text or "").lower())]
+            if found:
+                counts = np.bincount(found, minlength=2 * dim)
+                row[:] = counts[:dim] - counts[dim:]
         norms = np.sqrt((out * out).sum(axis=1, keepdims=True))
         return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import settings as S
@@ -121,39 +121,41 @@ def route(intent: Column, routes: Mapping[str, str] = ROUTES) -> Column:
     return chosen.otherwise(F.lit("rag"))
 
 
-def reflect(question: Column, reply: Column | None = None, rules: Mapping[str, Sequence[str]] = RULES) -> Column:
-    """Routing decision of a question: length guard, rules, then the model's parsed reply.
+def reflect(questions: DataFrame, reply: str | None = None, rules: Mapping[str, Sequence[str]] = RULES) -> DataFrame:
+    """Routing decision of every question: length guard, rules, then the model's parsed reply.
 
-    ``reply`` is a struct made by ``parse_reply`` (null: the model failed or is absent).
+    Adds intent, refined_query, confidence, source, expanded_queries and sub_entities.
+    ``reply`` names a column made by ``parse_reply`` (null: the model failed).
     """
-    q = strip(question)
+    q, rule = F.col("_q"), F.col("_rule")
     none = F.array().cast("array<string>")
-    rule = rule_intent(q, rules)
     short = F.length(q) < 3
     derived = (
-        F.when(rule == "COMPARE", compare_entities(q))
-        .when(rule == "MULTI_HOP", sub_questions(q))
-        .otherwise(none)
+        F.when(rule == "COMPARE", compare_entities(q)).when(rule == "MULTI_HOP", sub_questions(q)).otherwise(none)
     )
+    answered = F.col(reply) if reply else None
 
     def pick(field, if_short, if_rule, if_failed):
-        last = if_failed if reply is None else F.coalesce(reply[field], if_failed)
-        return F.when(short, if_short).when(rule.isNotNull(), if_rule).otherwise(last).alias(field)
-
-    reply_subs = none
-    if reply is not None:
-        filled = F.when(F.size(reply["sub_entities"]) > 0, reply["sub_entities"])
-        reply_subs = (
-            F.when(filled.isNotNull(), filled)
-            .when(reply["intent"] == "COMPARE", compare_entities(q))
-            .when(reply["intent"] == "MULTI_HOP", sub_questions(q))
+        last = if_failed if answered is None else F.coalesce(answered[field], if_failed)
+        return F.when(short, if_short).when(rule.isNotNull(), if_rule).otherwise(last)
+
+    from_reply = none
+    if answered is not None:
+        subs = answered["sub_entities"]
+        from_reply = (
+            F.when(F.size(subs) > 0, subs)
+            .when(answered["intent"] == "COMPARE", compare_entities(q))
+            .when(answered["intent"] == "MULTI_HOP", sub_questions(q))
             .otherwise(none)
         )
-    return F.struct(
-        pick("intent", F.lit("CHITCHAT"), rule, F.lit("LEGAL_LOOKUP")),
-        pick("refined_query", q, q, q),
-        pick("confidence", F.lit(1.0), F.lit(S.RULE_CONFIDENCE), F.lit(S.MODEL_ERROR_CONFIDENCE)),
-        pick("source", F.lit("rule"), F.lit("rule"), F.lit("fallback")),
-        pick("expanded_queries", none, expansions(q, rule), none),
-        F.when(short, none).when(rule.isNotNull(), derived).otherwise(reply_subs).alias("sub_entities"),
-    )
+    matched = questions.withColumn("_q", strip(F.col("question"))).withColumn("_rule", rule_intent(q, rules))
+    return matched.withColumns(
+        {
+            "intent": pick("intent", F.lit("CHITCHAT"), rule, F.lit("LEGAL_LOOKUP")),
+            "refined_query": pick("refined_query", q, q, q),
+            "confidence": pick("confidence", F.lit(1.0), F.lit(S.RULE_CONFIDENCE), F.lit(S.MODEL_ERROR_CONFIDENCE)),
+            "source": pick("source", F.lit("rule"), F.lit("rule"), F.lit("fallback")),
+            "expanded_queries": pick("expanded_queries", none, expansions(q, rule), none),
+            "sub_entities": F.when(short, none).when(rule.isNotNull(), derived).otherwise(from_reply),
+        }
+    ).drop("_q", "_rule")

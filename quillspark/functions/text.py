@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -37,20 +38,30 @@ STOP_WORDS = (
     "khoản", "điểm", "luật", "nghị", "định", "thông", "tư", "số",
 )
 
+SYMBOL_RUN = r"[^\p{L}\p{N}_" + WHITESPACE + "]{20}"
 TOKEN = r"[\p{L}\p{N}_]+"
 
 
 @dataclass(frozen=True)
 class TextProfile:
-    """Language-dependent choices of the document filter."""
+    """Language-dependent choices of the document filter.
+
+    ``letters`` are the characters that mark the language; without them any letter counts.
+    """
 
     name: str
-    letter_class: str
+    letters: str | None
     min_letters: int = 5
 
+    def too_few_letters(self, c: Column) -> Column:
+        if self.letters is None:  # stops at the last letter it needs
+            return ~c.rlike(rf"(?:\P{{L}}*\p{{L}}){{{self.min_letters}}}")
+        # one table look-up per character; a large character class is tested branch by branch
+        return F.length(c) - F.length(F.translate(c, self.letters, "")) < self.min_letters
+
 
-VIETNAMESE = TextProfile("vietnamese", f"[{VIETNAMESE_LETTERS}]")
-NEUTRAL = TextProfile("neutral", r"\p{L}")
+VIETNAMESE = TextProfile("vietnamese", VIETNAMESE_LETTERS)
+NEUTRAL = TextProfile("neutral", None)
 
 
 def strip(c: Column) -> Column:
@@ -107,9 +118,9 @@ def is_corrupted(c: Column, profile: TextProfile = VIETNAMESE) -> Column:
     pipes = F.length(text) - F.length(F.replace(text, F.lit("|"), F.lit("")))
     return (
         (F.length(text) < 10)
-        | text.rlike(r"(?U)[^\p{L}\p{N}_\s]{20,}")
+        | text.rlike(SYMBOL_RUN)
         | (pipes / F.greatest(F.length(text), F.lit(1)) > 0.10)
-        | (F.regexp_count(text, F.lit(profile.letter_class)) < profile.min_letters)
+        | profile.too_few_letters(text)
     )
 
 
@@ -181,11 +192,19 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(or_empty(c)), F.lit(f"({TOKEN})"), F.lit(1))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def content_tokens(c: Column, stop_words: tuple[str, ...] = STOP_WORDS) -> Column:
     """Distinct tokens without one-letter and stop words; all tokens if none is left."""
-    every = tokens(c)
-    kept = F.filter(every, lambda t: (F.length(t) > 1) & ~t.isin(*stop_words))
-    return F.array_distinct(F.when(F.size(kept) > 0, kept).otherwise(every))
+
+    def without_stop_words(every: Column) -> Column:
+        kept = F.filter(every, lambda t: (F.length(t) > 1) & ~t.isin(*stop_words))
+        return bind(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(every))
+
+    return bind(F.array_distinct(tokens(c)), without_stop_words)
 
 
 def overlap_ratio(reference: Column, candidate: Column) -> Column:
