@@ -9,7 +9,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 Run = Callable[[SparkSession, str], DataFrame]
-MODULES = ("text", "routing", "search", "retrieval", "graph", "ingest", "index", "golden", "evaluate", "memory", "state")
+MODULES = (
+    "text", "routing", "search", "retrieval", "answer", "graph", "ingest", "index", "golden", "evaluate", "memory", "state",
+)
 
 
 @dataclass(frozen=True)

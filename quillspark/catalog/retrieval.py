@@ -222,7 +222,9 @@ def fallback_decision(spark, sf):
     return R.needs_fallback(R.lookup(document_index(spark, sf), asked, K), asked, THRESHOLD)
 
 
-_TERMS = f"""wq AS (SELECT item_id AS qid, text AS question, {Q.content_tokens("text")} AS t FROM benchmark),
+def _terms(asked: str) -> str:
+    """CTEs ending in wdocs: the web results of ``asked``(qid, question)."""
+    return f"""wq AS (SELECT qid, question, {Q.content_tokens("question")} AS t FROM {asked}),
     wd AS (SELECT doc_id, source, text, 'http://' || source || '/' || doc_id AS url, {Q.content_tokens("text")} AS t FROM documents),
     wqt AS (SELECT qid, unnest(t) AS w FROM wq), wdt AS (SELECT doc_id, url, unnest(t) AS w FROM wd),
     wr AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY count(*) DESC, url) AS rank
@@ -231,6 +233,9 @@ _TERMS = f"""wq AS (SELECT item_id AS qid, text AS question, {Q.content_tokens("
       FROM wr JOIN wq USING (qid) JOIN wd USING (doc_id) WHERE length({Q.strip("wd.text")}) >= 100)"""
 
 
+_TERMS = _terms("(SELECT item_id AS qid, text AS question FROM benchmark)")
+
+
 def _web_docs(spark: SparkSession, sf: str, asked: DataFrame) -> DataFrame:
     """Documents as a web of pages."""
     pages = spread(table(spark, sf, "documents")).select(

@@ -74,11 +74,11 @@ _FLAGS = "(?iuUd)"
 
 def rule_intent(question: Column, rules: Mapping[str, Sequence[str]] = RULES) -> Column:
     """First intent one of whose patterns occurs in the question, as written or folded."""
-    plain = fold(question)
+    written, plain = F.lower(question), fold(question)
     chosen = None
     for intent, patterns in rules.items():
-        regex = _FLAGS + "|".join(f"(?:{p})" for p in patterns)
-        hit = question.rlike(regex) | plain.rlike(regex)
+        regex = "(?Ud)" + "|".join(f"(?:{p})" for p in patterns)  # both texts are lower case
+        hit = written.rlike(regex) | plain.rlike(regex)
         chosen = F.when(hit, F.lit(intent)) if chosen is None else chosen.when(hit, F.lit(intent))
     return chosen
 

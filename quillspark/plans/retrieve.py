@@ -197,9 +197,11 @@ def run_strategies(index: Index, planned: DataFrame, k: int) -> DataFrame:
 
     The first searches of all strategies share one scan of the vectors.  A second
     scan runs only for chained questions, a third only for summaries that name a
-    document.  The hits (a few rows per query) are stored, as several steps read them.
+    document.  Questions and hits (a few rows per query) are stored, as several steps
+    read them.
     """
     widths = _widths(k)
+    planned = stored(planned.select("qid", "question", "strategy", "expanded_queries", "sub_entities"), "planned")
     asks = first_asks(planned, k).withColumn("_ask", F.concat_ws("|", "qid", "part", "ask_no"))
     asks = stored(asks.withColumn("payload", models.embed(F.col("query"), index.embedder)), "asks")
     hits = stored(_parts(_search(index, asks, max(w for w, _ in widths.values())), asks), "hits")
