@@ -9,6 +9,7 @@ from quillspark.catalog import retrieval as V
 from quillspark.catalog import sql as Q
 from quillspark.catalog.registry import query, table
 from quillspark.catalog.search import PAIRS, label_questions, vector_corpus
+from quillspark.functions.models import ExtractiveGenerator, OverlapJudge
 from quillspark.functions.text import bar
 from quillspark.operators.ranking import best_and_worst, top_k
 from quillspark.operators.search import search
@@ -216,3 +217,24 @@ def oracle_retrieval(spark, sf):
         F.col("doc_id").alias("qid"), F.col("text").alias("ground_truth_context"), F.array("doc_id").alias("ground_truth_cids")
     )
     return E.oracle_docs(samples).select("qid", "cid", F.md5("text").alias("text_md5"), "source")
+
+
+def _share(of: str, within: str) -> str:
+    return f"coalesce(1.0 + {Q.overlap(Q.content_tokens(of), Q.content_tokens(within))} * 4.0, 0.0)"
+
+
+@query(
+    f"""WITH {V._LOOKUP}, {V._BLOCKS}, {_SCORED},
+    a AS (SELECT qid, b.text AS truth, context, b.text || E'\\n' || string_split(context, E'\\n---\\n')[1] AS answer FROM benchmark b JOIN ctx ON qid = item_id),
+    j AS (SELECT qid, {_share("answer", "context")} AS f, {_share("truth", "answer")} AS r, {_share("context", "truth")} AS c FROM a)
+    SELECT j.qid, context_hit, cid_recall, round(f, 6) AS faithfulness, round(r, 6) AS completeness, round(c, 6) AS citation_accuracy,
+      round((f + r + r + c) / 4, 6) AS overall_score FROM j JOIN scored USING (qid)"""
+)
+def evaluation_run(spark, sf):
+    """Questions answered from retrieved documents and judged, one record each."""
+    asked = V.benchmark_questions(spark, sf, "LEGAL_LOOKUP")
+    docs = stored(R.lookup(V.document_index(spark, sf), asked, V.K), "docs")
+    samples = _samples(spark, sf).withColumn("question", F.col("ground_truth_context"))
+    scored = E.evaluation_records(samples, docs, ExtractiveGenerator(), OverlapJudge())
+    rounded = [F.round(c, 6).alias(c) for c in ("faithfulness", "completeness", "citation_accuracy", "overall_score")]
+    return scored.select("qid", "context_hit", "cid_recall", *rounded)

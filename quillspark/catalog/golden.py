@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillspark.catalog.registry import query, table
+from quillspark.functions.models import LeadingSentenceWriter
 from quillspark.plans import golden
 
 
@@ -150,3 +151,14 @@ def flatten_negatives(spark, sf):
     return golden.flatten_ready(rows).select(
         F.col("doc_id").alias("conv_id"), F.get("reference_cids", F.lit(0)).alias("turn"), "intent", "is_negative", "tier"
     )
+
+
+@query(
+    r"""SELECT doc_id, md5(CASE WHEN f = '' THEN '' ELSE f || '?' END) AS question_md5, CASE WHEN f = '' THEN '' ELSE 'DEFINITION' END AS intent
+    FROM (SELECT doc_id, regexp_extract(text, '^\s*([^.?!\n]+)', 1) AS f FROM documents)"""
+)
+def generated_questions(spark, sf):
+    """One question per document, written by the default question writer."""
+    chunks = _chunks(spark, sf)
+    asked = chunks.withColumn("generated_qas", LeadingSentenceWriter().questions(F.col("text")))
+    return golden.flatten_generated(asked).select("doc_id", F.md5("question").alias("question_md5"), "intent")

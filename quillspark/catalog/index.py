@@ -15,13 +15,13 @@ from quillspark.plans import index
 def _old_and_new(spark, sf):
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("cid"), F.col("source").alias("value"))
     rows = table(spark, sf, "events").select(
-        (F.col("user_id") * 7).alias("cid"), F.col("event_type").alias("value"), F.col("event_id").alias("arrived")
+        (F.col("user_id") * 97).alias("cid"), F.col("event_type").alias("value"), F.col("event_id").alias("arrived")
     )
     return docs, rows
 
 
 @query(
-    """SELECT cid, value FROM (SELECT user_id * 7 AS cid, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
+    """SELECT cid, value FROM (SELECT user_id * 97 AS cid, event_type AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events)
     WHERE r = 1 AND cid NOT IN (SELECT doc_id FROM documents)"""
 )
 def keyed_append(spark, sf):
@@ -30,7 +30,7 @@ def keyed_append(spark, sf):
 
 
 @query(
-    """WITH latest AS (SELECT cid, value FROM (SELECT user_id * 7 AS cid, event_type AS value,
+    """WITH latest AS (SELECT cid, value FROM (SELECT user_id * 97 AS cid, event_type AS value,
       row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1)
     SELECT cid, value FROM latest UNION ALL SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT cid FROM latest)"""
 )

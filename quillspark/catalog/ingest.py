@@ -171,10 +171,7 @@ def _ingested(spark: SparkSession, sf: str) -> I.Ingested:
         "doc_id", F.col("source").alias("legal_type"),
         F.concat(F.lit("01/02/"), (F.lit(1960) + F.col("doc_id") % 80).cast("string")).alias("issuance_date"),
     )
-    spec = ChunkSpec.of(SMALL, LINE_BOUNDARY)
-    classified = I.classify(content, meta, SMALL, NEUTRAL, SKIPPED)
-    parents, children = I.chunk(classified.where("reject_reason is null"), spec)
-    return I.Ingested(classified, parents, children, I.count_documents(classified, spec))
+    return I.ingest(content, meta, SMALL, profile=NEUTRAL, boundary=LINE_BOUNDARY, skipped_types=SKIPPED)
 
 
 _ACCEPTED = _CHUNKS.replace("FROM documents)", f"FROM documents WHERE {_reason_sql(chr(92) + 'p{L}')} IS NULL)", 1)

@@ -36,6 +36,16 @@ class Generator(Protocol):
     def answer(self, question: Column, context: Column) -> Column: ...
 
 
+class Judge(Protocol):
+    def scores(self, question: Column, truth: Column, context: Column, answer: Column) -> Column:
+        """Struct of faithfulness, answer_relevancy, completeness and citation_accuracy."""
+
+
+class QuestionWriter(Protocol):
+    def questions(self, text: Column) -> Column:
+        """Array of structs question, answer, intent."""
+
+
 class Summarizer(Protocol):
     def summarize(self, previous: str, turns: list[tuple[str, str]]) -> str: ...
 
@@ -113,3 +123,30 @@ class LeadingSummarizer:
     def summarize(self, previous: str, turns: list[tuple[str, str]]) -> str:
         lines = [f"{u[: self.chars]} | {a[: self.chars]}" for u, a in turns]
         return "\n".join(filter(None, [previous, *lines]))
+
+
+class OverlapJudge:
+    """Scores 1 to 5 by shared words, 0 where there is nothing to compare."""
+
+    def scores(self, question: Column, truth: Column, context: Column, answer: Column) -> Column:
+        def share(of: Column, within: Column) -> Column:
+            ratio = overlap_ratio(content_tokens(of), content_tokens(within))
+            return F.coalesce(F.lit(1.0) + ratio * 4.0, F.lit(0.0))
+
+        return F.struct(
+            share(answer, context).alias("faithfulness"),
+            share(question, answer).alias("answer_relevancy"),
+            share(truth, answer).alias("completeness"),
+            share(context, truth).alias("citation_accuracy"),
+        )
+
+
+class LeadingSentenceWriter:
+    """One definition question per text, about its first sentence."""
+
+    def questions(self, text: Column) -> Column:
+        first = F.regexp_extract(text, r"^\s*([^.?!\n]+)", 1)
+        pair = F.struct(
+            F.concat(first, F.lit("?")).alias("question"), text.alias("answer"), F.lit("DEFINITION").alias("intent")
+        )
+        return F.when(first != "", F.array(pair))

@@ -31,7 +31,7 @@ class OrderedBlocks:
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], blocks: int | None = None):
         count = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.keys, self.order = list(keys), list(order)
+        self.keys, self.order, self.derived = list(keys), list(order), False
         ranged = df.repartitionByRange(count, *self.keys, *self.order)
         # The range bounds come from sampling, so the layout must be stored before use.
         self.df = cut_lineage(ranged.withColumn("_block", F.spark_partition_id()))
@@ -40,7 +40,9 @@ class OrderedBlocks:
         """Add the inclusive running ``sum``, ``max`` or ``min`` of a value in key order."""
         fn, combine = _COMBINE[how]
         at = ["_block", *self.keys]
-        df = self.df.withColumn("_v", value)
+        # A chained running value reads its input twice; storing it keeps that from doubling per step.
+        stored = cut_lineage(self.df) if self.derived else self.df
+        df = stored.withColumn("_v", value)
         local = Window.partitionBy(*at).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
         totals = df.groupBy(*at).agg(fn("_v").alias("_t"))
         earlier = (
@@ -51,7 +53,7 @@ class OrderedBlocks:
         carry = totals.withColumn("_carry", fn("_t").over(earlier)).where(F.col("_carry").isNotNull())
         joined = df.withColumn("_local", fn("_v").over(local)).join(carry.drop("_t"), at, "left")
         out = OrderedBlocks.__new__(OrderedBlocks)
-        out.keys, out.order = self.keys, self.order
+        out.keys, out.order, out.derived = self.keys, self.order, True
         out.df = joined.withColumn(name, combine(F.col("_local"), F.col("_carry"))).drop("_v", "_local", "_carry")
         return out
 

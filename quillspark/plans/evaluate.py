@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark import settings as S
+from quillspark.functions import models
 from quillspark.functions.parsing import parse_context, parse_ids, positive_mean, sanitize_score
 from quillspark.functions.text import content_tokens, overlap_ratio, strip
 from quillspark.operators.ranking import best_and_worst
+from quillspark.plans.retrieve import context_block
 
 # Judged dimensions, retrieval modes and histogram labels.
 JUDGED = ("faithfulness", "answer_relevancy", "completeness", "citation_accuracy")
@@ -78,6 +80,25 @@ def composite(records: DataFrame) -> DataFrame:
     return clean.withColumn("overall_score", positive_mean(*[F.col(c) for c in JUDGED]))
 
 
+def evaluation_records(samples: DataFrame, docs: DataFrame | None, generator: models.Generator, judge: models.Judge) -> DataFrame:
+    """Scored records of samples (qid, question, ground_truth_context, ground_truth_cids).
+
+    Without retrieved documents the true context is used, which isolates the answers;
+    retrieval is then not scored.
+    """
+    real = docs is not None
+    shown = docs if real else oracle_docs(samples).withColumn("rank", F.lit(1))
+    texts = context_block(shown, samples)
+    joined = samples.join(texts, "qid").withColumn("answer", generator.answer(F.col("question"), F.col("context")))
+    judged = joined.withColumn(
+        "_j", judge.scores(F.col("question"), F.col("ground_truth_context"), F.col("context"), F.col("answer"))
+    )
+    flat = judged.select("qid", "question", F.lit("backend" if real else "oracle_gt").alias("source"), "_j.*")
+    if not real:
+        return composite(flat).withColumns({"context_hit": F.lit(False), "cid_recall": F.lit(0.0)})
+    return composite(flat).join(score_retrieval(samples, docs), "qid")
+
+
 def positive_avg(c: str) -> Column:
     return F.coalesce(F.avg(F.when(F.col(c) > 0, F.col(c))), F.lit(0.0))
 

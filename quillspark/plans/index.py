@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from quillspark.functions import models
 from quillspark.functions.text import first_filled, or_empty, strip
-from quillspark.functions.vectors import assert_dim, quantise
+from quillspark.functions.vectors import assert_dim, quantise, unpack
 from quillspark.operators.blocks import OrderedBlocks
 from quillspark.operators.dedup import first_per_key, last_per_key
 
@@ -27,6 +27,18 @@ def upsert(existing: DataFrame, new: DataFrame, key: str, order: Sequence[str])
     return kept.unionByName(latest, allowMissingColumns=True)
 
 
+# Payload of an indexed chunk.
+PAYLOAD = ("cid", "parent_id", "text", "doc_id", "title", "legal_type", "url")
+
+
+def points_of(children: DataFrame, dim: int) -> DataFrame:
+    """Index points of stored children; packed vectors are unpacked, the size is checked."""
+    vec = F.col("dense_vector")
+    if dict(children.dtypes)["dense_vector"] == "binary":
+        vec = unpack(vec, dim)
+    return children.select(*PAYLOAD, assert_dim(vec, dim).alias("embedding"))
+
+
 def copy_points(legacy: DataFrame) -> DataFrame:
     """Points of the older layout: text under ``content`` or ``text``, blanks fall through."""
     columns = [F.col(c) for c in ("content", "text") if c in legacy.columns]

@@ -13,6 +13,7 @@ from quillspark.functions.markup import strip_html
 from quillspark.functions.text import REJECT_REASONS, SKIPPED_TYPES, VIETNAMESE, TextProfile, first_filled, or_empty, reject_reason
 from quillspark.operators.dedup import last_per_key
 from quillspark.operators.joins import not_yet_done
+from quillspark.session import stored
 from quillspark.settings import Settings
 
 # Source column to metadata column.
@@ -83,10 +84,16 @@ def classify(
     )
 
 
-def chunk(accepted: DataFrame, spec: ChunkSpec) -> tuple[DataFrame, DataFrame]:
-    """(parents, children) of accepted documents; both narrow over the same array column."""
-    packed = accepted.withColumn("_p", parents_and_children(F.col("text"), spec))
-    one = packed.select("doc_id", *META, F.posexplode("_p").alias("parent_index", "_parent")).withColumn(
+def pack(documents: DataFrame, spec: ChunkSpec) -> DataFrame:
+    """Documents with ``_p``, their parents and children; rejected texts are not chunked."""
+    passed = F.when(F.col("reject_reason").isNull(), F.col("text"))
+    return documents.withColumn("_p", parents_and_children(passed, spec))
+
+
+def chunk(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parents, children) of the accepted documents; no shuffle."""
+    accepted = packed.where("reject_reason is null")
+    one = accepted.select("doc_id", *META, F.posexplode("_p").alias("parent_index", "_parent")).withColumn(
         "parent_id", ids.parent_id(F.col("doc_id"), F.col("parent_index"))
     )
     kept = F.size("_parent.children") > 0
@@ -100,11 +107,10 @@ def chunk(accepted: DataFrame, spec: ChunkSpec) -> tuple[DataFrame, DataFrame]:
     return parents, children.select(cid.alias("cid"), *children.columns)
 
 
-def count_documents(documents: DataFrame, spec: ChunkSpec) -> DataFrame:
+def count_documents(packed: DataFrame) -> DataFrame:
     """All ingestion counters in one aggregation."""
     passed = F.col("reject_reason").isNull()
-    packed = F.when(passed, parents_and_children(F.col("text"), spec))
-    sized = documents.select("reject_reason", packed.alias("_p")).select(
+    sized = packed.select(
         "reject_reason",
         F.coalesce(F.size("_p"), F.lit(0)).alias("_np"),
         F.coalesce(
@@ -133,13 +139,20 @@ def ingest(
     done: DataFrame | None = None,
     profile: TextProfile = VIETNAMESE,
     boundary: str = ARTICLE_BOUNDARY,
+    skipped_types: tuple[str, ...] = SKIPPED_TYPES,
+    staged: bool = False,
 ) -> Ingested:
-    """The whole ingestion as one lazy plan."""
+    """The whole ingestion as one lazy plan.
+
+    ``staged`` stores the chunked documents once; use it when several of the results
+    are read, as every one of them would otherwise repeat the chunking.
+    """
     cfg = cfg or Settings()
     todo = not_yet_done(content, done, "doc_id") if done is not None else content
-    documents = classify(todo, metadata, cfg, profile)
-    spec = ChunkSpec.of(cfg, boundary)
-    parents, children = chunk(documents.where("reject_reason is null"), spec)
+    packed = pack(classify(todo, metadata, cfg, profile, skipped_types), ChunkSpec.of(cfg, boundary))
+    if staged:
+        packed = stored(packed, "chunked")
+    parents, children = chunk(packed)
     if embedder is not None:
         children = children.withColumn("dense_vector", models.embed(F.col("text"), embedder))
-    return Ingested(documents, parents, children, count_documents(documents, spec))
+    return Ingested(packed.drop("_p"), parents, children, count_documents(packed))

@@ -8,11 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.vectors import assert_dim
 from quillspark.operators.dedup import first_per_key
+from quillspark.operators.search import quantisation_bound
 from quillspark.plans.golden import REVIEW_COLUMNS, review_rows
-from quillspark.plans.index import upsert
+from quillspark.plans.index import upsert, with_codes
 from quillspark.session import scratch_path
-from quillspark.settings import SHARD_ROWS
+from quillspark.settings import QUANTILE, SHARD_ROWS
 from quillspark.sources.files import table_exists
 
 
@@ -42,6 +44,27 @@ def create_table(rows: DataFrame, path: str, reset: bool = False) -> None:
     rows.write.mode("overwrite" if reset else "ignore").parquet(path)
 
 
+def create_collection(points: DataFrame, path: str, dim: int, quantile: float = QUANTILE, reset: bool = False) -> bool:
+    """Write a searchable collection: checked vectors, int8 codes and a row describing them.
+
+    Rows are laid out by id, so that fetching the texts of a few hits reads few row
+    groups.  An existing collection is kept unless ``reset``.
+    """
+    spark = points.sparkSession
+    if table_exists(spark, f"{path}/points") and not reset:
+        return False
+    checked = points.withColumn("embedding", assert_dim(F.col("embedding"), dim))
+    bound = quantisation_bound(checked, "embedding", quantile)
+    coded = with_codes(checked, "embedding", bound)
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    coded.repartitionByRange(width, "cid").sortWithinPartitions("cid").write.mode("overwrite").parquet(f"{path}/points")
+    about = spark.range(1).select(
+        F.lit(dim).alias("dim"), F.lit("cosine").alias("metric"), F.lit(quantile).alias("quantile"), F.lit(bound).alias("bound")
+    )
+    about.write.mode("overwrite").json(f"{path}/about")
+    return True
+
+
 def verify_tables(spark: SparkSession, paths: dict[str, str]) -> dict[str, int]:
     """Row count per table; a missing table is an error."""
     missing = [name for name, path in paths.items() if not table_exists(spark, path)]

@@ -31,7 +31,7 @@ def ingest_stream(
     cfg = cfg or Settings()
 
     def apply(batch: DataFrame, _: int) -> None:
-        done = ingest(batch, metadata, cfg, embedder, profile=profile, boundary=boundary)
+        done = ingest(batch, metadata, cfg, embedder, profile=profile, boundary=boundary, staged=True)
         append_new(done.parents, parents_path, "parent_id", ["doc_id"], cfg.shard_rows)
         append_new(done.children, children_path, "cid", ["doc_id", "parent_index", "child_index"], cfg.shard_rows)
 

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.session import scratch_path
 
-FILES_PER_TRIGGER = 64
+# Bounds a micro-batch, and with it what one key can bring into one task at a time.
+FILES_PER_TRIGGER = 16
 
 
 def table_stream(
