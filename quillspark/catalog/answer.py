@@ -8,6 +8,7 @@ from quillspark.catalog import retrieval as V
 from quillspark.catalog.registry import query, table
 from quillspark.plans.answer import Engine, answer_batch
 from quillspark.plans.web import PageSource
+from quillspark.session import spread
 
 THRESHOLD = 0.02
 _ASKED = " UNION ALL ".join(
@@ -31,7 +32,7 @@ def answer_sources(spark, sf):
         F.concat(F.lit("http://"), "source", F.lit("/"), "doc_id").alias("url"), F.col("source").alias("title"), "text"
     )
     engine = Engine(V.document_index(spark, sf), web=PageSource(pages), threshold=THRESHOLD)
-    items = table(spark, sf, "benchmark")
+    items = spread(table(spark, sf, "benchmark"))
     opening = F.element_at(F.array(*[F.lit(o) for o in V.OPENINGS.values()]), (F.col("item_id") % len(V.OPENINGS) + 1).cast("int"))
     asked = items.select(F.col("item_id").alias("qid"), F.concat(opening, F.col("text")).alias("question"))
     _, docs = answer_batch(engine, asked, V.K)

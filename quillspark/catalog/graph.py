@@ -10,10 +10,11 @@ from quillspark.catalog.search import CENTROIDS, K, label_questions
 from quillspark.functions.models import OverlapScorer
 from quillspark.functions.vectors import centroids
 from quillspark.plans import graph
+from quillspark.session import spread
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    lines = spread(table(spark, sf, "lineitem")).join(table(spark, sf, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     named = lines.join(table(spark, sf, "customer").select("c_custkey", "c_name"), F.col("o_custkey") == F.col("c_custkey"))
     return named.select(
         F.col("c_name").alias("source"),

@@ -50,7 +50,7 @@ def document_index(spark: SparkSession, sf: str) -> R.Index:
 
 def benchmark_questions(spark: SparkSession, sf: str, intent: str | None = None) -> DataFrame:
     """Every benchmark item as a question, opened for one intent or for all in turn."""
-    items = table(spark, sf, "benchmark")
+    items = spread(table(spark, sf, "benchmark"))
     if intent:
         opening = F.lit(OPENINGS[intent])
     else:

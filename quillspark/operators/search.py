@@ -212,10 +212,13 @@ def _candidates(questions: DataFrame, corpus: DataFrame, kernel, k: int, max_row
     ddl = f"qid {q_type.simpleString()}, id {id_type.simpleString()}, coarse double, score double"
     spark = questions.sparkSession
 
-    head = questions.limit(max_rows + 1).toArrow()
-    if head.num_rows == 0:
+    # Sizes are measured in Spark before anything is collected; JSON text is an upper bound.
+    size = F.sum(F.length(F.to_json(F.struct("payload"))))
+    rows, volume = questions.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    if rows == 0:
         return spark.createDataFrame([], ddl)
-    if head.num_rows <= max_rows and head.nbytes <= max_bytes:
+    if rows <= max_rows and volume <= max_bytes:
+        head = questions.toArrow()
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, head.schema) as writer:
             writer.write_table(head)

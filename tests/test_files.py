@@ -163,3 +163,31 @@ def test_respond(spark):
     assert service.respond(spark, engine, service.Request("hi"))["intent"] == "CHITCHAT"
     reply = service.respond(spark, engine, service.Request("tax law one", top_k=2, include_content=True))
     assert len(reply["sources"]) == 2 and reply["sources"][0]["content"] == "whole parent" and not reply["used_web"]
+
+
+def test_collection_and_metrics(spark, folder):
+    vectors = HashingEmbedder(8).encode([f"word{i} text" for i in range(20)])
+    points = spark.createDataFrame([(i, f"t{i}", v.tolist()) for i, v in enumerate(vectors)], "cid long, text string, embedding array<float>")
+    path = str(folder / "c")
+    assert tables.create_collection(points, path, 8)
+    assert not tables.create_collection(points.limit(0), path, 8)
+    kept = spark.read.parquet(f"{path}/points")
+    assert kept.count() == 20 and all(-127 <= c <= 127 for r in kept.collect() for c in r.code)
+    about = spark.read.json(f"{path}/about").first()
+    assert about.dim == 8 and 0 < about.bound <= 1.001
+    with pytest.raises(Exception, match="expected 9"):
+        tables.create_collection(points, str(folder / "d"), 9)
+    m = spark.range(1).select(F.lit(1.0).alias("hit_rate"))
+    assert not tables.log_metrics(m, {"k": 5}, str(folder / "runs"), None)
+    assert tables.log_metrics(m, {"k": 5}, str(folder / "runs"), "r1")
+    assert spark.read.json(str(folder / "runs")).first().params == '{"k": 5}'
+
+
+def test_children_to_points(spark):
+    rows = spark.createDataFrame(
+        [(1, 2, "t", 3, "ti", "k", "u", bytearray(b"\x00\x00\x80?\x00\x00\x00@"))],
+        "cid long, parent_id long, text string, doc_id long, title string, legal_type string, url string, dense_vector binary",
+    )
+    assert index.points_of(rows, 2).first().embedding == [1.0, 2.0]
+    with pytest.raises(Exception, match="expected 12"):
+        index.points_of(rows, 3).collect()
