@@ -60,11 +60,15 @@ def circuit_breaker(
 def ttl_cache(requests: DataFrame, ttl_us: int = S.CACHE_TTL_SEC * 1_000_000) -> DataFrame:
     """Hit or miss of every request per ``key``; an entry lives ``ttl`` from its fetch.
 
-    ``requests``: key STRING, seq LONG, at LONG (microseconds).  Idle keys expire with
-    their entry, which bounds the state by the keys of the last ``ttl``.
+    ``requests``: key STRING, seq LONG, at LONG (microseconds).  A key that stays idle
+    for the lifetime of its entry is dropped from the state.
     """
+    idle_ms = max(1, ttl_us // 1000)
 
     def step(key, chunks, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         fetched = state.get[0] if state.exists else None
         rows = _in_order(chunks, ["at", "seq"])
         hits = []
@@ -73,10 +77,11 @@ def ttl_cache(requests: DataFrame, ttl_us: int = S.CACHE_TTL_SEC * 1_000_000) ->
             fetched = fetched if hit else int(at)
             hits.append(hit)
         state.update((fetched,))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"key": key[0], "seq": rows["seq"].to_numpy(), "hit": hits})
 
     return requests.groupBy("key").applyInPandasWithState(
-        step, "key string, seq long, hit boolean", "fetched long", "append", GroupStateTimeout.NoTimeout
+        step, "key string, seq long, hit boolean", "fetched long", "append", GroupStateTimeout.ProcessingTimeTimeout
     )
 
 
