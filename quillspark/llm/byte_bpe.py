@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,7 +22,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as spm
 
+from quillspark.llm.near_documents import slices
+
 FIRST_CHARACTER = 0x100
+#: Characters of text split at once.
+SLICE_CHARS = 1 << 20
 #: Pre-tokens remembered per Python worker.
 REMEMBERED = 1 << 18
 
@@ -59,24 +64,25 @@ class ByteBpe:
         self.letters = [chr(FIRST_CHARACTER + b) for b in range(256)]
         self.seen: dict[str, tuple[int, ...]] = dict(self.whole)
 
+    def encode_all(self, texts: list[str | None]) -> Iterator[list[int]]:
+        """Ids of each text; pre-tokens not met before are encoded together."""
+        split = self.pattern.findall
+        for lo, hi in slices([len(t or "") for t in texts], SLICE_CHARS):
+            found = [split(t or "") for t in texts[lo:hi]]
+            new = set().union(*found) - self.seen.keys()
+            if new and len(self.seen) > REMEMBERED + len(self.whole):
+                self.seen = dict(self.whole)
+                new = set().union(*found) - self.seen.keys()
+            if new:
+                tokens, letters = list(new), self.letters
+                mapped = ["".join([letters[b] for b in t.encode()]) for t in tokens]
+                self.seen.update(zip(tokens, self.pieces.encode(mapped, out_type=int, num_threads=1)))
+            ids_of = self.seen.__getitem__
+            for tokens in found:
+                yield list(chain.from_iterable(map(ids_of, tokens)))
+
     def encode(self, text: str | None) -> list[int]:
-        found = self.pattern.findall(text or "")
-        seen = self.seen
-        try:
-            return list(chain.from_iterable([seen[t] for t in found]))
-        except KeyError:
-            self._learn({t for t in found if t not in seen})
-        return list(chain.from_iterable([self.seen[t] if t in self.seen else self._fresh([t])[0] for t in found]))
-
-    def _fresh(self, tokens: list[str]) -> list[tuple[int, ...]]:
-        letters = self.letters
-        return [tuple(x) for x in self.pieces.encode(["".join([letters[b] for b in t.encode()]) for t in tokens], out_type=int)]
-
-    def _learn(self, tokens: set[str]) -> None:
-        if len(self.seen) > REMEMBERED + len(self.whole):
-            self.seen = dict(self.whole)
-        new = list(tokens - self.seen.keys())
-        self.seen.update(zip(new, self._fresh(new)))
+        return next(self.encode_all([text]))
 
     def decode(self, ids: list[int]) -> bytes:
         pieces = self.bytes
@@ -121,8 +127,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary.open()
         for batch in batches:
-            ids = pa.array([bpe.encode(t) for t in batch.column(batch.num_columns - 1).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=schema.names)
+            texts = batch.column(batch.num_columns - 1).to_pylist()
+            for lo, hi in slices([len(t or "") for t in texts], SLICE_CHARS):
+                ids = pa.array([array("i", x) for x in bpe.encode_all(texts[lo:hi])], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], ids], names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
 
@@ -134,8 +142,7 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         bpe = vocabulary.open()
         for batch in batches:
             n, ids_sha, back_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                ids = bpe.encode(text)
+            for ids in bpe.encode_all(batch.column(1).to_pylist()):
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(bpe.written(ids).encode()).hexdigest())
                 back_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
