@@ -1,15 +1,22 @@
 """Near-duplicate linking by MinHash: packed b-bit signatures, band buckets, star and cross-group candidates, exact checks.
 
 Items have columns id (long), n (long, size of the set), bands (array<long>) and g0, g1 (long): the low
-two bits of 64 minima, packed.  No bucket is compared pair by pair.  First every member of a bucket
-is compared with the smallest member; whatever is linked then forms groups.  Only in buckets that still
-hold several groups the other members are compared, in blocks of bounded size, and only across groups,
-as a link inside a group changes nothing.  So a bucket of thousands of copies costs one comparison each.
+two bits of 64 minima, packed.
+
+1. Every member of a bucket is compared with the bucket's smallest member: by signature, then on the full
+   sets.  What is linked forms groups; a bucket of thousands of copies costs one comparison each.
+2. Where a bucket still holds several groups, the signatures of its other members are compared across
+   groups, in blocks of bounded size.  Each block passes on only links that join the same items as all
+   its likely pairs, so the rows grow with the members, not with their pairs.  Together with the first
+   comparisons these form clusters, and every likely pair lies inside one cluster.
+3. Clusters with several groups are compared on the full sets, again in blocks and across groups only,
+   and each block passes on links that join the same items as all it found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -95,7 +102,32 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def _across(needed: int, ratio: float):
+def spanning(count: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the same items 0 .. count - 1 as the pairs (i, j), at most one for each item."""
+    least = np.arange(count)
+    while True:
+        now = least.copy()
+        np.minimum.at(now, i, least[j])
+        np.minimum.at(now, j, least[i])
+        now = np.minimum(now, now[now])
+        if (now == least).all():
+            rows = np.flatnonzero(least != np.arange(count))
+            return rows, least[rows]
+        least = now
+
+
+def _cells(table: pa.Table) -> Iterator[tuple[int, int]]:
+    cell = table.column("cell").to_numpy()
+    cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
+    yield from zip(cuts[:-1], cuts[1:])
+
+
+def _pairs(xs: list[np.ndarray], ys: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs), pa.int64()), pa.array(np.concatenate(ys), pa.int64())], names=["x", "y"])
+
+
+def _likely(needed: int, ratio: float):
+    """Spanning pairs of the likely pairs of each cell, by signatures."""
     paired = np.uint64(_PAIRED)
 
     def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -104,11 +136,10 @@ def _across(needed: int, ratio: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "cell"):
-            cell, ids, comp, n, side = (table.column(c).to_numpy() for c in ("cell", "id", "comp", "n", "side"))
+            ids, comp, n, side = (table.column(c).to_numpy() for c in ("id", "comp", "n", "side"))
             g0, g1 = (table.column(c).to_numpy().view(np.uint64) for c in ("g0", "g1"))
-            cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
             xs, ys = [], []
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
+            for lo, hi in _cells(table):
                 at = np.arange(lo, hi)
                 left, right = at[side[at] != 1], at[side[at] != 0]
                 if not len(left) or not len(right):
@@ -117,51 +148,125 @@ def _across(needed: int, ratio: float):
                 near &= comp[left][:, None] != comp[right][None, :]
                 small, large = np.minimum(n[left][:, None], n[right][None, :]), np.maximum(n[left][:, None], n[right][None, :])
                 i, j = np.nonzero(near & (small >= ratio * large))
-                xs.append(np.minimum(ids[left[i]], ids[right[j]]))
-                ys.append(np.maximum(ids[left[i]], ids[right[j]]))
-            if xs and sum(map(len, xs)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["x", "y"])
+                i, j = spanning(hi - lo, left[i] - lo, right[j] - lo)
+                xs.append(ids[lo + i])
+                ys.append(ids[lo + j])
+            if xs:
+                yield _pairs(xs, ys)
+
+    return run
+
+
+def _linked_in(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning pairs of the links across groups in one cell; intersections are counted through the elements' holders."""
+    sizes = np.array([len(x) for x in sets])
+    _, element = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(element, kind="stable")
+    by_element = holder[order]
+    first = np.searchsorted(element[order], np.arange(element.max() + 1 if len(element) else 0))
+    count = np.diff([*first, len(element)])
+    ends = np.cumsum(sizes)
+    found_i, found_j = [], []
+    for i in np.flatnonzero(side != 1):
+        mine = element[ends[i] - sizes[i] : ends[i]]
+        n = count[mine]
+        # positions of all holders of my elements, one run per element
+        runs = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+        both = np.bincount(by_element[runs], minlength=len(sets))
+        near = both * similarity.denominator >= similarity.numerator * (sizes + sizes[i] - both)
+        j = np.flatnonzero(near & (both > 0) & (comp != comp[i]) & (side != 0 if side[i] == 0 else True))
+        found_i.append(np.full(len(j), i))
+        found_j.append(j)
+    if not found_i:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    return spanning(len(sets), np.concatenate(found_i).astype(np.int64), np.concatenate(found_j).astype(np.int64))
+
+
+def _exact(set_of: Callable[[bytes], np.ndarray], similarity: Fraction):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in grouped(batches, "cell"):
+            ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+            xs, ys = [], []
+            for lo, hi in _cells(table):
+                sets = [set_of(t) for t in table.column("text").slice(lo, hi - lo).to_pylist()]
+                i, j = _linked_in(sets, comp[lo:hi], side[lo:hi], similarity)
+                xs.append(ids[lo + i])
+                ys.append(ids[lo + j])
+            if xs:
+                yield _pairs(xs, ys)
 
     return run
 
 
+def _confirmed(set_of: Callable[[bytes], np.ndarray], similarity: Fraction):
+    """The pairs (x, y) that are links on their full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, None
+        for batch in batches:
+            xs, ys, keep = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
+            for k, (x, tx, ty) in enumerate(zip(xs, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+                if x != last:
+                    last, held = x, set_of(tx)
+                other = set_of(ty)
+                both = len(np.intersect1d(held, other, assume_unique=True))
+                if both and both * similarity.denominator >= similarity.numerator * (len(held) + len(other) - both):
+                    keep.append(k)
+            yield _pairs([xs[keep]], [ys[keep]])
+
+    return run
+
+
+def _in_blocks(rows: DataFrame, group: str, members: str) -> DataFrame:
+    """Rows placed in cells of two blocks of their group, with side 0 or 1, or 2 where both blocks are one."""
+    blocks = F.ceil(F.col(members) / BLOCK).cast("int")
+    placed = rows.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    spread = placed.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    cell = F.xxhash64(group, F.least("_block", "_other"), F.greatest("_block", "_other"))
+    side = F.when(F.col("_block") == F.col("_other"), 2).when(F.col("_block") < F.col("_other"), 0).otherwise(1)
+    out = spread.withColumn("cell", cell).withColumn("side", side).drop("_blocks", "_block", "_other", group, members)
+    return out.repartition("cell").sortWithinPartitions("cell")
+
+
 class Linked:
-    """Links between items and the components they form.
+    """Links that join the items as all their links do, and the components they form.
 
-    ``confirm`` takes candidate pairs (x, y) and the ids that share a bucket with others, and returns
-    the pairs that are links.
+    ``texts`` gives (id, text as bytes) for a table of ids, ``set_of`` the sorted distinct element hashes of
+    a text.
     """
 
-    def __init__(self, items: DataFrame, similarity: float, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]):
-        ratio, needed = similarity - 1e-9, needed_matches(similarity)
+    def __init__(self, items: DataFrame, similarity: Fraction, texts: Callable[[DataFrame], DataFrame], set_of: Callable[[bytes], np.ndarray]):
+        ratio, needed = float(similarity) - 1e-9, needed_matches(float(similarity))
         buckets = items.select("id", F.explode("bands").alias("band"))
         leads = buckets.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("members"))
-        self.shared = stored(buckets.join(leads.where("lead < last").drop("last"), "band"), "buckets")
-        confirm = prepare(self.shared.select("id").distinct())
+        shared = stored(buckets.join(leads.where("lead < last").drop("last"), "band"), "buckets")
+        full = texts(shared.select("id").distinct())
         signs = items.select("id", "n", "g0", "g1").dropDuplicates(["id"])
-        star = self.shared.where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
+        star = shared.where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
         sides = [signs.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "g0", "g1")]) for s in "xy"]
         likely = star.join(sides[0], "x").join(sides[1], "y").where(
             (matches(F.col("g0_x"), F.col("g0_y"), F.col("g1_x"), F.col("g1_y")) >= needed)
             & (F.least("n_x", "n_y") >= ratio * F.greatest("n_x", "n_y"))
         )
         tried = stored(likely.select("x", "y"), "star-pairs")
-        links = stored(confirm(tried), "star-links")
-        found = components(links)
-        # Buckets whose members besides the smallest one fall into several groups.
-        members = self.shared.where("id <> lead and members > 2").join(found.select(F.col("vertex").alias("id"), "component"), "id", "left")
-        members = members.select("band", "id", "members", F.coalesce("component", "id").alias("comp"))
-        several = members.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band")
-        rest = members.join(several, "band").join(signs, "id")
-        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-        placed = rest.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        cells = spread.select(
-            F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "comp", "n", "g0", "g1",
-            F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-        )
-        sorted_cells = cells.repartition("cell").sortWithinPartitions("cell")
-        cross = sorted_cells.mapInArrow(_across(needed, ratio), "x long, y long").distinct().join(tried, ["x", "y"], "left_anti")
-        more = stored(confirm(cross), "cross-links")
-        self.links = links.unionByName(more)
-        self.components = components(self.links) if more.limit(1).count() else found
+        ty, tx = full.select(F.col("id").alias("y"), F.col("text").alias("ty")), full.select(F.col("id").alias("x"), F.col("text").alias("tx"))
+        compared = tried.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty")
+        links = stored(compared.mapInArrow(_confirmed(set_of, similarity), "x long, y long"), "star-links")
+        self.components = found = components(links)
+
+        def grouped_in(rows: DataFrame, key: str) -> DataFrame:
+            """rows with their group so far, where their key holds several groups."""
+            named = rows.join(found.select(F.col("vertex").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+            several = named.groupBy(key).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select(key)
+            return named.join(several, key)
+
+        rest = grouped_in(shared.where("id <> lead and members > 2").select("band", "id", "members"), "band").join(signs, "id")
+        also = _in_blocks(rest, "band", "members").mapInArrow(_likely(needed, ratio), "x long, y long")
+        clusters = components(tried.unionByName(also))
+        sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
+        placed = clusters.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("vertex").alias("id"), "members")
+        unsettled = grouped_in(placed, "cluster").join(full, "id")
+        more = stored(_in_blocks(unsettled, "cluster", "members").mapInArrow(_exact(set_of, similarity), "x long, y long"), "cross-links")
+        if more.limit(1).count():
+            self.components = components(links.unionByName(more))

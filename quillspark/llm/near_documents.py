@@ -78,23 +78,6 @@ def _signed(width: int):
     return run
 
 
-def _confirmed(width: int, similarity: Fraction):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
-        for batch in batches:
-            xs, ys, keep = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for k, (x, tx, ty) in enumerate(zip(xs, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if x != last:
-                    last, held = x, shingle_set(tx, width)
-                other = shingle_set(ty, width)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                if both * similarity.denominator >= similarity.numerator * (len(held) + len(other) - both) and both:
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([xs[k] for k in keep], pa.int64()), pa.array([ys[k] for k in keep], pa.int64())], names=["x", "y"])
-
-    return run
-
-
 def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, text as bytes) of the documents named, stored; others' texts are mostly not shuffled."""
     narrow = docs.select(F.col("doc_id").alias("id"), F.col("text").cast("binary").alias("text"))
@@ -110,17 +93,8 @@ def near_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fract
     placed = stored(signed.where("n_shingles > 0 and doc_id is not null").join(firsts, key), "placed")
     items = placed.where("doc_id = rep").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "g0", "g1")
 
-    def prepare(ids: DataFrame):
-        texts = candidate_texts(docs, ids)
-
-        def confirm(pairs: DataFrame) -> DataFrame:
-            ty, tx = texts.select(F.col("id").alias("y"), F.col("text").alias("ty")), texts.select(F.col("id").alias("x"), F.col("text").alias("tx"))
-            full = pairs.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty")
-            return full.mapInArrow(_confirmed(width, similarity), "x long, y long").distinct()
-
-        return confirm
-
-    found = Linked(items, float(similarity), prepare).components
+    linked_items = Linked(items, similarity, lambda ids: candidate_texts(docs, ids), lambda text: shingle_set(text, width))
+    found = linked_items.components
     named = placed.select("doc_id", "n_shingles", "rep").join(found.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     linked = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
