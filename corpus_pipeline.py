@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm import byte_bpe, language, near_documents
+from quillspark.llm import byte_bpe, language, lines, mixing, near_documents
 from quillspark.llm.catalog import PIECES, RANKS
 from quillspark.llm.common import read_table
 from quillspark.session import stored
@@ -25,18 +25,28 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
 
 
+def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that repeat an earlier one; those that lose every line go."""
+    return lines.deduplicated(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8)."""
     return near_documents.one_of_each(docs)
 
 
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of the mix; one taken twice is there twice."""
+    return mixing.repeated(docs)
+
+
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and token_ids of every document."""
     vocabulary = byte_bpe.Vocabulary(spark, RANKS, public_tokenizers.PATTERN)
     return byte_bpe.encoded(docs, vocabulary, ["doc_id", "lang", "source"])
 
 
-STAGES = [("language", known_language), ("near_duplicates", near_duplicates), ("tokens", tokens)]
+STAGES = [("language", known_language), ("lines", fuzzy_lines), ("near_duplicates", near_duplicates), ("mix", mix), ("tokens", tokens)]
 #: Learned models, MinHash and BPE are not expressible in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 

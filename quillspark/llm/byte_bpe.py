@@ -20,6 +20,7 @@ import regex
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as spm
 
 from quillspark.llm.near_documents import slices
@@ -122,7 +123,7 @@ class Vocabulary:
 
 def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` and token_ids (array of int) of every row."""
-    schema = docs.select(*keep).schema.add("token_ids", "array<int>")
+    schema = StructType([*docs.select(*keep).schema.fields, StructField("token_ids", ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary.open()

@@ -8,7 +8,7 @@ from fractions import Fraction
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import byte_bpe, imatch, language, near_documents
+from quillspark.llm import byte_bpe, imatch, language, lines, mixing, near_documents, near_vectors, personal_data, secrets, substrings
 from quillspark.llm.common import read_table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,6 +24,30 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identified(docs, language.learned(docs, PIECES))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_vectors(read_table(spark, sf_dir, "embeddings"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scanned(read_table(spark, sf_dir, "documents")))
+
+
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.digest(personal_data.sanitised(read_table(spark, sf_dir, "documents")))
+
+
+def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicated(read_table(spark, sf_dir, "documents"), digests=True)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.counted(read_table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = byte_bpe.Vocabulary(spark, RANKS, public_tokenizers.PATTERN)
     return byte_bpe.round_trip(read_table(spark, sf_dir, "documents"), vocabulary)
@@ -33,9 +57,36 @@ def op10_minhash_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_documents.near_documents(read_table(spark, sf_dir, "documents"), 3, Fraction(85, 100))
 
 
+OPERATORS = (
+    op1_imatch_fingerprints, op2_language, op3_near_vectors, op4_secrets, op5_personal_data, op6_substrings, op7_mixing, op8_lines,
+    op9_byte_bpe, op10_minhash_documents,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_imatch_fingerprints, op2_language, op9_byte_bpe, op10_minhash_documents)}
+    return {f.__name__: f for f in OPERATORS}
+
+
+#: Exact for the result that the contract fixes; the anchors only find candidates.
+SUBSTRINGS_SQL = r"""
+WITH words AS (
+    SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+    SELECT doc_id, k, array_to_string(w[k:k + 12], ' ') AS win
+    FROM words, unnest(generate_series(1, len(w) - 12)) AS u(k)
+), firsts AS (
+    SELECT win, min(doc_id) AS lo FROM windows GROUP BY win
+), gone AS (
+    SELECT DISTINCT doc_id, unnest(generate_series(k, k + 12)) AS k FROM windows JOIN firsts USING (win) WHERE lo < doc_id
+), cut AS (
+    SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ks), 0) AS BIGINT) AS n_removed,
+    sha256(coalesce(array_to_string(CASE WHEN ks IS NULL THEN w
+        ELSE list_transform(list_filter(generate_series(1, len(w)), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END, ' '), '')) AS kept_sha256
+FROM words LEFT JOIN cut USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substrings": SUBSTRINGS_SQL}

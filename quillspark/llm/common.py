@@ -84,11 +84,11 @@ def bucket_of(key: Column, bits: int = FILTER_BITS) -> Column:
 
 
 def bitmap_rows(buckets: DataFrame, bucket: str) -> DataFrame:
-    """(_row, _bits): bitmap of the bucket numbers; its size depends on the largest number only."""
+    """(_bitmap_row, _bitmap): bitmap of the bucket numbers; its size depends on the largest number only."""
     numbered = buckets.select(
-        F.expr(f"bitmap_bucket_number({bucket})").alias("_row"), F.expr(f"bitmap_bit_position({bucket})").alias("_pos")
+        F.expr(f"bitmap_bucket_number({bucket})").alias("_bitmap_row"), F.expr(f"bitmap_bit_position({bucket})").alias("_pos")
     )
-    return numbered.groupBy("_row").agg(F.expr("bitmap_construct_agg(_pos)").alias("_bits"))
+    return numbered.groupBy("_bitmap_row").agg(F.expr("bitmap_construct_agg(_pos)").alias("_bitmap"))
 
 
 def probably_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
@@ -101,12 +101,12 @@ def probably_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     hashed = keys.where(F.col(name).isNotNull()).select(bucket_of(F.col(name)).alias("_b"))
     rows = bitmap_rows(hashed, "_b")
     spot = bucket_of(F.col(key))
-    joined = df.withColumn("_spot", spot).withColumn("_row", F.expr("bitmap_bucket_number(_spot)")).join(F.broadcast(rows), "_row", "left")
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(bitmap_bit_position(_spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    joined = df.withColumn("_spot", spot).withColumn("_bitmap_row", F.expr("bitmap_bucket_number(_spot)")).join(F.broadcast(rows), "_bitmap_row", "left")
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(bitmap_bit_position(_spot) div 8 as int) + 1, 1)")), 16, 10).cast("int")
     bit = F.expr("cast(bitmap_bit_position(_spot) % 8 as int)")
-    known = F.col("_bits").isNotNull() & F.col(key).isNotNull()
+    known = F.col("_bitmap").isNotNull() & F.col(key).isNotNull()
     hit = F.coalesce(known & (F.call_function("shiftright", byte, bit).bitwiseAND(F.lit(1)) == 1), F.lit(False))
-    return joined.withColumn("_maybe", hit).drop("_spot", "_row", "_bits")
+    return joined.withColumn("_maybe", hit).drop("_spot", "_bitmap_row", "_bitmap")
 
 
 def _star_sides(edges: DataFrame) -> DataFrame:

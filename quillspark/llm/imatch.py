@@ -83,8 +83,8 @@ def lexicon(docs: DataFrame) -> bytes:
     bits, step = bytearray(BUCKETS // 8), BITMAP_ROW_BITS // 8
     for row in bitmap_rows(band.select(F.col("bucket").cast("long").alias("b")), "b").collect():  # at most 513 rows of 4 KiB
         # Spark numbers bitmaps from 1, and number 1 starts at value 1 for positive values
-        part = bytes(row["_bits"])
-        bits[(row["_row"] - 1) * step : (row["_row"] - 1) * step + len(part)] = part
+        part = bytes(row["_bitmap"])
+        bits[(row["_bitmap_row"] - 1) * step : (row["_bitmap_row"] - 1) * step + len(part)] = part
     return bytes(bits)
 
 

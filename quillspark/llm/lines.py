@@ -6,8 +6,8 @@ without any other character are never removed.  A line's set holds its distinct
 similarity of SIMILARITY or more on their full sets are linked, and of each component the first line, by
 doc_id and line number, is kept; all others are removed wherever they stand.
 
-Banding has BANDS bands of ROWS minima: a pair at the threshold is found with probability 0.985, one at 0.9
-with 0.9998.  Items are named by a 64-bit hash of their comparison form.
+Banding has BANDS bands of ROWS minima: a pair at the threshold is found with probability 0.995, one at 0.9
+with 0.99997.  Items are named by a 64-bit hash of their comparison form.
 
 Null texts have no lines.  Rows without doc_id are returned whole.  Repeated rows (same id and text) are
 treated alike; rows of one doc_id with different texts follow each other by a hash of the text.  Other
@@ -34,7 +34,7 @@ from quillspark.session import scratch_path, stored
 
 SHINGLE = 7
 SIMILARITY = Fraction(4, 5)
-BANDS, ROWS = 8, 4
+BANDS, ROWS = 10, 4
 _SCHEMA = "key long, doc_id long, row long, line int, n long, bands array<long>, g0 long, g1 long, text binary"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 

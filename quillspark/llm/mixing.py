@@ -63,63 +63,66 @@ def targets(sizes: DataFrame) -> DataFrame:
 
 
 def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
-    """source, threshold, left: documents with a hash below the threshold fit in the budget, which leaves so much.
+    """source, from, left: documents with a hash below ``from`` fit in the budget, which leaves so much.
 
-    ``rows`` has source, size, h; ``budgets`` has source, budget.  One row per source comes back.
+    ``rows`` has source, size, h; ``budgets`` has source, budget.  Each source of ``budgets`` that has rows
+    comes back once; where everything fits, ``from`` lies beyond all hashes.
     """
-    inside, edge = rows, budgets.select("source", F.col("budget").alias("left"), F.lit(0).cast("long").alias("from"))
+    everything = 1 << (BITS * STEPS)
+    limits = budgets.select(F.col("source").alias("_s"), F.lit(0).cast("long").alias("_from"), F.lit(everything).cast("long").alias("_to"), F.col("budget").cast("double").alias("_left"))
     for step in range(STEPS):
         width = 1 << (BITS * (STEPS - 1 - step))
-        bucket = F.floor(F.col("h") / width)
-        sums = inside.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("size"))
-        running = F.sum("size").over(Window.partitionBy("source").orderBy("bucket"))
-        cut = sums.withColumn("sum", running).join(edge, sums["source"].eqNullSafe(edge["source"])).drop(edge["source"])
-        over = F.col("sum") > F.col("left")
-        found = cut.groupBy("source").agg(
-            F.min(F.when(over, F.col("bucket"))).alias("bucket"),
-            F.coalesce(F.max(F.when(~over, F.col("sum"))), F.lit(0)).alias("used"), F.first("left").alias("left"),
-        )
-        whole = F.col("bucket").isNull()  # everything fits
-        edge = found.select("source", (F.col("left") - F.col("used")).alias("left"), F.when(whole, 1 << (BITS * STEPS)).otherwise(F.col("bucket") * width).alias("from"))
-        if step + 1 < STEPS:
-            at = edge.select(F.col("source").alias("_s"), F.col("from").alias("_f"))
-            inside = rows.join(at, rows["source"].eqNullSafe(at["_s"]) & (F.col("h") >= F.col("_f")) & (F.col("h") < F.col("_f") + width)).drop("_s", "_f")
-            kept = edge
-            edge = stored(kept, "thresholds")
-            whole_sources = edge.where(F.col("from") == 1 << (BITS * STEPS))
-            rest = edge.where(F.col("from") < 1 << (BITS * STEPS))
-            outcome, edge = whole_sources, rest
-    return edge.unionByName(outcome)
-
-
-def mixed(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every row of (doc_id, text, source)."""
+        inside = rows.join(limits, rows["source"].eqNullSafe(limits["_s"]) & (F.col("h") >= F.col("_from")) & (F.col("h") < F.col("_to")))
+        sums = inside.groupBy("source", "_to", "_left", F.floor(F.col("h") / width).alias("bucket")).agg(F.sum("size").alias("size"))
+        summed = sums.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")))
+        over = F.col("sum") > F.col("_left")
+        found = summed.groupBy("source", "_to", "_left").agg(
+            F.min(F.when(over, F.col("bucket") * width)).alias("first"), F.coalesce(F.max(F.when(~over, F.col("sum"))), F.lit(0)).alias("used")
+        )
+        start = F.coalesce("first", "_to")
+        # a source that fits whole has no boundary bucket: its range becomes empty at its end
+        limits = stored(found.select(F.col("source").alias("_s"), start.alias("_from"), F.when(F.col("first").isNull(), start).otherwise(start + width).alias("_to"), (F.col("_left") - F.col("used")).alias("_left")), "limits")
+        done = limits.where("_from = _to") if step == 0 else done.unionByName(limits)
+        limits = limits.where("_from < _to")
+    return done.select(F.col("_s").alias("source"), F.col("_from").alias("from"), F.col("_left").alias("left"))
+
+
+def _table(docs: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Sizes and hashes per document, thresholds per source, and the number of copies as a column over both."""
     narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash_value(F.col("doc_id")).alias("h"))
     sized = stored(narrow, "sizes")
     goals = stored(targets(sized), "targets")
-    extra = F.when(F.col("target") >= F.col("source_size"), F.col("target") - F.col("source_size")).otherwise(F.col("target"))
-    base = F.when(F.col("target") >= F.col("source_size"), 1).otherwise(0)
-    budgets = goals.select("source", extra.alias("budget"))
-    taken_by = None
-    left, rounds = budgets, None
-    rows = sized.select("source", "size", "h")
+    twice = F.col("target") >= F.col("source_size")
+    budgets = goals.select("source", F.when(twice, F.col("target") - F.col("source_size")).otherwise(F.col("target")).alias("budget"))
+    table, rows = goals.withColumn("base", F.when(twice, 1).otherwise(0)), sized.select("source", "size", "h")
     for k in range(ROUNDS):
-        now = stored(_thresholds(rows, left), "thresholds").select(F.col("source").alias(f"s{k}"), F.col("from").alias(f"t{k}"), F.col("left").alias(f"left{k}"))
-        rounds = now if rounds is None else rounds.join(now, rounds["s0"].eqNullSafe(now[f"s{k}"]), "left").drop(f"s{k}")
-        left = now.select(F.col(f"s{k}").alias("source"), F.col(f"left{k}").alias("budget"))
+        now = stored(_thresholds(rows, budgets), "thresholds")
+        renamed = now.select(F.col("source").alias("_s"), F.col("from").alias(f"t{k}"), F.col("left").alias(f"left{k}"))
+        table = table.join(renamed, table["source"].eqNullSafe(renamed["_s"]), "left").drop("_s")
+        budgets = now.select("source", F.col("left").alias("budget"))
         # what the next round may still take: behind this threshold, and no larger than what is left
-        limit = now.select(F.col(f"s{k}").alias("_s"), F.col(f"t{k}").alias("_t"), F.col(f"left{k}").alias("_l"))
-        rows = rows.join(limit, rows["source"].eqNullSafe(limit["_s"]) & (F.col("h") >= F.col("_t")) & (F.col("size") <= F.col("_l"))).select("source", "size", "h")
-    table = goals.withColumn("base", base).join(rounds, goals["source"].eqNullSafe(rounds["s0"]), "left").drop("s0")
-    table = stored(table.select(F.col("source").alias("_source"), "source_size", "target", "base", *[f"{c}{k}" for k in range(ROUNDS) for c in ("t", "left")]), "mix")
+        behind = (F.col("h") >= F.col(f"t{k}")) & (F.col("size") <= F.col(f"left{k}"))
+        rows = rows.join(renamed, rows["source"].eqNullSafe(renamed["_s"]) & behind).select("source", "size", "h")
+    table = stored(table.withColumnRenamed("source", "_source"), "mix")
+    reached, taken = F.lit(True), F.lit(False)
     for k in range(ROUNDS):
-        inside = F.col("h") < F.col(f"t{k}")
-        if k:
-            behind = (F.col("h") >= F.col(f"t{k - 1}")) & (F.col("size") <= F.col(f"left{k - 1}"))
-            for j in range(k - 1):
-                behind = behind & (F.col("h") >= F.col(f"t{j}")) & (F.col("size") <= F.col(f"left{j}"))
-            inside = inside & behind
-        taken_by = inside if taken_by is None else taken_by | inside
-    named = sized.join(table, sized["source"].eqNullSafe(table["_source"]))
-    copies = F.col("base") + F.coalesce(taken_by, F.lit(False)).cast("int")
-    return named.withColumn("copies", copies).select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+        taken = taken | (reached & (F.col("h") < F.col(f"t{k}")))
+        reached = reached & (F.col("h") >= F.col(f"t{k}")) & (F.col("size") <= F.col(f"left{k}"))
+    return sized, table, F.col("base") + F.coalesce(taken, F.lit(False)).cast("int")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and taken of every row of (doc_id, text, source)."""
+    sized, table, copies = _table(docs)
+    named = sized.join(table, sized["source"].eqNullSafe(table["_source"])).withColumn("copies", copies)
+    return named.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def repeated(docs: DataFrame) -> DataFrame:
+    """docs as often as the mix takes each of them: not at all, once or twice."""
+    _, table, copies = _table(docs)
+    keyed = docs.withColumn("_doc_size", word_count(F.col("text"))).withColumn("_doc_hash", hash_value(F.col("doc_id")))
+    named = keyed.join(table.withColumnsRenamed({c: f"_mix_{c}" for c in table.columns}), keyed["source"].eqNullSafe(F.col("_mix__source")))
+    inner = named.select(F.struct(*[named[c] for c in docs.columns]).alias("_doc"), F.col("_doc_size").alias("size"), F.col("_doc_hash").alias("h"), *[F.col(f"_mix_{c}").alias(c) for c in table.columns])
+    times = inner.select("_doc", copies.alias("_copies")).where("_copies > 0")
+    return times.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col("_doc")[c].alias(c) for c in docs.columns])

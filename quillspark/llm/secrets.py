@@ -16,6 +16,8 @@ rows are scanned each; other columns are not read.
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -98,8 +100,6 @@ def trained(docs: DataFrame) -> list[float]:
         for r in _steps(values).collect():
             table[r["a"] - 1][r["b"] - 1] += r["n"]
         logs.append([[x / sum(row) for x in row] for row in table])
-    from math import log
-
     return [log(p / q) for rows in zip(*logs) for p, q in zip(*rows)]
 
 
@@ -133,7 +133,11 @@ def scanned(docs: DataFrame) -> DataFrame:
 
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans."""
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS]
+
+    def times(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [times(k) for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(_written(F.col("base")).cast("binary"), 256).alias("base_sha256"), _written(F.concat("base", "added")).alias("spans"))
 
 
