@@ -81,8 +81,8 @@ def lexicon(docs: DataFrame) -> bytes:
     total = counts.where("bucket = -1").agg(F.sum("n")).first()[0] or 0
     band = counts.where((F.col("bucket") >= 0) & (F.col("n") >= max(LEAST_DOCUMENTS, LEAST_SHARE * total)) & (F.col("n") <= max(LEAST_DOCUMENTS, MOST_SHARE * total)))
     bits, step = bytearray(BUCKETS // 8), BITMAP_ROW_BITS // 8
-    for row in bitmap_rows(band.select(F.col("bucket").cast("long").alias("b")), "b").collect():  # at most 513 rows of 4 KiB
-        # Spark numbers bitmaps from 1, and number 1 starts at value 1 for positive values
+    for row in bitmap_rows(band.select((F.col("bucket").cast("long") + 1).alias("b")), "b").collect():  # at most 512 rows of 4 KiB
+        # Spark's bitmap 1 starts with value 1, hence the added one
         part = bytes(row["_bitmap"])
         bits[(row["_bitmap_row"] - 1) * step : (row["_bitmap_row"] - 1) * step + len(part)] = part
     return bytes(bits)

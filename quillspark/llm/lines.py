@@ -134,7 +134,8 @@ def _cut(text: bytes | None, lines: list[int] | None) -> tuple[bytes | None, int
 def _applied(docs: DataFrame) -> DataFrame:
     """docs with its text as _kept (bytes) and _n, _gone: lines before, lines removed."""
     gone = removed_lines(docs)
-    marked = probably_in(docs.withColumn("_row", _row()), "_row", gone.select("row"))
+    gone = gone.select(F.col("row").alias("__row_gone"), F.col("lines").alias("__lines"))
+    marked = probably_in(docs.withColumn("__row", _row()), "__row", gone.select("__row_gone"))
     schema = StructType([*docs.schema.fields, StructField("_kept", BinaryType()), StructField("_n", IntegerType()), StructField("_gone", IntegerType())])
     names, width = docs.columns, len(docs.columns)
 
@@ -145,8 +146,8 @@ def _applied(docs: DataFrame) -> DataFrame:
                 kept, n, cut = zip(*map(_cut, texts[lo:hi], lines[lo:hi]))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:width], pa.array(kept, pa.binary()), pa.array(n, pa.int32()), pa.array(cut, pa.int32())], names=schema.names)
 
-    whole = marked.where("not _maybe").select(*names, F.lit(None).cast("array<int>").alias("_lines"))
-    cut = marked.where("_maybe").join(gone, F.col("_row") == F.col("row"), "left").select(*names, F.col("lines").alias("_lines"))
+    whole = marked.where("not _maybe").select(*names, F.lit(None).cast("array<int>").alias("__lines"))
+    cut = marked.where("_maybe").join(gone, F.col("__row") == F.col("__row_gone"), "left").select(*names, "__lines")
     return whole.mapInArrow(run, schema).unionByName(cut.mapInArrow(run, schema))
 
 

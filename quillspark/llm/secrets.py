@@ -8,7 +8,7 @@ short ones dropped.  The method adds spans of kind ``markov``: unbroken tokens o
 that look more like random strings than like identifiers.  Two first-order character models are trained
 on labelled samples: identifiers are the distinct words of a hash sample of TRAINING_DOCUMENTS documents
 (expected; a bound, not a share), outside base spans; random strings are SHA-256 digests of counted
-numbers, in hexadecimal and Base64 without padding.  Tokens that overlap a base span add nothing.
+numbers in Base64, without padding.  Tokens that overlap a base span add nothing.
 
 Null texts count as empty; without documents there is nothing to learn and nothing to scan.  Repeated
 rows are scanned each; other columns are not read.
@@ -92,7 +92,7 @@ def trained(docs: DataFrame) -> list[float]:
         text = F.regexp_replace(text, PATTERNS[kind], " ")
     words = docs.where(part).select(F.explode(F.split(text, r"[^\p{L}0-9_/+=-]+")).alias("s")).where("length(s) between 6 and 64").distinct()
     digest = spark.range(RANDOM_STRINGS).select(F.sha2(F.col("id").cast("string").cast("binary"), 256).alias("d"))
-    drawn = digest.select(F.explode(F.array("d", F.regexp_replace(F.base64(F.unhex("d")), "=+$", ""))).alias("s"))
+    drawn = digest.select(F.regexp_replace(F.base64(F.unhex("d")), "=+$", "").alias("s"))
     # at most SIZE * SIZE rows each, whatever the corpus
     logs = []
     for values in (drawn, words):
