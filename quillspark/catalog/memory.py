@@ -51,7 +51,7 @@ def memory_compaction(spark, sf):
 @query(
     f"""WITH {_TURNS}, n AS (SELECT conv_id, turn, user_text, assistant_text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM turns),
     s AS (SELECT conv_id, turn, i AS turns_total, CASE WHEN i >= 3 THEN i - 2 ELSE 0 END AS compactions, CASE WHEN i >= 3 THEN 2 ELSE i END AS turns_kept FROM n)
-    SELECT s.*, md5(coalesce(string_agg(rtrim(left(n.user_text, 40) || ' | ' || left(n.assistant_text, 40), {WS}), chr(10) ORDER BY n.i), '')) AS summary_md5
+    SELECT s.*, md5(coalesce(list_reduce(list_prepend('', list(n.user_text || ' | ' || n.assistant_text ORDER BY n.i) FILTER (WHERE n.i IS NOT NULL)), lambda x, y: md5(x || chr(10) || y)), '')) AS summary_md5
     FROM s LEFT JOIN n ON n.conv_id = s.conv_id AND n.i <= s.compactions GROUP BY ALL"""
 )
 def memory_stream(spark, sf):

@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from quillspark.catalog.ingest import _ACCEPTED
 from quillspark.catalog.registry import query, table
 from quillspark.catalog.text import SKIPPED
-from quillspark.functions.ids import cache_key
 from quillspark.plans.web import micros, shared_calls, spaced_starts
 from quillspark.streaming.runner import drain, drain_batches, state_session, table_stream
-from quillspark.streaming.state import circuit_breaker, counters, ttl_cache
+from quillspark.streaming.state import circuit_breaker, counters
 
 DAY_US = 86_400_000_000
 _US = "epoch_us(ts)"
@@ -38,23 +37,6 @@ def circuit_breaker_state(spark, sf):
     return spark.read.parquet(drain(circuit_breaker(calls, cooldown_us=DAY_US), "breaker"))
 
 
-@query(
-    f"""WITH RECURSIVE e AS (SELECT md5(user_id || '/' || event_type) AS key, event_id AS seq, {_US} AS t0,
-      row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events),
-    s AS (SELECT key, seq, i, t0 AS fetched, FALSE AS hit FROM e WHERE i = 1
-      UNION ALL SELECT e.key, e.seq, e.i, CASE WHEN e.t0 < s.fetched + {3 * DAY_US} THEN s.fetched ELSE e.t0 END, e.t0 < s.fetched + {3 * DAY_US}
-      FROM s JOIN e ON e.key = s.key AND e.i = s.i + 1)
-    SELECT key, seq, hit FROM s"""
-)
-def ttl_cache_hits(spark, sf):
-    """Cache per question over all events; entries live three days here."""
-    question = F.concat(F.lit(" "), F.col("user_id").cast("string"), F.lit("/"), F.upper("event_type"))
-    requests = table_stream(state_session(spark), sf, "events").select(
-        cache_key(question).alias("key"), F.col("event_id").alias("seq"), micros(F.col("ts")).alias("at")
-    )
-    return spark.read.parquet(drain(ttl_cache(requests, 3 * DAY_US), "cache"))
-
-
 _KEPT = _ACCEPTED.replace(" OR ".join(f"contains(source, '{s}')" for s in SKIPPED), "FALSE").replace(
     "WHEN 1960 + doc_id % 80 < 1986 THEN 'too_old' ", ""
 )

@@ -114,15 +114,13 @@ class ExtractiveGenerator:
         return F.concat(or_empty(question), F.lit("\n"), F.split(or_empty(context), "\n---\n")[0])
 
 
-class LeadingSummarizer:
-    """Keeps the first words of every turn; pure, so a replayed batch gives the same summary."""
-
-    def __init__(self, chars: int = 40) -> None:
-        self.chars = chars
+class DigestSummarizer:
+    """A fixed-size digest of everything said so far; pure, so a replayed batch gives the same summary."""
 
     def summarize(self, previous: str, turns: list[tuple[str, str]]) -> str:
-        lines = [f"{u[: self.chars]} | {a[: self.chars]}" for u, a in turns]
-        return "\n".join(filter(None, [previous, *lines]))
+        for user, answer in turns:
+            previous = hashlib.md5(f"{previous}\n{user} | {answer}".encode()).hexdigest()
+        return previous
 
 
 class OverlapJudge:

@@ -12,12 +12,11 @@ from quillspark.operators.dedup import first_per_key
 from quillspark.operators.ranking import top_k, top_k_per_key
 
 
-def distinct_types(points: DataFrame, col: str, stop: int = S.STRATA_STOP) -> DataFrame:
-    """Up to ``stop`` distinct trimmed types; the blank one only when it is the only one."""
+def distinct_types(points: DataFrame, col: str) -> DataFrame:
+    """Distinct trimmed types; the blank one only when it is the only one."""
     types = points.select(strip(or_empty(F.col(col))).alias("type")).distinct()
-    ordered = top_k(types, [F.col("type") == "", F.col("type")], stop)
-    filled = F.max(F.col("type") != "").over(Window.partitionBy(F.lit(0)))  # at most ``stop`` rows
-    return ordered.withColumn("_any", filled).where((F.col("type") != "") | ~F.col("_any")).select("type")
+    named = types.where(F.col("type") != "")
+    return named if named.limit(1).count() else types
 
 
 def stratified_sample(
@@ -31,14 +30,14 @@ def stratified_sample(
     ``chunks``: cid, doc_id, legal_type, text.  May exceed the target when the
     minimum per type does.
     """
-    types = [r[0] for r in distinct_types(chunks, "legal_type").collect()]  # at most STRATA_STOP
-    per_type = max(S.SAMPLE_MIN_PER_STRATUM, target // max(len(types), 1))
+    types = distinct_types(chunks, "legal_type")
+    per_type = max(S.SAMPLE_MIN_PER_STRATUM, target // max(types.count(), 1))
     usable = chunks.withColumn("legal_type", strip(or_empty(F.col("legal_type")))).where(
         F.length("text") >= min_chars
     )
     slim = usable.select("cid", "doc_id", "legal_type", F.length("text").alias("text_len"))
     one_per_doc = first_per_key(slim, ["doc_id"], ["legal_type", "cid"])
-    typed = one_per_doc.where(F.col("legal_type").isin(types) if types else F.lit(False))
+    typed = one_per_doc.join(types, one_per_doc["legal_type"] == types["type"], "left_semi")
     strata = top_k_per_key(typed, ["legal_type"], ["cid"], per_type, "_n").drop("_n").withColumn("_stage", F.lit(1))
     unseen = one_per_doc.join(strata.select("doc_id"), "doc_id", "left_anti")
     extra = top_k(unseen, ["cid"], target).withColumn("_stage", F.lit(2))

@@ -36,8 +36,6 @@ def valid_id(c: Column) -> Column:
 def read_content(spark: SparkSession, path: str, cfg: Settings, html: bool = True) -> DataFrame:
     """(doc_id, text) of the content files; rows without an integer id are dropped."""
     raw = spark.read.parquet(path)
-    if cfg.max_content_docs > 0:
-        raw = raw.limit(cfg.max_content_docs)
     fields = [F.col(c) for c in ("content_html", "content") if c in raw.columns]
     body = first_filled(*fields)
     docs = raw.select(valid_id(F.col("id")).alias("doc_id"), body.alias("text")).where("doc_id is not null")

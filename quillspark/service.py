@@ -1,15 +1,12 @@
 """Single-request facade over the batch plans.
 
 A request is a batch of one; there is no server here.  Requests are checked before
-a plan is built, and answers can be taken whole or as a stream of events.
+a plan is built.
 """
 
 from __future__ import annotations
 
-import json
-import random
 import time
-from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -18,8 +15,6 @@ from quillspark import settings as S
 from quillspark.plans.answer import Engine, answer_batch, answers
 from quillspark.plans.retrieve import format_sources
 
-META = "__META__:"
-
 
 @dataclass(frozen=True)
 class Request:
@@ -51,72 +46,3 @@ def respond(spark: SparkSession, engine: Engine, request: Request) -> dict:
         "sources": sources,
         "retrieval_ms": round((time.perf_counter() - started) * 1000, 1),
     }
-
-
-def tokens_of(response: dict) -> Iterator[str]:
-    """The answer word by word, then one event with everything else."""
-    for part in response["answer"].splitlines(keepends=True):
-        yield part
-    yield META + json.dumps({k: v for k, v in response.items() if k != "answer"}, ensure_ascii=False)
-
-
-# Event and chunk format of streamed answers.
-def event_stream(tokens: Iterator[str], model: str) -> Iterator[str]:
-    """Server-sent events; the meta event is held back and travels with the last chunk."""
-
-    def event(delta: dict, reason: str | None, **more) -> str:
-        chunk = {
-            "object": "chat.completion.chunk", "model": model,
-            "choices": [{"index": 0, "delta": delta, "finish_reason": reason}], **more,
-        }
-        return f"data: {json.dumps(chunk, ensure_ascii=False)}\n\n"
-
-    meta: dict = {}
-    for token in tokens:
-        if token.startswith(META):
-            meta = _meta(token)
-        else:
-            yield event({"content": token}, None)
-    yield event({}, "stop", x_meta=meta)
-    yield "data: [DONE]\n\n"
-
-
-def _meta(token: str) -> dict:
-    try:
-        return json.loads(token.removeprefix(META))
-    except json.JSONDecodeError:
-        return {}
-
-
-def collect_tokens(tokens: Iterator[str]) -> tuple[str, dict]:
-    """(answer, meta) of a token stream."""
-    every = list(tokens)
-    meta = [_meta(t) for t in every if t.startswith(META)]
-    return "".join(t for t in every if not t.startswith(META)), (meta[-1] if meta else {})
-
-
-def retrying(call: Callable, attempts: int = 3, base: float = 1.0, jitter: float = 0.0, sleep=time.sleep):
-    """Call with exponential back-off; the last error is raised."""
-    for attempt in range(attempts):
-        try:
-            return call()
-        except Exception:
-            if attempt == attempts - 1:
-                raise
-            sleep(base * 2**attempt + random.uniform(0, jitter))
-
-
-def with_deadline(spark: SparkSession, seconds: float, call: Callable):
-    """Run a driver-side action and cancel its jobs when it exceeds the deadline."""
-    import threading
-    import uuid
-
-    tag = f"deadline-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, lambda: spark.sparkContext.cancelJobsWithTag(tag))
-    spark.sparkContext.addJobTag(tag)
-    timer.start()
-    try:
-        return call()
-    finally:
-        timer.cancel()
-        spark.sparkContext.removeJobTag(tag)

@@ -32,8 +32,8 @@ def build_session(app: str = "quillspark", master: str | None = None, **conf: st
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where that is unset
-    (local tests) a temporary folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``.  Only on a local master a temporary
+    folder is created where that is unset.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -43,6 +43,8 @@ def scratch_root(spark: SparkSession) -> str:
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quillspark-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 

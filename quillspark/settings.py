@@ -61,7 +61,6 @@ SAMPLE_TARGET = 100
 SAMPLE_MIN_CHARS = 100
 SAMPLE_SEED = 42
 SAMPLE_MIN_PER_STRATUM = 3
-STRATA_STOP = 30
 NEGATIVE_RATIO = 0.10
 
 
@@ -79,7 +78,6 @@ class Settings:
     min_child_chars: int = CHILD_MIN_CHARS
     embedding_dim: int = EMBEDDING_DIM
     shard_rows: int = SHARD_ROWS
-    max_content_docs: int = 0
     top_k: int = DEFAULT_TOP_K
     fallback_mean_score: float = FALLBACK_MEAN_SCORE
     graph_min_score: float = GRAPH_MIN_SCORE

@@ -1,4 +1,4 @@
-"""Circuit breaker, time-limited cache and conversation memory as keyed state.
+"""Circuit breaker and conversation memory as keyed state.
 
 Each function keeps a state of constant size per key (the memory: at most the
 compaction threshold of turns).  Rows of a key are taken in event order within a
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
 from quillspark import settings as S
-from quillspark.functions.models import LeadingSummarizer, Summarizer
+from quillspark.functions.models import DigestSummarizer, Summarizer
 
 
 def _in_order(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
@@ -57,40 +57,12 @@ def circuit_breaker(
     )
 
 
-def ttl_cache(requests: DataFrame, ttl_us: int = S.CACHE_TTL_SEC * 1_000_000) -> DataFrame:
-    """Hit or miss of every request per ``key``; an entry lives ``ttl`` from its fetch.
-
-    ``requests``: key STRING, seq LONG, at LONG (microseconds).  A key that stays idle
-    for the lifetime of its entry is dropped from the state.
-    """
-    idle_ms = max(1, ttl_us // 1000)
-
-    def step(key, chunks, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        fetched = state.get[0] if state.exists else None
-        rows = _in_order(chunks, ["at", "seq"])
-        hits = []
-        for at in rows["at"]:
-            hit = fetched is not None and at < fetched + ttl_us
-            fetched = fetched if hit else int(at)
-            hits.append(hit)
-        state.update((fetched,))
-        state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame({"key": key[0], "seq": rows["seq"].to_numpy(), "hit": hits})
-
-    return requests.groupBy("key").applyInPandasWithState(
-        step, "key string, seq long, hit boolean", "fetched long", "append", GroupStateTimeout.ProcessingTimeTimeout
-    )
-
-
 def conversation_memory(
     exchanges: DataFrame,
     summarizer: Summarizer | None = None,
     threshold: int = S.MEMORY_THRESHOLD,
     batch: int = S.MEMORY_BATCH,
-    turn_chars: int = S.MEMORY_TURN_CHARS,
+    turn_chars: int | None = None,
 ) -> DataFrame:
     """Memory after each recorded exchange.
 
@@ -98,7 +70,7 @@ def conversation_memory(
     threshold the oldest ``batch`` turns move into the summary; when the summariser
     fails or returns nothing, everything is kept and the next turn tries again.
     """
-    model = summarizer or LeadingSummarizer()
+    model = summarizer or DigestSummarizer()
 
     def step(key, chunks, state):
         summary, users, answers, total, compactions = state.get if state.exists else ("", [], [], 0, 0)

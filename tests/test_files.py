@@ -1,5 +1,4 @@
 import json
-import sqlite3
 import tempfile
 from pathlib import Path
 
@@ -13,7 +12,6 @@ from quillspark.functions.vectors import pack, unpack
 from quillspark.plans import evaluate, golden, index, ingest
 from quillspark.sinks import tables
 from quillspark.sources import files
-from quillspark.sources.sqlite import SqliteSource
 
 
 @pytest.fixture()
@@ -21,22 +19,6 @@ def folder():
     return Path(tempfile.mkdtemp(prefix="quill-"))
 
 
-def test_sqlite_shards(spark, folder):
-    for shard in range(2):
-        with sqlite3.connect(folder / f"children_{shard}.sqlite") as db:
-            db.execute("CREATE TABLE children (cid INTEGER PRIMARY KEY, text TEXT, vec BLOB)")
-            db.executemany("INSERT INTO children VALUES (?, ?, ?)", [(shard * 100 + i, f"t{i}", b"\x00\x00\x80?") for i in range(0, 50, 3)])
-    spark.dataSource.register(SqliteSource)
-    rows = spark.read.format("sqlite_files").option("path", f"{folder}/children_*.sqlite").option("table", "children").option("rangeRows", "10").load()
-    assert rows.rdd.getNumPartitions() == 10
-    got = rows.select("cid", "text", unpack(F.col("vec"), 1).alias("v")).orderBy("cid").collect()
-    assert [r.cid for r in got] == sorted(s * 100 + i for s in range(2) for i in range(0, 50, 3))
-    assert got[0].v == [1.0]
-    with pytest.raises(Exception, match="expected 8"):
-        rows.select(unpack(F.col("vec"), 2)).collect()
-    assert rows.select(pack(unpack(F.col("vec"), 1)) == F.col("vec")).distinct().collect()[0][0] is True
-
-
 def test_golden_lines(spark, folder):
     lines = [
         json.dumps({"question": "q1", "reference_context": ["c"], "reference_cids": [1]}), "", "{broken",
@@ -139,19 +121,6 @@ def test_requests():
         service.Request("  ")
     with pytest.raises(ValueError):
         service.Request("hi there", top_k=21)
-    tokens = ["a", "b", service.META + '{"x": 1}']
-    assert service.collect_tokens(iter(tokens)) == ("ab", {"x": 1})
-    events = list(service.event_stream(iter(tokens), "m"))
-    assert len(events) == 4 and '"x_meta": {"x": 1}' in events[2] and events[3] == "data: [DONE]\n\n"
-    waits, calls = [], []
-
-    def flaky():
-        calls.append(1)
-        if len(calls) < 3:
-            raise OSError
-        return "done"
-
-    assert service.retrying(flaky, 3, 1.0, sleep=waits.append) == "done" and waits == [1.0, 2.0]
 
 
 def test_respond(spark):

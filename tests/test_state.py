@@ -6,7 +6,7 @@ from quillspark.plans import memory
 from quillspark.plans.web import spaced_starts
 from quillspark.session import scratch_path
 from quillspark.streaming.runner import drain, state_session, table_stream
-from quillspark.streaming.state import circuit_breaker, conversation_memory, ttl_cache
+from quillspark.streaming.state import circuit_breaker, conversation_memory
 
 SEC = 1_000_000
 
@@ -55,12 +55,6 @@ def test_breaker(spark):
     assert got[99] == "failed"
 
 
-def test_cache(spark):
-    rows = [("a", 0, 0), ("a", 1, 5 * SEC), ("b", 2, 6 * SEC), ("a", 3, 10 * SEC), ("a", 4, 19 * SEC)]
-    got = {r.seq: r.hit for r in streamed(spark, rows, "key string, seq long, at long", lambda s: ttl_cache(s, 10 * SEC))}
-    assert got == {0: False, 1: True, 2: False, 3: False, 4: True}
-
-
 @pytest.mark.parametrize("total,compactions", [(7, 0), (8, 1), (9, 1), (11, 2), (12, 2), (14, 3)])
 def test_memory_matches_closed_form(spark, total, compactions):
     rows = [(1, t, f"u{t}", f"a{t}") for t in range(1, total + 1)]
