@@ -16,6 +16,8 @@ from quillspark.session import stored
 FILTER_BITS = 1 << 23
 #: Bits per row that ``bitmap_construct_agg`` makes (4 KiB of bytes).
 BITMAP_ROW_BITS = 32768
+#: Links that a task joins in memory at a time (some tens of MB).
+CONTRACTED_LINKS = 1 << 19
 #: Words remembered per Python worker; beyond that the memory is emptied and filled anew.
 REMEMBERED_WORDS = 1 << 18
 
@@ -109,6 +111,41 @@ def probably_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return joined.withColumn("_maybe", hit).drop("_spot", "_bitmap_row", "_bitmap")
 
 
+def spanning(count: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that join the same items 0 .. count - 1 as the pairs (i, j): each item with the smallest one it reaches."""
+    least = np.arange(count)
+    while True:
+        now, a, b = least.copy(), least[i], least[j]
+        for to, value in ((i, b), (j, a), (a, b), (b, a)):
+            np.minimum.at(now, to, value)
+        now = np.minimum(now, now[now])
+        if (now == least).all():
+            rows = np.flatnonzero(least != np.arange(count))
+            return rows, least[rows]
+        least = now
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars that join the same vertices as the links of a task, CONTRACTED_LINKS at a time; never more rows than came in."""
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        u, v = (np.concatenate([b.column(k).to_numpy() for b in held]) for k in (0, 1))
+        vertices, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+        rows, least = spanning(len(vertices), at[: len(u)], at[len(u) :])
+        return pa.RecordBatch.from_arrays([pa.array(vertices[rows], pa.int64()), pa.array(vertices[least], pa.int64())], names=["u", "v"])
+
+    held, count = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= CONTRACTED_LINKS:
+            yield stars(held)
+            held, count = [], 0
+    if held:
+        yield stars(held)
+
+
 def _star_sides(edges: DataFrame) -> DataFrame:
     return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
@@ -117,7 +154,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     both = _star_sides(edges)
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
     moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.where("u > v").distinct()
+    return moved.where("u > v")
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
@@ -129,18 +166,19 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex with a link; component is the smallest vertex reachable.
 
-    ``edges`` has two long columns.  Alternating large-star and small-star steps until nothing
-    changes; each step's links are written to the shared folder, none of them reaches the driver.
+    ``edges`` has two long columns.  Each task first joins the links it holds, which saves rounds;
+    then alternating large-star and small-star steps until nothing changes.  Each round's links are
+    written to the shared folder, none of them reaches the driver.
     A vertex with very many links costs one partial minimum per task.
     """
     a, b = edges.columns[:2]
-    links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    links, mark = stored(links, "links"), None
+    links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    links, mark = stored(links.mapInArrow(_contracted, "u long, v long").distinct(), "links"), None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
         mark = now
-        links = stored(_small_star(_large_star(links)), "links")
+        links = stored(_small_star(_large_star(links.mapInArrow(_contracted, "u long, v long"))), "links")
     roots = links.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)

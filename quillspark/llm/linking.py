@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, mixed
+from quillspark.llm.common import components, mixed, spanning
 from quillspark.session import stored
 
 PERMUTATIONS = 64
@@ -102,20 +102,6 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
-def spanning(count: int, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that join the same items 0 .. count - 1 as the pairs (i, j), at most one for each item."""
-    least = np.arange(count)
-    while True:
-        now = least.copy()
-        np.minimum.at(now, i, least[j])
-        np.minimum.at(now, j, least[i])
-        now = np.minimum(now, now[now])
-        if (now == least).all():
-            rows = np.flatnonzero(least != np.arange(count))
-            return rows, least[rows]
-        least = now
-
-
 def _cells(table: pa.Table) -> Iterator[tuple[int, int]]:
     cell = table.column("cell").to_numpy()
     cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
