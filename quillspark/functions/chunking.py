@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -53,27 +55,28 @@ def pack_parents(content: str, spec: ChunkSpec) -> list[str]:
     return ["\n\n".join(b) for b in bins]
 
 
-def cut_children(text: str, spec: ChunkSpec) -> list[str]:
-    """Overlapping windows that end at the best separator of their second half."""
-    children: list[str] = []
-    start, size = 0, len(text)
-    while start < size:
-        stop = min(start + spec.child_size, size)
-        if stop < size:
-            floor = start + spec.child_size // 2
-            ends = (
-                at + len(sep)
-                for sep in CHILD_SEPARATORS
-                if (at := text.rfind(sep, floor, stop)) >= 0
-            )
-            stop = next(ends, stop)
-        piece = text[start:stop].strip()
-        if len(piece) >= spec.min_child:
-            children.append(piece)
-        if stop == size:
-            break
+def _separator_ends(text: str) -> list[tuple[int, list[int]]]:
+    """(length, ascending end positions) of each child separator, the best one first."""
+    return [(len(sep), [m.start() + len(sep) for m in re.finditer(f"(?={re.escape(sep)})", text)]) for sep in CHILD_SEPARATORS]
+
+
+def child_spans(text: str, spec: ChunkSpec) -> Iterator[tuple[int, int]]:
+    """Bounds of overlapping windows; each ends after the last occurrence of the best separator in its second half."""
+    ends = _separator_ends(text) if len(text) > spec.child_size else []
+    start = stop = 0
+    while stop < len(text):
+        half, full = start + spec.child_size // 2, start + spec.child_size
+        lasts = [(at[k - 1] - length, at[k - 1]) for length, at in ends if (k := bisect_right(at, full))]
+        fitting = [end for begin, end in lasts if begin >= half]
+        stop = len(text) if full >= len(text) else (fitting or [full])[0]
+        yield start, stop
         start = max(start + 1, stop - spec.overlap)
-    return children
+
+
+def cut_children(text: str, spec: ChunkSpec) -> list[str]:
+    """Trimmed texts of the windows that are long enough."""
+    trimmed = (text[slice(*span)].strip() for span in child_spans(text, spec))
+    return [child for child in trimmed if len(child) >= spec.min_child]
 
 
 _PARENTS = "array<struct<parent_text:string,children:array<string>>>"

@@ -3,63 +3,61 @@
 from __future__ import annotations
 
 import html
-import re
-from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-# Elements whose text is dropped, and those that never have an end tag.
-SKIPPED_ELEMENTS = frozenset({"script", "style", "head", "meta", "link"})
-VOID_ELEMENTS = frozenset({"meta", "link"})
+from quillspark.functions.text import or_empty, strip
 
+# Elements whose text is dropped (raw text cannot hold elements), and those that never have an end tag.
+RAW_ELEMENTS = ("script", "style")
+NESTING_ELEMENT = "head"
+VOID_ELEMENTS = ("meta", "link")
 
-class _TextNodes(HTMLParser):
-    """Text nodes outside skipped elements.
+#: Stands where a tag was; no character reference can produce this noncharacter.
+_BREAK = "\ufdd0"
+_OPENED = r"(?:\s[^>]*+)?(?<!/)>"
+#: Comments and raw elements, to their end or to the end of the page.
+_DROPPED = rf"(?is)<!--.*?(?:-->|\z)|<({'|'.join(RAW_ELEMENTS)}){_OPENED}.*?(?:</\1\s*>|\z)"
+_TAG = r"(?s)<[a-zA-Z/!?][^>]*+(?:>|\z)"
+_AFTER_VOID = rf"(?is)<(?:{'|'.join(VOID_ELEMENTS)}){_OPENED}.*"
 
-    ``strict`` lets void elements open a skipped region as well, so that text
-    after an unclosed ``<meta>`` is lost; the default ignores void elements.
-    """
 
-    def __init__(self, strict: bool) -> None:
-        super().__init__()
-        self.skipped = SKIPPED_ELEMENTS if strict else SKIPPED_ELEMENTS - VOID_ELEMENTS
-        self.depth = 0
-        self.nodes: list[str] = []
+@F.pandas_udf(StringType())
+def _unescaped(texts: pd.Series) -> pd.Series:
+    return texts.map(html.unescape, na_action="ignore")
 
-    def handle_starttag(self, tag, attrs):
-        self.depth += tag in self.skipped
 
-    def handle_endtag(self, tag):
-        if tag in self.skipped:
-            self.depth = max(0, self.depth - 1)
+def unescape(c: Column) -> Column:
+    """Character references replaced; only texts with an ampersand carry anything to Python."""
+    return F.when(F.contains(c, F.lit("&")), _unescaped(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
-    def handle_data(self, data):
-        node = "" if self.depth else data.strip()
-        if node:
-            self.nodes.append(node)
 
+def _outside_heads(page: Column) -> Column:
+    """Page without the text inside heads, which may nest; an unclosed one reaches to the end."""
 
-def html_to_text(raw: str | None, strict: bool = False) -> str:
-    if not raw:
-        return ""
-    if "<" not in raw:
-        return html.unescape(raw)
-    parser = _TextNodes(strict)
-    try:
-        parser.feed(raw)
-        text = "\n".join(parser.nodes)
-    except Exception:  # malformed declarations: fall back to removing tags
-        text = re.sub(r"<[^>]+>", " ", raw)
-    return html.unescape(text).strip()
+    def step(seen: Column, piece: Column) -> Column:
+        opens = piece.rlike(rf"(?i)\A<{NESTING_ELEMENT}{_OPENED}")
+        closes = piece.rlike(rf"(?i)\A</{NESTING_ELEMENT}")
+        depth = F.greatest(F.lit(0), seen["depth"] + opens.cast("int") - closes.cast("int"))
+        return F.struct(depth.alias("depth"), F.when(depth == 0, F.concat(seen["text"], piece)).otherwise(seen["text"]).alias("text"))
 
+    pieces = F.split(page, rf"(?i)(?=</?{NESTING_ELEMENT}[\s/>])")
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("depth"), F.lit("").alias("text")), step)["text"]
 
-def strip_html(c: Column, strict: bool = False) -> Column:
-    """Whole-page conversion in Arrow batches; HTML has no regular grammar for the JVM side."""
 
-    @F.pandas_udf("string")
-    def convert(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: html_to_text(page, strict))
+def strip_html(c: Column, strict: bool = False) -> Column:
+    """Text between the tags, one trimmed piece per line; null gives an empty text.
 
-    return convert(c)
+    A text without "<" only has its references replaced.  References are replaced once before pieces are
+    trimmed and once in the result.  An unfinished tag at the end goes.  ``strict`` loses everything
+    after the first void element that is not closed in its tag.
+    """
+    page = or_empty(c)
+    seen = F.regexp_replace(page, _AFTER_VOID, "") if strict else page
+    bare = F.regexp_replace(_outside_heads(F.regexp_replace(seen, _DROPPED, _BREAK)), _TAG, _BREAK)
+    pieces = F.split(unescape(bare), _BREAK)
+    lines = F.array_join(F.filter(F.transform(pieces, strip), lambda x: x != ""), "\n")
+    return F.when(F.contains(page, F.lit("<")), strip(unescape(lines))).otherwise(unescape(page))

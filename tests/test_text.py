@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from quillspark.functions import text as T
-from quillspark.functions.markup import html_to_text
+from quillspark.functions.markup import strip_html
 from quillspark.settings import Settings
 
 LONG_LINE = "Điều này quy định về trách nhiệm của các cơ quan nhà nước"
@@ -74,10 +74,12 @@ def test_stop_words_fall_back_to_all_tokens(one):
     assert one(T.content_tokens, t="và Thuế thuế x2") == ["thuế", "x2"]
 
 
-def test_html():
+def test_html(one):
     page = "<html><head><meta charset='x'><title>t</title></head><body><p> a &amp;lt; b </p><script>x</script>c<link rel=y>d"
-    assert html_to_text(page) == "a < b\nc\nd"
-    assert html_to_text(page, strict=True) == ""
-    assert html_to_text("no tags &amp; here") == "no tags & here"
-    assert html_to_text("<head><head>a</head>b</head>c") == "c"
-    assert html_to_text(None) == ""
+    assert one(strip_html, t=page) == "a < b\nc\nd"
+    assert one(lambda t: strip_html(t, strict=True), t=page) == ""
+    assert one(strip_html, t="no tags &amp; here") == "no tags & here"
+    assert one(strip_html, t="<head><head>a</head>b</head>c") == "c"
+    assert one(strip_html, t="<header>a</header><!-- b --><STYLE>c</style ><script/>d<br/>&nbsp;<div unfinished") == "a\nd"
+    assert one(strip_html, t="<p>a<script>b") == "a"
+    assert one(lambda t: strip_html(t), t=None) == ""
