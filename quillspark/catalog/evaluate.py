@@ -225,7 +225,7 @@ def _share(of: str, within: str) -> str:
 
 @query(
     f"""WITH {V._LOOKUP}, {V._BLOCKS}, {_SCORED},
-    a AS (SELECT qid, b.text AS truth, context, b.text || E'\\n' || string_split(context, E'\\n---\\n')[1] AS answer FROM benchmark b JOIN ctx ON qid = item_id),
+    a AS (SELECT qid, b.text AS truth, context, b.text || E'\\n' || replace(context, E'\\n---\\n', E'\\n\\n') AS answer FROM benchmark b JOIN ctx ON qid = item_id),
     j AS (SELECT qid, {_share("answer", "context")} AS f, {_share("truth", "answer")} AS r, {_share("context", "truth")} AS c FROM a)
     SELECT j.qid, context_hit, cid_recall, round(f, 6) AS faithfulness, round(r, 6) AS completeness, round(c, 6) AS citation_accuracy,
       round((f + r + r + c) / 4, 6) AS overall_score FROM j JOIN scored USING (qid)"""

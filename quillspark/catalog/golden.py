@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.catalog import sql as Q
 from quillspark.catalog.registry import query, table
-from quillspark.functions.models import LeadingSentenceWriter
+from quillspark.functions.models import SentenceWriter
 from quillspark.plans import golden
 
 
@@ -154,11 +155,12 @@ def flatten_negatives(spark, sf):
 
 
 @query(
-    r"""SELECT doc_id, md5(CASE WHEN f = '' THEN '' ELSE f || '?' END) AS question_md5, CASE WHEN f = '' THEN '' ELSE 'DEFINITION' END AS intent
-    FROM (SELECT doc_id, regexp_extract(text, '^\s*([^.?!\n]+)', 1) AS f FROM documents)"""
+    f"""WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[.?!\\n]+'), lambda x: {Q.strip("x")}), lambda x: x <> '') AS f FROM documents)
+    SELECT doc_id, md5(x || '?') AS question_md5, 'DEFINITION' AS intent FROM (SELECT doc_id, unnest(f) AS x FROM s)
+    UNION ALL SELECT doc_id, md5(''), '' FROM s WHERE coalesce(len(f), 0) = 0"""
 )
 def generated_questions(spark, sf):
-    """One question per document, written by the default question writer."""
+    """Questions about every document, written by the default question writer."""
     chunks = _chunks(spark, sf)
-    asked = chunks.withColumn("generated_qas", LeadingSentenceWriter().questions(F.col("text")))
+    asked = chunks.withColumn("generated_qas", SentenceWriter().questions(F.col("text")))
     return golden.flatten_generated(asked).select("doc_id", F.md5("question").alias("question_md5"), "intent")

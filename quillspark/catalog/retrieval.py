@@ -112,7 +112,7 @@ _MULTI_HOP = f"""{_questions("MULTI_HOP")}, {Q.DOC_VECTORS},
     s0 AS (SELECT qid, 0 AS ask_no, 'nếu vượt đèn đỏ' AS query FROM questions), {Q.text_search("hop1", "s0", "dv", K)},
     ctx AS (SELECT qid, {Q.strip("string_agg(left(text, 400), ' ' ORDER BY seq)")} AS c
       FROM hop1 JOIN documents ON cid = doc_id WHERE seq <= 3 GROUP BY 1),
-    s1 AS (SELECT item_id AS qid, 0 AS ask_no, {Q.strip("'phạt ' || split_part(text, chr(10), 1)")} || CASE WHEN c <> '' THEN ' [ngữ cảnh: ' || c || ']' ELSE '' END AS query
+    s1 AS (SELECT item_id AS qid, 0 AS ask_no, {Q.strip("'phạt ' || text")} || CASE WHEN c <> '' THEN ' [ngữ cảnh: ' || c || ']' ELSE '' END AS query
       FROM benchmark LEFT JOIN ctx ON item_id = qid),
     {Q.text_search("hop2", "s1", "dv", K)}, {_merged("pool", "hop1", "hop2")}, {Q.rerank("ranked", "pool", "questions", K)}"""
 
@@ -273,7 +273,7 @@ _BLOCKS = f"""ctx AS (SELECT qid, string_agg('[ID: ' || cid || E']\\n' || {Q.str
 
 @query(
     f"""WITH {_LOOKUP}, {_BLOCKS} SELECT qid, md5(context) AS context_md5, length(context)::BIGINT AS context_chars,
-      md5(question || E'\\n' || string_split(context, E'\\n---\\n')[1]) AS answer_md5 FROM ctx JOIN questions USING (qid)"""
+      md5(question || E'\\n' || replace(context, E'\\n---\\n', E'\\n\\n')) AS answer_md5 FROM ctx JOIN questions USING (qid)"""
 )
 def context_and_answer(spark, sf):
     asked = benchmark_questions(spark, sf, "LEGAL_LOOKUP")
@@ -286,7 +286,7 @@ def context_and_answer(spark, sf):
 
 
 @query(
-    f"""WITH {_LOOKUP}, g AS (SELECT item_id AS qid, doc_id AS cid, 0.3::DOUBLE AS score, 1 + quality AS rank FROM benchmark JOIN labels ON doc_id % 40 = item_id % 40 AND toxic = 1),
+    f"""WITH {_LOOKUP}, g AS (SELECT item_id AS qid, doc_id AS cid, 0.3::DOUBLE AS score, 1 + quality AS rank FROM benchmark JOIN labels ON doc_id // 3 = item_id AND toxic = 1),
     u AS (SELECT qid, cid, score, 0 AS src, rank FROM ranked UNION ALL SELECT qid, cid, score, 1, 2 * cid + rank FROM g),
     b AS (SELECT *, row_number() OVER (PARTITION BY qid, cid ORDER BY score DESC, src, rank) AS best,
       min(src * 1000000000 + rank) OVER (PARTITION BY qid, cid) AS seen FROM u),
@@ -297,8 +297,8 @@ def both_route_merge(spark, sf):
     """Text results merged with a second list taken from the labelled documents."""
     asked = benchmark_questions(spark, sf, "LEGAL_LOOKUP")
     local = R.lookup(document_index(spark, sf), asked, K).select("qid", "cid", "score", "rank")
-    marked = table(spark, sf, "labels").where("toxic = 1").withColumn("slot", F.col("doc_id") % 40)
-    graph = asked.select("qid", (F.col("qid") % 40).alias("slot")).join(marked, "slot").select(
+    marked = table(spark, sf, "labels").where("toxic = 1").withColumn("qid", F.floor(F.col("doc_id") / 3))
+    graph = asked.select("qid").join(marked, "qid").select(
         "qid", F.col("doc_id").alias("cid"), F.lit(0.3).alias("score"),
         (F.col("doc_id") * 2 + 1 + F.col("quality")).cast("int").alias("rank"),
     )

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import content_tokens, or_empty, overlap_ratio
+from quillspark.functions.text import content_tokens, or_empty, overlap_ratio, strip
 
 
 class Embedder(Protocol):
@@ -108,10 +108,10 @@ class OverlapScorer:
 
 
 class ExtractiveGenerator:
-    """Answers with the first context paragraph; stands in for a hosted model."""
+    """Answers with all context blocks, one blank line between them; stands in for a hosted model."""
 
     def answer(self, question: Column, context: Column) -> Column:
-        return F.concat(or_empty(question), F.lit("\n"), F.split(or_empty(context), "\n---\n")[0])
+        return F.concat(or_empty(question), F.lit("\n"), F.replace(or_empty(context), F.lit("\n---\n"), F.lit("\n\n")))
 
 
 class DigestSummarizer:
@@ -139,12 +139,13 @@ class OverlapJudge:
         )
 
 
-class LeadingSentenceWriter:
-    """One definition question per text, about its first sentence."""
+class SentenceWriter:
+    """One definition question per sentence of the text, answered by that sentence; null where there is none."""
 
     def questions(self, text: Column) -> Column:
-        first = F.regexp_extract(text, r"^\s*([^.?!\n]+)", 1)
-        pair = F.struct(
-            F.concat(first, F.lit("?")).alias("question"), text.alias("answer"), F.lit("DEFINITION").alias("intent")
+        sentences = F.filter(F.transform(F.split(text, r"[.?!\n]+"), strip), lambda x: x != "")
+        pairs = F.transform(
+            sentences,
+            lambda x: F.struct(F.concat(x, F.lit("?")).alias("question"), x.alias("answer"), F.lit("DEFINITION").alias("intent")),
         )
-        return F.when(first != "", F.array(pair))
+        return F.when(F.size(pairs) > 0, pairs)

@@ -41,7 +41,7 @@ RULES: dict[str, tuple[str, ...]] = {
 }
 # Connectors of compared things, conditional form, decree name.
 COMPARE_SPLIT = r"\s+(?:v[aà]|v[oớ]i|vs\.?|so\s+v[oớ]i|hay)\s+"
-CONDITIONAL = r"(n[eế]u\s+.+?)\s+th[iì]\s+(.+)"
+CONDITIONAL = r"(n[eế]u\s+.+?)\s+th[iì]\s+((?s:.+))"
 DECREE = r"(ngh[iị]\s+[dđ][iị]nh\s+\d+/\d{4}(?:/[A-Z\-]+)?)"
 # Expansion templates; {} is the question.
 EXPANSIONS: dict[str, tuple[str, str]] = {
@@ -68,7 +68,7 @@ CHITCHAT_REPLY = (
     "hoặc hướng dẫn thủ tục pháp lý. Bạn cần hỗ trợ gì?"
 )
 
-# Case-insensitive and Unicode-aware; "." stops at line feeds only.
+# Case-insensitive and Unicode-aware; "." stops at line feeds only, except in the second part of a condition, which reaches to the end.
 _FLAGS = "(?iuUd)"
 
 

@@ -41,6 +41,7 @@ def test_compare_entities(one, question, parts):
 
 def test_sub_questions(one):
     assert one(routing.sub_questions, q="nếu say rượu thì phạt gì") == ["nếu say rượu", "phạt gì"]
+    assert one(routing.sub_questions, q="nếu say rượu thì phạt gì\nvà ở đâu") == ["nếu say rượu", "phạt gì\nvà ở đâu"]
     assert one(routing.sub_questions, q="không có điều kiện") == ["không có điều kiện"]
 
 

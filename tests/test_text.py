@@ -4,6 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from quillspark.functions import models
 from quillspark.functions import text as T
 from quillspark.functions.markup import strip_html
 from quillspark.settings import Settings
@@ -83,3 +84,10 @@ def test_html(one):
     assert one(strip_html, t="<header>a</header><!-- b --><STYLE>c</style ><script/>d<br/>&nbsp;<div unfinished") == "a\nd"
     assert one(strip_html, t="<p>a<script>b") == "a"
     assert one(lambda t: strip_html(t), t=None) == ""
+
+
+def test_default_models_use_the_whole_text(one):
+    assert one(models.ExtractiveGenerator().answer, q="q", c="a\n---\nb\n---\nc") == "q\na\n\nb\n\nc"
+    written = one(models.SentenceWriter().questions, t="One. Two?\n\n Three")
+    assert [r["question"] for r in written] == ["One?", "Two?", "Three?"]
+    assert one(models.SentenceWriter().questions, t=" .\n") is None
