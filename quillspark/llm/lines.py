@@ -61,6 +61,21 @@ def shingle_set(line: bytes) -> np.ndarray:
     return np.unique(shingles([line])[0])
 
 
+def set_sizes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Distinct shingles of each line.
+
+    Lines are sorted all at once by line number and the leading bits of the hash; a line in which two
+    of these agree, which is rare without repeats, is counted by its whole hashes.
+    """
+    sizes = np.diff([*starts, len(hashes)])
+    bits = max(1, len(starts).bit_length())
+    owner = np.repeat(np.arange(len(starts), dtype=np.uint64), sizes)
+    keys = np.sort((owner << np.uint64(64 - bits)) | (hashes >> np.uint64(bits)))
+    for k in np.unique(keys[1:][keys[1:] == keys[:-1]] >> np.uint64(64 - bits)).astype(np.int64):
+        sizes[k] = len(np.unique(hashes[starts[k] : starts[k] + sizes[k]]))
+    return sizes
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per line that is not blank; signature and text with the first of equal lines in a slice."""
     for batch in batches:
@@ -86,7 +101,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             take = pa.array(at, from_pandas=True).cast(pa.int64())
             keys = band_keys(least, BANDS, ROWS)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            signs = [pa.array(np.diff([*starts, len(hashes)])), bands, *map(pa.array, packed(least)), pa.array(forms, pa.binary())]
+            signs = [pa.array(set_sizes(hashes, starts)), bands, *map(pa.array, packed(least)), pa.array(forms, pa.binary())]
             key, doc_id, row, line = zip(*found)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(key, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(row, pa.int64()), pa.array(line, pa.int32()), *[s.take(take) for s in signs]], names=_NAMES

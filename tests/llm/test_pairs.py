@@ -177,6 +177,36 @@ def test_lines_against_brute_force(spark):
     assert 0.98 * gone <= found <= gone
 
 
+def test_lines_of_repeating_content(spark):
+    """Sets count, not positions: rules and repeated phrases of different length are one component."""
+    rules = {i: c * n for i, (c, n) in enumerate((c, n) for c in ("-", "=+", "ha ", "a longer phrase, ") for n in (20, 40, 80))}
+    got = {r["doc_id"]: r["n_removed"] for r in lines.counted(sources(spark, rules)).collect()}
+    assert got == {i: int(i % 3 > 0) for i in rules}
+    forms = [lines.plain(t.encode()) for t in rules.values()] + [b"no shingle occurs twice", b"x"]
+    assert lines.set_sizes(*lines.shingles(forms)).tolist() == [len(lines.shingle_set(f)) for f in forms]
+
+
+def test_line_links_are_all_found(spark):
+    """Every pair at the threshold; what banding may miss has a similarity below 0.9."""
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    where = {}
+    for r in docs.collect():
+        for k, line in enumerate((r["text"] or "").encode().split(b"\n")):
+            if form := lines.plain(line):
+                where.setdefault(form, []).append((r["doc_id"], k))
+    sets = {f: set(lines.shingle_set(f).tolist()) for f in where}
+    links = {}
+    for a, b in combinations(sorted(where, key=lambda f: len(sets[f])), 2):
+        if len(sets[a]) >= 0.8 * len(sets[b]) and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+            links[a, b] = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    gone = {(r["row"], k) for r in lines.removed_lines(docs).collect() for k in r["lines"]}
+    row = {r["doc_id"]: r["row"] for r in docs.select("doc_id", lines._row().alias("row")).collect()}
+    kept = {f: [p for p in places if (row[p[0]], p[1]) not in gone] for f, places in where.items()}
+    missed = {pair: s for pair, s in links.items() if kept[pair[0]] and kept[pair[1]]}
+    assert all(s < 0.9 for s in missed.values()), missed
+    assert len(missed) <= 0.005 * len(links), missed
+
+
 def test_line_edge_cases(spark):
     out = lines.counted(frame(spark)).collect()
     assert len(out) == len(DOCS)
