@@ -1,7 +1,7 @@
 """Near-duplicate linking by MinHash: packed b-bit signatures, band buckets, star and cross-group candidates, exact checks.
 
 Items have columns id (long), n (long, size of the set), bands (array<long>) and g0, g1 (long): the low
-two bits of 64 minima, packed.
+two bits of 64 minima, packed.  Repeated rows of an item are one item.
 
 1. Every member of a bucket is compared with the bucket's smallest member: by signature, then on the full
    sets.  What is linked forms groups; a bucket of thousands of copies costs one comparison each.
@@ -242,16 +242,17 @@ class Linked:
         self.components = found = components(links)
 
         def grouped_in(rows: DataFrame, key: str) -> DataFrame:
-            """rows with their group so far, where their key holds several groups."""
+            """rows with their group so far and the number of their key's rows, where the key holds several groups."""
             named = rows.join(found.select(F.col("vertex").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-            several = named.groupBy(key).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).where("_lo < _hi").select(key)
-            return named.join(several, key)
+            several = named.groupBy(key).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("members")).where("_lo < _hi")
+            return named.join(several.select(key, "members"), key)
 
-        rest = grouped_in(shared.where("id <> lead and members > 2").select("band", "id", "members"), "band").join(signs, "id")
+        # an item may have several rows; from here on each is one member
+        apart = shared.where("id <> lead and members > 2").select("band", "id").distinct()
+        rest = grouped_in(apart, "band").join(signs, "id")
         also = _in_blocks(rest, "band", "members").mapInArrow(_likely(needed, ratio), "x long, y long")
         clusters = components(tried.unionByName(also))
-        sizes = clusters.groupBy("component").agg(F.count("*").alias("members"))
-        placed = clusters.join(sizes, "component").select(F.col("component").alias("cluster"), F.col("vertex").alias("id"), "members")
+        placed = clusters.select(F.col("component").alias("cluster"), F.col("vertex").alias("id"))
         unsettled = grouped_in(placed, "cluster").join(full, "id")
         more = stored(_in_blocks(unsettled, "cluster", "members").mapInArrow(_exact(set_of, similarity), "x long, y long"), "cross-links")
         if more.limit(1).count():

@@ -207,6 +207,29 @@ def test_line_links_are_all_found(spark):
     assert len(missed) <= 0.005 * len(links), missed
 
 
+def test_repeated_items_are_one_member(spark, monkeypatch):
+    """A line held by every slice is one member of its buckets, so blocks stay bounded."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(97, 123, 200).astype(np.uint8)
+    texts = []
+    for k in range(3):
+        one = base.copy()
+        one[20 * k : 20 * k + 10] = 48 + k
+        texts.append(one.tobytes())
+    forms = dict(enumerate(texts))
+    least = linking.minima(*lines.shingles(list(forms.values())))
+    least[:4] = 5
+    keys, (g0, g1) = linking.band_keys(least, lines.BANDS, lines.ROWS), linking.packed(least)
+    rows = [(i, len(lines.shingle_set(t)), [int(b) for b in keys[i]], int(g0[i]), int(g1[i])) for i, t in forms.items()]
+    items = spark.createDataFrame([*rows[:2], *rows[2:] * 1000], "id long, n long, bands array<long>, g0 long, g1 long")
+    full = spark.createDataFrame([(i, bytearray(t)) for i, t in forms.items()], "id long, text binary")
+    seen = []
+    blocks = linking._in_blocks
+    monkeypatch.setattr(linking, "_in_blocks", lambda rows, *a: seen.append((rows.count(), rows.agg({"members": "max"}).first()[0])) or blocks(rows, *a))
+    linking.Linked(items, Fraction(95, 100), lambda ids: full.join(ids, "id", "left_semi"), lines.shingle_set)
+    assert seen[0][0] <= 2 * lines.BANDS and seen[0][1] == 2
+
+
 def test_line_edge_cases(spark):
     out = lines.counted(frame(spark)).collect()
     assert len(out) == len(DOCS)
