@@ -20,10 +20,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillspark.llm.common import probably_in
 from quillspark.llm.near_documents import slices
 from quillspark.session import stored
 
@@ -87,6 +87,11 @@ _SPANS = "array<struct<start:int,end:int,kind:string,value:string>>"
 _ARROW_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
 
 
+def text_key() -> Column:
+    """Names the text of a row; null texts count as empty."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def detected(docs: DataFrame) -> DataFrame:
     """doc_id, base (array of base spans), text_key and holder: the text where it has an entity, else null."""
 
@@ -94,14 +99,13 @@ def detected(docs: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             spans = [base_spans(t) if t else [] for t in texts]
-            keys = [xxhash.xxh3_64_intdigest((t or "").encode()) - (1 << 63) for t in texts]
             base = [[dict(zip(("start", "end", "kind", "value"), s)) for s in x] for x in spans]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(base, _ARROW_SPANS), pa.array(keys, pa.int64()), pa.array([t if s else None for t, s in zip(texts, spans)], pa.string())],
+                [batch.column(0), pa.array(base, _ARROW_SPANS), batch.column(2), pa.array([t if s else None for t, s in zip(texts, spans)], pa.string())],
                 names=["doc_id", "base", "text_key", "holder"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, base {_SPANS}, text_key long, holder string")
+    return docs.select("doc_id", "text", text_key().alias("text_key")).mapInArrow(run, f"doc_id long, base {_SPANS}, text_key long, holder string")
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -143,20 +147,29 @@ def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
     return joined.where((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term")
 
 
+def distinct_texts(docs: DataFrame) -> DataFrame:
+    """text of docs, each once; only texts that may have copies are shuffled."""
+    keyed = docs.select("text", text_key().alias("_key"))
+    copied = keyed.groupBy("_key").count().where("count > 1").select("_key")
+    marked = probably_in(keyed, "_key", copied)
+    once = marked.where("not _maybe").select("text")
+    return once.unionByName(marked.where("_maybe").dropDuplicates(["_key"]).select("text"))
+
+
 def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, of_term): documents, of all, that have the term."""
+    """(term, of_term): documents of different text, of all, that have the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for lo, hi in slices([len(t or "") for t in texts], SLICE_CHARS):
                 counted: dict[str, int] = {}
-                for text in {t for t in texts[lo:hi] if t}:
-                    for t in term_set(text):
+                for text in texts[lo:hi]:
+                    for t in term_set(text or ""):
                         counted[t] = counted.get(t, 0) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["term", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
+    counted = distinct_texts(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
     return counted.join(terms, "term", "left_semi")
 
 

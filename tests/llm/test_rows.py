@@ -179,6 +179,18 @@ def test_terms_that_reveal(spark):
     assert all("term" not in rows[i] for i in copies)
 
 
+def test_copies_change_no_spans(spark):
+    """Documents of equal text count once in every count, wherever the copies lie."""
+    held = {i: f"common Zanzibar filler{'abc'[i]} ann@mail.org" for i in range(3)}
+    rest = {10 + i: f"common words number {i}" for i in range(40)}
+    copies = {1000 + i: held[0] for i in range(300)}
+    spans = lambda docs: {r["doc_id"]: r["spans"] for r in personal_data.digest(personal_data.sanitised(docs)).collect()}
+    want = spans(sources(spark, held | rest))
+    assert want[0].startswith("term:7:15,")
+    got = spans(sources(spark, held | rest | copies).repartition(16))
+    assert got == want | {i: want[0] for i in copies}
+
+
 def test_personal_edge_cases(spark):
     assert personal_data.digest(personal_data.sanitised(frame(spark))).count() == len(DOCS)
     assert personal_data.digest(personal_data.sanitised(frame(spark).limit(0))).count() == 0
