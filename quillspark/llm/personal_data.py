@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,42 +110,66 @@ def detected(docs: DataFrame) -> DataFrame:
 
 
 def disclosing(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term) pairs over the disclosure threshold; ``found`` is the stored result of ``detected``."""
+    """(entity, term) pairs over the disclosure threshold; ``found`` is the stored result of ``detected``.
+
+    Only what can be in such a pair is paired: entities and terms that occur in SUPPORT distinct texts with
+    an entity, and, as the pair's documents are at most the entity's, terms no more frequent than the
+    threshold allows for that entity.
+    """
     total = max(1, found.select("text_key").distinct().count())
-    holders = found.where("holder is not null").dropDuplicates(["text_key"])
+    holders = found.where("holder is not null").dropDuplicates(["text_key"]).select("text_key", "holder", F.array_distinct("base.value").alias("entities"))
+    held = holders.select("text_key", F.explode("entities").alias("entity"))
+    alone = stored(held.groupBy("entity").agg(F.count("*").alias("of_entity")).where((F.col("of_entity") >= SUPPORT) & (F.col("of_entity") < total)), "entities")
+    if alone.limit(1).count() == 0:
+        return alone.select("entity", F.lit("").alias("term"))
+    entities = held.join(alone, "entity").groupBy("text_key").agg(F.collect_list(F.struct("entity", "of_entity")).alias("entities"))
+    texts = holders.select("text_key", "holder").join(entities.select("text_key"), "text_key", "left_semi")
+    listed = stored(texts.mapInArrow(_terms, "text_key long, term string"), "terms-of-holders")
+    wanted = stored(listed.groupBy("term").count().where(F.col("count") >= SUPPORT).select("term"), "wanted-terms")
+    counts = stored(document_frequencies(docs, wanted), "term-frequencies")
+    terms = listed.join(counts, "term").groupBy("text_key").agg(F.collect_list(F.struct("of_term", "term")).alias("terms"))
+    together = entities.join(terms, "text_key").select("entities", "terms").mapInArrow(_pairs(total), "entity string, term string, n long")
+    joined = together.groupBy("entity", "term").agg(F.sum("n").alias("n")).where(F.col("n") >= SUPPORT).join(alone, "entity").join(counts, "term")
+    information = -F.log2(F.col("of_entity") / total)
+    mutual = F.log2(F.col("n") * F.lit(float(total)) / (F.col("of_entity") * F.col("of_term")))
+    return stored(joined.where(mutual >= DISCLOSURE * information).select("entity", "term"), "disclosing")
+
+
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text_key, term) for each distinct term of (text_key, text)."""
+    for batch in batches:
+        keys, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+        for lo, hi in slices([len(t) for t in texts], SLICE_CHARS):
+            sets = [list(term_set(t)) for t in texts[lo:hi]]
+            named = np.repeat(keys[lo:hi], [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(named, pa.int64()), pa.array([t for x in sets for t in x], pa.string())], names=["text_key", "term"])
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted: dict[tuple[str, str], int] = {}
 
-        def rows() -> pa.RecordBatch:
-            entities, terms = zip(*counted)
-            return pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(list(counted.values()), pa.int64())], names=["entity", "term", "n"])
+def _pairs(total: int):
+    """(entity, term, n): in how many texts of a task both are, COUNTED pairs at most held at a time."""
 
+    def rows(counted: dict[tuple[str, str], int]) -> pa.RecordBatch:
+        entities, terms = zip(*counted)
+        return pa.RecordBatch.from_arrays([pa.array(entities, pa.string()), pa.array(terms, pa.string()), pa.array(list(counted.values()), pa.int64())], names=["entity", "term", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: dict[tuple[str, str], int] = {}
         for batch in batches:
-            for text, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                terms = term_set(text)
-                for entity in set(values):
-                    counted[(entity, "")] = counted.get((entity, ""), 0) + 1
-                    for t in terms:
+            for k in range(batch.num_rows):
+                terms = sorted((t["of_term"], t["term"]) for t in batch.column(1)[k].as_py())
+                frequencies = [n for n, _ in terms]
+                for e in batch.column(0)[k].as_py():
+                    entity, of_entity = e["entity"], e["of_entity"]
+                    most = max(of_entity, of_entity**DISCLOSURE * total ** (1 - DISCLOSURE)) * (1 + 1e-9)
+                    for _, t in terms[: bisect_right(frequencies, most)]:
                         counted[(entity, t)] = counted.get((entity, t), 0) + 1
-                if len(counted) > COUNTED:
-                    yield rows()
-                    counted = {}
+                        if len(counted) >= COUNTED:
+                            yield rows(counted)
+                            counted = {}
         if counted:
-            yield rows()
-
-    values = holders.select("holder", F.col("base.value").alias("values"))
-    together = values.mapInArrow(pairs, "entity string, term string, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
-    together = stored(together.where(F.col("n") >= SUPPORT), "co-occurrence")
-    wanted = together.where("term <> ''")
-    if wanted.limit(1).count() == 0:
-        return wanted.select("entity", "term")
-    alone = together.where("term = ''").select("entity", F.col("n").alias("of_entity"))
-    counts = document_frequencies(docs, wanted.select("term").distinct())
-    joined = wanted.join(alone, "entity").join(counts, "term")
-    information = -F.log2(F.col("of_entity") / total)
-    mutual = F.log2(F.col("n") * F.lit(float(total)) / (F.col("of_entity") * F.col("of_term")))
-    return joined.where((information > 0) & (mutual >= DISCLOSURE * information)).select("entity", "term")
+            yield rows(counted)
+
+    return run
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:

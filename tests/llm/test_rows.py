@@ -5,6 +5,7 @@ import re
 import zlib
 
 import public_tokenizers
+import pyarrow as pa
 import tiktoken
 from llm_cases import CLASHING, DOCS, frame, sources
 
@@ -191,6 +192,22 @@ def test_copies_change_no_spans(spark):
     assert got == want | {i: want[0] for i in copies}
 
 
+def test_pairs_of_a_directory(spark, monkeypatch):
+    """A long text with many entities is paired only where a pair can count; few pairs are held at a time."""
+    held = {i: f"common Zanzibar filler{'abc'[i]} ann@mail.org" for i in range(3)}
+    rest = {10 + i: f"common words number {i}" for i in range(40)}
+    name = lambda k: "".join(chr(97 + k // 26**j % 26) for j in range(3))
+    book = "common Zanzibar " + " ".join(f"x{name(k)}@y{name(k)}.zz" for k in range(3000)) + " ann@mail.org"
+    docs = sources(spark, held | rest | {99: book})
+    want = {r["doc_id"]: r["spans"] for r in personal_data.digest(personal_data.sanitised(docs)).collect()}
+    assert want[0].startswith("term:7:15,") and ",term:7:15," in "," + want[99]
+    # one document, many pairs: no batch is larger than what may be held
+    monkeypatch.setattr(personal_data, "COUNTED", 50)
+    rows = pa.RecordBatch.from_pylist([{"entities": [{"entity": f"e{k}", "of_entity": 3} for k in range(20)], "terms": [{"of_term": 3 + 50 * (k % 2), "term": f"t{k}"} for k in range(30)]}])
+    out = list(personal_data._pairs(60)(iter([rows])))
+    assert max(b.num_rows for b in out) <= 50 and sum(b.num_rows for b in out) == 20 * 15
+
+
 def test_personal_edge_cases(spark):
     assert personal_data.digest(personal_data.sanitised(frame(spark))).count() == len(DOCS)
     assert personal_data.digest(personal_data.sanitised(frame(spark).limit(0))).count() == 0
