@@ -5,7 +5,8 @@ entities are the distinct values found.  How strongly a term reveals an entity i
 corpus: the pointwise mutual information of "the document has the entity" and "the document has the
 term", as a share of the entity's own information.  A term that occurs with the entity in at least SUPPORT
 documents of different text, and gives away at least DISCLOSURE of the entity's information, becomes a span
-of kind ``term`` wherever it stands in a document with that entity.
+of kind ``term`` wherever it stands in a document with that entity.  ``sanitised`` gives the spans,
+``redacted`` the texts in which they are generalised to their kind.
 
 Terms are runs of letters, lower-cased.  Documents of equal text count once, so copies do not turn chance
 into evidence.  Documents without an entity get no spans.  Null texts count as empty; repeated rows are
@@ -198,29 +199,64 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
     return counted.join(terms, "term", "left_semi")
 
 
+def revealed(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(text_key, terms): the disclosing terms of each text that has any; ``found`` is the stored result of ``detected``."""
+    entities = found.where("holder is not null").select("text_key", F.explode(F.array_distinct("base.value")).alias("entity")).distinct()
+    return entities.join(disclosing(docs, found), "entity").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
+
+
+def term_spans(text: str, terms: list[str]) -> list[Span]:
+    wanted = set(terms)
+    return [(m.start(), m.end(), "term", m[0]) for m in TERM.finditer(text) if m[0].lower() in wanted]
+
+
 def sanitised(docs: DataFrame) -> DataFrame:
     """doc_id, base and added (array of spans of kind term) of every row of (doc_id, text)."""
     found = stored(detected(docs), "personal-data")
-    revealing = disclosing(docs, found)
     holders = found.where("holder is not null")
-    entities = holders.select("text_key", F.explode(F.array_distinct("base.value")).alias("entity")).distinct()
-    listed = entities.join(revealing, "entity").groupBy("text_key").agg(F.collect_set("term").alias("terms"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            added = []
-            for text, terms in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                wanted = set(terms)
-                added.append([{"start": m.start(), "end": m.end(), "kind": "term", "value": m[0]} for m in TERM.finditer(text) if m[0].lower() in wanted])
+            added = [[dict(zip(("start", "end", "kind", "value"), s)) for s in term_spans(*x)] for x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(added, _ARROW_SPANS)], names=["text_key", "added"])
 
     texts = holders.select("text_key", "holder").dropDuplicates(["text_key"])
-    terms = texts.join(listed, "text_key").select("text_key", "holder", "terms").mapInArrow(run, f"text_key long, added {_SPANS}")
+    terms = texts.join(revealed(docs, found), "text_key").select("text_key", "holder", "terms").mapInArrow(run, f"text_key long, added {_SPANS}")
     none = F.array().cast(_SPANS)
     keyed = holders.select("doc_id", "base", "text_key").join(terms, "text_key", "left").select("doc_id", "base", F.coalesce("added", none).alias("added"))
     return keyed.unionByName(found.where("holder is null").select("doc_id", "base", none.alias("added")))
 
 
+def without(text: str, terms: list[str]) -> str:
+    """Text with its base spans and the terms generalised to their kind; spans that overlap become one mark, of the first's kind."""
+    order, out, at = {k: i for i, k in enumerate((*KINDS, "term"))}, [], 0
+    for start, end, kind, _ in sorted(base_spans(text) + term_spans(text, terms), key=lambda s: (s[0], order[s[2]], s[1])):
+        if start >= at:
+            out += [text[at:start], f"[{kind}]"]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """docs with all spans of ``sanitised`` generalised to their kind, as [email] or [term]; null texts stay null."""
+    found = stored(detected(docs), "personal-data")
+    listed = stored(revealed(docs, found).select(F.col("text_key").alias("__listed"), F.col("terms").alias("__terms")), "revealed")
+    marked = probably_in(docs.withColumn("__key", text_key()), "__key", listed.select("__listed"))
+    names, width = docs.columns, len(docs.columns)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, terms = batch.column(at).to_pylist(), batch.column(width).to_pylist()
+            columns = batch.columns[:width]
+            columns[at] = pa.array([t and without(t, x or []) for t, x in zip(texts, terms)], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    plain = marked.where("not _maybe").select(*names, F.lit(None).cast("array<string>").alias("__terms"))
+    cut = marked.where("_maybe").join(listed, F.col("__key") == F.col("__listed"), "left").select(*names, "__terms")
+    return plain.unionByName(cut).mapInArrow(run, docs.schema)
+
+
 def digest(found: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans, from doc_id, base and added."""
     order = {k: i for i, k in enumerate((*KINDS, "term"))}

@@ -208,6 +208,20 @@ def test_pairs_of_a_directory(spark, monkeypatch):
     assert max(b.num_rows for b in out) <= 50 and sum(b.num_rows for b in out) == 20 * 15
 
 
+def test_redacted_texts(spark):
+    held = {i: f"common Zanzibar {'abc'[i]} ann@mail.org, zanzibar +44 20 7946 0958" for i in range(3)}
+    rest = {10 + i: f"common words Zanzibars {i}" for i in range(40)}
+    other = {50: "bob@mail.com wrote 1.2.3.4", 51: None, 52: ""}
+    docs = sources(spark, held | rest | other).selectExpr("'kept' as extra", "*", "1 as base")
+    got = personal_data.redacted(docs)
+    assert got.columns == docs.columns
+    texts = {r["doc_id"]: r["text"] for r in got.collect()}
+    assert texts == {i: f"common [term] {'abc'[i]} [email], [term] [phone]" for i in held} | rest | {50: "[email] wrote [ip]", 51: None, 52: ""}
+    again = personal_data.digest(personal_data.sanitised(got)).collect()
+    assert all(r["spans"] == "" for r in again)
+    assert personal_data.redacted(frame(spark)).count() == len(DOCS)
+
+
 def test_personal_edge_cases(spark):
     assert personal_data.digest(personal_data.sanitised(frame(spark))).count() == len(DOCS)
     assert personal_data.digest(personal_data.sanitised(frame(spark).limit(0))).count() == 0
