@@ -1,20 +1,22 @@
-"""Near-duplicate vectors by sorted projection passes.
-
-In each of PASSES passes the vectors of a label are ordered lexicographically by BITS concatenated random
-hyperplane signs, and every vector is compared with the WINDOW vectors that follow it; pairs at the
-threshold or above (cosine in double precision) are links, and the links of all passes are united.  Within
-each group so found all pairs are then compared in blocks of bounded size, so that the number of links is
-exact there and a dense group larger than the window loses nothing.  Vectors that are equal are one
-vector with a multiplicity, so copies cost nothing.
-
-A window ends with its task: pairs that straddle two tasks in one pass are met in others, as each pass
-has its own order.  Vectors are compared only within one label and one dimension.  Null labels, null or
-zero vectors, and vectors with null or non-finite components link with nothing.  Repeated rows (same id,
-label and vector) give one row; rows without vec_id link with nothing and are kept.
+"""Near-duplicate vectors by all pairs in small labels, and in random cells of bounded miss rate in large ones.
+
+Vectors are compared only within one label and one dimension; pairs at the threshold or above (cosine in
+double precision) are links.  A label of up to EXACT different vectors is one cell.  A larger one is dealt
+into cells in several passes: a cell is named by the rounded positions of the unit vector on random lines, so
+whether two vectors share it depends on their distance alone, not on where the label's vectors lie or how many
+are near.  The number of lines grows with the label's rows, and the number of passes with the lines, so
+that a pair at the threshold shares no cell with a probability of MISSED or less; nearer pairs are missed
+less.  All pairs of a cell are compared, in blocks of bounded size, whatever the number of partitions.
+Within each group so found all pairs are then compared in blocks, so that the number of links is exact there.
+Vectors that are equal are one vector with a multiplicity, so copies cost nothing.
+
+Null labels, null or zero vectors, and vectors with null or non-finite components link with nothing.
+Repeated rows (same id, label and vector) give one row; rows without vec_id link with nothing and are kept.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components
+from quillspark.llm.common import components, mixed, spanning
 from quillspark.llm.linking import grouped
 from quillspark.session import stored
 
 THRESHOLD = 0.98
-PASSES, WINDOW, BITS = 8, 128, 48
+#: Different vectors of a label up to which all pairs are compared, and the miss rate beyond.
+EXACT, MISSED = 8192, 0.001
+#: Distance of unit vectors at the threshold, and of marks on a line.
+REACH = math.sqrt(2 - 2 * THRESHOLD)
+STEP = 5 * REACH
+#: Members of a cell per block, and rows of it compared at a time.
+CELL_BLOCK, ROWS = 2048, 256
 #: Members of a group per block.
 BLOCK = 512
 SEED = 3
@@ -40,67 +48,60 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
+def shared(lines: int) -> float:
+    """Probability that a pair at the threshold has equal rounded positions on all of so many lines."""
+    t = STEP / REACH
+    one = math.erf(t / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * t) * (1 - math.exp(-t * t / 2))
+    return one**lines
+
+
+def passes(lines: int) -> int:
+    return math.ceil(math.log(MISSED) / math.log(1 - shared(lines))) if lines else 1
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per vector and pass: (pass, label, dim, hash, id, vector)."""
+    """(vector_key, bucket) of each vector and pass, from (vector_key, label, dim, lines, vector)."""
     for batch in batches:
-        dims, all_vectors = batch.column("dim").to_numpy(), batch.column("vector")
-        for dim in np.unique(dims):
-            at = np.flatnonzero(dims == dim)
-            some, take = all_vectors.take(pa.array(at)), pa.array(at)
-            unit = _matrix(some)
-            for k in range(PASSES):
-                planes = np.random.default_rng((SEED, k, int(dim))).standard_normal((int(dim), BITS))
-                bits = (unit @ planes > 0).astype(np.int64)
-                hashes = (bits << np.arange(BITS - 1, -1, -1, dtype=np.int64)).sum(axis=1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), k, dtype=np.int32)), batch.column("label").take(take), pa.array(dims[at]), pa.array(hashes), batch.column("id").take(take), some],
-                    names=["pass", "label", "dim", "hash", "id", "vector"],
-                )
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links (a, b) of each vector with the smallest linked one in reach, from rows in (pass, label, dim, hash) order."""
-    rest = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        whole = pa.Table.from_batches([*(rest.to_batches() if rest is not None else []), batch]).combine_chunks()
-        fresh = 0 if rest is None else rest.num_rows
-        rest = whole.slice(max(0, whole.num_rows - WINDOW))
-        key = np.stack([whole.column(c).to_numpy().astype(np.int64) for c in ("pass", "label", "dim")], axis=1)
-        ids = whole.column("id").to_numpy()
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1), len(ids)]
-        found: list[np.ndarray] = []
+        keys, labels, dims, lines = (batch.column(c).to_numpy() for c in ("vector_key", "label", "dim", "lines"))
+        for dim, k in np.unique(np.stack([dims, lines], axis=1), axis=0).tolist():
+            at = np.flatnonzero((dims == dim) & (lines == k))
+            unit = _matrix(batch.column("vector").take(pa.array(at)))
+            for number in range(passes(k)):
+                drawn = np.random.default_rng((SEED, number, dim))
+                marks = np.floor((unit @ drawn.standard_normal((dim, k)) + drawn.uniform(0, STEP, k)) / STEP).astype(np.int64).view(np.uint64)
+                bucket = mixed(labels[at].view(np.uint64) + mixed(np.full(len(at), dim << 32 | number, dtype=np.uint64)))
+                for j in range(k):
+                    bucket = mixed(bucket * np.uint64(0x2545F4914F6CDD1D) + marks[:, j])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[at]), pa.array(bucket.view(np.int64))], names=["vector_key", "bucket"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) that join the same vectors as all links of a block pair, from rows sorted by cell."""
+    for table in grouped(batches, "cell"):
+        cell, ids, side = (table.column(c).to_numpy() for c in ("cell", "id", "side"))
+        vectors = table.column("vector").combine_chunks()
+        vectors = vectors.chunk(0) if isinstance(vectors, pa.ChunkedArray) else vectors
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
         for lo, hi in zip(cuts[:-1], cuts[1:]):
-            if hi <= fresh or hi - lo < 2:
-                continue
-            unit, own = _matrix(whole.column("vector").slice(lo, hi - lo).combine_chunks()), ids[lo:hi]
-            for start in range(0, hi - lo, WINDOW):
-                end = min(hi - lo, start + WINDOW)
-                reach = min(hi - lo, end + WINDOW)
-                i, j = np.nonzero(unit[start:end] @ unit[start:reach].T >= THRESHOLD)
-                far = j - i
-                i, j = i[(far > 0) & (far <= WINDOW)] + start, j[(far > 0) & (far <= WINDOW)] + start
+            unit, on, own = _matrix(vectors.slice(lo, hi - lo)), side[lo:hi], ids[lo:hi]
+            left, right = np.flatnonzero(on != 1), np.flatnonzero(on != 0)
+            others = unit[right].T
+            for start in range(0, len(left), ROWS):
+                some = left[start : start + ROWS]
+                i, j = np.nonzero(unit[some] @ others >= THRESHOLD)
+                i, j = spanning(len(own), some[i], right[j])
                 if len(i):
-                    found.append(_spanning(own, i, j))
-        if found:
-            a, b = np.concatenate(found).T
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-
-def _spanning(ids: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Links that join the same rows as the pairs (i, j), at most two per row."""
-    least = np.arange(len(ids))
-    while True:
-        now = least.copy()
-        np.minimum.at(now, i, least[j])
-        np.minimum.at(now, j, least[i])
-        now = now[now]
-        if (now == least).all():
-            break
-        least = now
-    rows = np.flatnonzero(least != np.arange(len(ids)))
-    return np.stack([ids[rows], ids[least[rows]]], axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(own[j])], names=["a", "b"])
+
+
+def _in_blocks(rows: DataFrame, group: list[str], most: int) -> DataFrame:
+    """Rows with their cell of two blocks of their group, side 0 or 1, or 2 where both blocks are one; members counts the group."""
+    blocks = F.ceil(F.col("members") / most).cast("int")
+    blocked = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("vector_key"), F.col("blocks")).cast("int"))
+    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.xxhash64(*group, F.least("block", "other"), F.greatest("block", "other"))
+    side = F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1)
+    return spread.withColumn("cell", cell).withColumn("side", side).drop("blocks", "block", "other", "members", *group)
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +126,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names)), pa.array(np.concatenate(sums).astype(np.int64))], names=["id", "n"])
 
 
-def near_vectors(vectors: DataFrame) -> DataFrame:
+def near_vectors(vectors: DataFrame, exact: int = EXACT) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector of (vec_id, embedding, label)."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), "label").distinct()
     finite = F.forall("vector", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
@@ -134,21 +135,19 @@ def near_vectors(vectors: DataFrame) -> DataFrame:
     key = ["label", "vector"]
     firsts = rows.where("sound").groupBy(*key).agg(F.min("vec_id").alias("id"), F.count_distinct("vec_id").alias("copies"))
     # labels of any type become numbers for the tasks; a collision only adds comparisons that the final join undoes
-    distinct = stored(firsts.select(F.xxhash64("label").alias("label"), "id", "copies", F.size("vector").alias("dim"), "vector"), "distinct-vectors")
-    placed = distinct.select("id", "label", "dim", "vector").mapInArrow(_placed, "pass int, label long, dim int, hash long, id long, vector array<double>")
-    order = ["pass", "label", "dim", "hash", "id"]
+    number = F.xxhash64("label")
+    distinct = firsts.select(number.alias("label"), "id", "copies", F.size("vector").alias("dim"), "vector", F.xxhash64("label", "vector").alias("vector_key"))
+    distinct = stored(distinct, "distinct-vectors")
+    sizes = distinct.groupBy("label", "dim").agg(F.greatest(F.lit(0), F.ceil(F.log2(F.count("*") / exact))).cast("int").alias("lines"))
+    placed = distinct.join(sizes, ["label", "dim"]).select("vector_key", "label", "dim", "lines", "vector").mapInArrow(_placed, "vector_key long, bucket long")
+    placed = stored(placed, "placed-vectors")
+    several = placed.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    paired = _in_blocks(placed.join(several, "bucket"), ["bucket"], CELL_BLOCK).join(distinct.select("vector_key", "id", "vector"), "vector_key")
     width = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = placed.repartitionByRange(width, *order).sortWithinPartitions(*order).mapInArrow(_windows, "a long, b long")
-    found = components(links)
-    members = found.join(distinct, found["vertex"] == distinct["id"]).select("component", "label", "dim", "id", "copies", "vector")
+    found = components(paired.select("cell", "side", "id", "vector").repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_joined, "a long, b long"))
+    members = found.join(distinct, found["vertex"] == distinct["id"]).select("component", "label", "dim", "id", "vector_key", "copies", "vector")
     sized = members.join(members.groupBy("component").agg(F.count("*").alias("members")), "component")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    blocked = sized.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    spread = blocked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = spread.select(
-        F.xxhash64("component", "label", "dim", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "copies", "vector",
-        F.when(F.col("block") == F.col("other"), 2).when(F.col("block") < F.col("other"), 0).otherwise(1).alias("side"),
-    )
+    cells = _in_blocks(sized, ["component", "label", "dim"], BLOCK).select("cell", "id", "copies", "vector", "side")
     counts = cells.repartition(width, "cell").sortWithinPartitions("cell").mapInArrow(_counted, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     groups = firsts.join(counts, "id", "left").join(found.withColumnRenamed("vertex", "id"), "id", "left")
     named = groups.select(*key, (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))

@@ -268,6 +268,41 @@ def test_vectors_against_brute_force(spark):
     assert got == want
 
 
+def test_vectors_whatever_the_partitions(spark):
+    """Few rows a task lose no link."""
+    rng = np.random.default_rng(6)
+    rows = {}
+    for k in range(20):
+        v = rng.standard_normal(16)
+        rows |= {2 * k: (v.tolist(), k % 3), 2 * k + 1: ([float(np.nextafter(v[0], 9)), *v[1:].tolist()], k % 3)}
+    df = spark.createDataFrame([(i, v, k) for i, (v, k) in rows.items()], "vec_id long, embedding array<double>, label int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "200")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors.near_vectors(df).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == brute_vectors(rows)
+    assert all(n == 1 for n, _ in got.values())
+
+
+@pytest.mark.parametrize("exact,least", [(near_vectors.EXACT, 1.0), (64, 0.995)])
+def test_one_large_label_of_similar_vectors(spark, exact, least):
+    """Background cosine 0.9, pairs at 0.981: recall against brute force, exactly and by cells."""
+    rng = np.random.default_rng(8)
+    turn = lambda v, c: c * v + (1 - c * c) ** 0.5 * (lambda w: w / np.linalg.norm(w))((x := rng.standard_normal(64)) - (x @ v) * v)
+    centre = np.eye(64)[0]
+    ones = [turn(centre, 0.9**0.5) for _ in range(2000)]
+    unit = np.array([*ones, *[turn(v, 0.981) for v in ones]])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(unit)], "vec_id long, embedding array<double>, label int")
+    near = unit @ unit.T >= 0.98
+    want = near.sum(axis=1) - 1
+    got = {r["vec_id"]: r["n_links"] for r in near_vectors.near_vectors(df, exact).collect()}
+    found = np.array([got[i] for i in range(len(unit))])
+    assert (found <= want).all() and want.sum() >= 4000
+    assert found.sum() >= least * want.sum(), (found.sum(), want.sum())
+
+
 def test_vector_edge_cases(spark):
     one = [1.0, 2.0, 3.0]
     rows = [
