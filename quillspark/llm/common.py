@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,6 +94,22 @@ def bitmap_rows(buckets: DataFrame, bucket: str) -> DataFrame:
     return numbered.groupBy("_bitmap_row").agg(F.expr("bitmap_construct_agg(_pos)").alias("_bitmap"))
 
 
+def sent_bitmap(spots: DataFrame, bits: int) -> Broadcast[bytes]:
+    """The first column's numbers, 0 to bits - 1, as a bitmap for the tasks: bits / 8 bytes whatever the rows."""
+    held, step = bytearray(bits // 8), BITMAP_ROW_BITS // 8
+    # the first bitmap row starts with value 1
+    rows = bitmap_rows(spots.select((F.col(spots.columns[0]).cast("long") + 1).alias("_b")), "_b")
+    for row in rows.toLocalIterator():  # at most bits / BITMAP_ROW_BITS rows of 4 KiB
+        part = bytes(row["_bitmap"])
+        held[(row["_bitmap_row"] - 1) * step : (row["_bitmap_row"] - 1) * step + len(part)] = part
+    return spots.sparkSession.sparkContext.broadcast(bytes(held))
+
+
+def bits_at(bitmap: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Which of these spots are set in a bitmap of bytes."""
+    return (bitmap[spots >> np.uint64(3)] >> (spots & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+
+
 def probably_in(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     """df with a boolean ``_maybe``: false only where the key is surely not among ``keys`` (one column).
 
