@@ -92,9 +92,11 @@ class _Counts:
         if not len(number):
             return
         # crc32 is affine: the crc of start and word is that of the word, moved by what the start does to as many zero bytes
-        from_start = np.array([[zlib.crc32(_ZEROS[:k], c) ^ zlib.crc32(_ZEROS[:k]) for k in range(max(known.bytes) + 1)] for c in map(zlib.crc32, starts)], np.uint32)
+        sizes = np.array(known.bytes, np.int64)
+        zeros = [(_ZEROS[:k], zlib.crc32(_ZEROS[:k])) for k in range(int(sizes.max()) + 1)]
+        from_start = np.array([[zlib.crc32(z, c) ^ nothing for z, nothing in zeros] for c in map(zlib.crc32, starts)], np.uint32)
         text = np.repeat(np.arange(len(split)), [len(words) for words in split])
-        mark = np.array(known.crc, np.uint32)[number] ^ from_start[text, np.array(known.bytes)[number]]
+        mark = np.array(known.crc, np.uint32)[number] ^ from_start[text, sizes[number]]
         found = np.bincount(number, minlength=len(known.crc))
         found[: len(self.counts)] += self.counts
         chosen = np.flatnonzero((mark % np.uint32(DROPPED) == 0) | (number == 0))
