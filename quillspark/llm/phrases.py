@@ -9,10 +9,11 @@ into words.  All counts are per language (null: ``und``).
    to the left by every word that stands before them, all intervals of a depth at once; the interval in the
    reversed index moves along.  Its size is the count, and the two transforms tell how many
    occurrences go on to the left and to the right.
-2. Counts are summed across shards.  A first scan counts pairs of words under 64-bit names; the names with
-   enough occurrences go into a bitmap of fixed size.  A second scan counts words, pairs in the bitmap, and
-   longer phrases all of whose pairs are in it, under their own words.  As a phrase occurs no more often than
-   any of its pairs, and the bitmap errs only by letting too much through, no phrase is lost.
+2. Counts are summed across shards.  For each length from two words on, a scan counts the phrases under
+   64-bit names, and the names with enough occurrences go into a bitmap of fixed size; longer phrases are
+   counted only if their parts are in it.  A last scan counts words, and phrases in the bitmaps, under their
+   own words.  As a phrase occurs no more often than any of its parts, and a bitmap errs only by letting too
+   much through, no phrase is lost.
 3. Candidates are joined with the counts of their parts; scores are computed in 38-digit decimals.
 
 Null texts count as empty, empty tables give no rows.  Rows that repeat count each time.  A text longer than
@@ -28,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ from quillspark.session import stored
 #: Longest phrase, least count, share of a phrase's occurrences in a longer one that drops it, rows per language.
 DEPTH, LEAST, INSIDE_PERCENT, MOST = 3, 10, 50, 2000
 #: Bytes of text per shard.
-SHARD_BYTES = 24 << 20
-#: Values of the set of frequent pairs; as a bitmap it takes 8 MiB.
+SHARD_BYTES = 32 << 20
+#: Values of the set of frequent phrases of one length; as a bitmap it takes 8 MiB.
 SET_BITS = 1 << 26
 SCALE = 1_000_000
 UNKNOWN = "und"
@@ -81,13 +83,10 @@ class Intervals:
         return Intervals(self.words[kept], self.lo[kept], self.reversed_lo[kept], self.size[kept])
 
 
-def _last_to_first(before: np.ndarray) -> np.ndarray:
-    """Row of the suffix that starts one word earlier, for each row of a transform."""
+def _by_word(before: np.ndarray) -> np.ndarray:
+    """Rows of a transform by word, then by place: the inverse of the last-to-first map."""
     n = len(before)
-    by_word = np.sort(before.astype(np.int64) * n + np.arange(n)) % n
-    out = np.empty(n, np.int64)
-    out[by_word] = np.arange(n)
-    return out
+    return (np.sort(before.astype(np.int64) * n + np.arange(n)) % n).astype(np.int32)
 
 
 def _transform(sequence: np.ndarray, depth: int) -> np.ndarray:
@@ -112,36 +111,40 @@ class WordIndex:
     """
 
     def __init__(self, sequence: np.ndarray, depth: int):
-        self.before = _transform(sequence, depth)
-        self.after = _transform(sequence[::-1], depth)
-        self.to_first = _last_to_first(self.before)
+        before, after = _transform(sequence, depth), _transform(sequence[::-1], depth)
+        self.by_word = _by_word(before)
         counts = np.bincount(sequence)
         self.starts = np.concatenate([[0], np.cumsum(counts)])
+        self.first = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         # occurrences without a word before or after, up to each row
-        self._opening = np.concatenate([[0], np.cumsum(self.before == 0)])
-        self._closing = np.concatenate([[0], np.cumsum(self.after == 0)])
+        self._opening = np.concatenate([[0], np.cumsum(before == 0, dtype=np.int32)])
+        self._closing = np.concatenate([[0], np.cumsum(after == 0, dtype=np.int32)])
 
     def words(self) -> Intervals:
         every = np.arange(1, len(self.starts) - 1)
-        return Intervals(every[:, None], self.starts[every], self.starts[every], self.starts[every + 1] - self.starts[every])
+        return Intervals(every[:, None].astype(np.int32), self.starts[every], self.starts[every], np.diff(self.starts)[every])
 
     def extended(self, found: Intervals) -> Intervals:
-        """Every phrase one word longer to the left that occurs, of all these phrases."""
-        phrase = np.repeat(np.arange(len(found.size)), found.size)
-        inside = np.arange(len(phrase)) - np.repeat(np.cumsum(found.size) - found.size, found.size)
-        rows = np.repeat(found.lo, found.size) + inside
-        word = self.before[rows].astype(np.int64)
-        order = np.argsort(phrase * np.int64(len(self.starts)) + word, kind="stable")
-        phrase, word, rows = phrase[order], word[order], rows[order]
-        new = np.flatnonzero(np.concatenate([[True], (phrase[1:] != phrase[:-1]) | (word[1:] != word[:-1])])[: len(phrase)])
-        size = np.diff(np.append(new, len(phrase)))
-        parent = phrase[new]
-        # in the reversed index, the occurrences with a smaller word before come first
-        longer = Intervals(
-            np.concatenate([word[new][:, None], found.words[parent]], axis=1), self.to_first[rows[new]],
-            found.reversed_lo[parent] + new - (np.cumsum(found.size) - found.size)[parent], size,
-        )
-        return longer.at(longer.words[:, 0] != 0)
+        """Every phrase one word longer to the left that occurs, of all these phrases.
+
+        Row j of the index belongs to the phrase word + P where the row that precedes it, by_word[j], lies in
+        the interval of P.  Within a word's rows those of one P are neighbours, so the new intervals are runs.
+        """
+        phrase = np.full(len(self.first), -1, np.int32)
+        into = np.repeat(found.lo - (np.cumsum(found.size) - found.size), found.size) + np.arange(found.size.sum())
+        phrase[into] = np.repeat(np.arange(len(found.size), dtype=np.int32), found.size)
+        after = phrase[self.by_word]
+        new = np.flatnonzero(np.concatenate([[True], (after[1:] != after[:-1]) | (self.first[1:] != self.first[:-1])]))
+        size, parent, word = np.diff(np.append(new, len(after))), after[new], self.first[new]
+        inside = parent >= 0
+        lo, size, parent, word = new[inside], size[inside], parent[inside], word[inside]
+        # in the reversed index, the occurrences with a smaller word before, or none, come first
+        order = np.argsort(parent, kind="stable")
+        smaller = np.empty(len(order), np.int64)
+        smaller[order] = np.cumsum(size[order]) - size[order]
+        reversed_lo = found.reversed_lo[parent] + smaller - (np.cumsum(found.size) - found.size)[parent]
+        longer = Intervals(np.concatenate([word[:, None], found.words[parent]], axis=1), lo, reversed_lo, size)
+        return longer.at(word != 0)
 
     def goes_on(self, found: Intervals) -> tuple[np.ndarray, np.ndarray]:
         """Occurrences of each phrase that have a word before them, and after them, in their piece."""
@@ -171,20 +174,43 @@ def _names(words: list[bytes], lang: str) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
 
 
-def _pair_names(names: np.ndarray, words: np.ndarray) -> np.ndarray:
-    return mixed(names[words[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + names[words[:, 1]])
+def _phrase_names(names: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """64-bit names of phrases, from the names of their words."""
+    out = np.zeros(len(words), np.uint64)
+    for column in words.T:
+        out = out * np.uint64(0x9E3779B97F4A7C15) + names[column]
+    return mixed(out)
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(pair, n): occurrences of each pair of words in a shard, by its 64-bit name."""
-    for lang, texts in _shards(batches):
-        sequence, words = numbered(texts)
-        index = WordIndex(sequence, 2)
-        found = index.extended(index.words())
-        pair = _pair_names(_names(words, lang), found.words)
-        for lo in range(0, len(pair), 1 << 17):
-            part = slice(lo, lo + (1 << 17))
-            yield pa.RecordBatch.from_arrays([pa.array(pair[part].view(np.int64)), pa.array(found.size[part].astype(np.int64))], names=["pair", "n"])
+def _frequent(index: WordIndex, names: np.ndarray, sets: list[np.ndarray], depth: int) -> Iterator[Intervals]:
+    """Phrases of 1 to ``depth`` words; of each length that has a set (from 2 on) only those in it, and longer ones only if their parts are."""
+    found = index.words()
+    yield found
+    for length in range(2, depth + 1):
+        found = index.extended(found)
+        # the words after the first one are a phrase found before; test those before the last one, and the whole
+        for part in (length - 1, length):
+            if 2 <= part < len(sets) + 2:
+                found = found.at(bits_at(sets[part - 2], _phrase_names(names, found.words[:, :part]) & _SPOTS))
+        yield found
+
+
+def _named(docs: DataFrame, sent: list[Broadcast[bytes]]) -> DataFrame:
+    """(name, n): occurrences of each phrase one word longer than the last set's, summed under 64-bit names."""
+    depth = len(sent) + 2
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = [np.frombuffer(x.value, np.uint8) for x in sent]
+        for lang, texts in _shards(batches):
+            sequence, words = numbered(texts)
+            names = _names(words, lang)
+            *_, found = _frequent(WordIndex(sequence, depth), names, sets, depth)
+            name = _phrase_names(names, found.words)
+            for lo in range(0, len(name), 1 << 17):
+                part = slice(lo, lo + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(name[part].view(np.int64)), pa.array(found.size[part].astype(np.int64))], names=["name", "n"])
+
+    return docs.mapInArrow(run, "name long, n long").groupBy("name").agg(F.sum("n").alias("n"))
 
 
 def _rows(lang: str, words: list[bytes], found: Intervals, index: WordIndex) -> Iterator[pa.RecordBatch]:
@@ -208,21 +234,17 @@ def counted(docs: DataFrame, depth: int = DEPTH, least: int = LEAST) -> DataFram
     n counts occurrences; left and right those that have a word before and after them in their piece.
     """
     narrow = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").alias("text"))
-    pairs = narrow.mapInArrow(_pairs, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    frequent = pairs.where(F.col("n") >= least).select(F.col("pair").bitwiseAND(F.lit(SET_BITS - 1)).alias("spot"))
-    sent = sent_bitmap(frequent, SET_BITS)
+    sent: list[Broadcast[bytes]] = []
+    for _ in range(2, depth + 1):
+        spots = _named(narrow, list(sent)).where(F.col("n") >= least).select(F.col("name").bitwiseAND(F.lit(SET_BITS - 1)).alias("spot"))
+        sent.append(sent_bitmap(spots, SET_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bitmap = np.frombuffer(sent.value, np.uint8)
+        sets = [np.frombuffer(x.value, np.uint8) for x in sent]
         for lang, texts in _shards(batches):
             sequence, words = numbered(texts)
-            names = _names(words, lang)
             index = WordIndex(sequence, depth)
-            found = index.words()
-            yield from _rows(lang, words, found, index)
-            for _ in range(depth - 1):
-                found = index.extended(found)
-                found = found.at(bits_at(bitmap, _pair_names(names, found.words[:, :2]) & _SPOTS))
+            for found in _frequent(index, _names(words, lang), sets, depth):
                 yield from _rows(lang, words, found, index)
 
     rows = narrow.mapInArrow(run, "lang string, words int, phrase string, n long, left long, right long")
