@@ -11,7 +11,8 @@ from quillspark.functions import routing
 from quillspark.functions.models import ExtractiveGenerator, HashingEmbedder, OverlapScorer, embed
 from quillspark.functions.text import tokens
 from quillspark.operators.joins import attach_parent_text, filtered_else_all
-from quillspark.operators.search import FilteredKernel, search
+from quillspark.operators.search import search
+from quillspark.operators.terms import search_among, term_index
 from quillspark.plans import retrieve as R
 from quillspark.plans import web
 from quillspark.session import spread, stored
@@ -185,13 +186,12 @@ def filtered_else_unfiltered(spark, sf):
     words = F.array_distinct(tokens(F.col("text")))
     asked = table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), words.alias("words"))
     size = F.array(F.col("n_chars").cast("float"))
-    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), size.alias("vec"), words.alias("words"))
+    docs = table(spark, sf, "documents")
+    sizes = docs.select(F.col("doc_id").alias("id"), size.alias("payload"))
     one = F.array(F.lit(1.0).cast("float"))
-    inside = search(
-        asked.where(F.size("words") > 0).select("qid", F.struct(one.alias("vec"), "words").alias("payload")),
-        docs.select("id", F.struct("vec", "words").alias("payload")), 3, FilteredKernel(),
-    ).withColumn("filtered", F.lit(True))
-    everywhere = search(asked.select("qid", one.alias("payload")), docs.select("id", F.col("vec").alias("payload")), 3)
+    postings = term_index(docs.select(F.col("doc_id").alias("id"), words.alias("payload")))
+    inside = search_among(asked.select("qid", one.alias("payload"), "words"), sizes, postings, 3).withColumn("filtered", F.lit(True))
+    everywhere = search(asked.select("qid", one.alias("payload")), sizes, 3)
     out = filtered_else_all(inside, everywhere.withColumn("filtered", F.lit(False)), "qid")
     return out.select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "filtered")
 

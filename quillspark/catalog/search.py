@@ -11,7 +11,9 @@ from quillspark.functions import vectors
 from quillspark.functions.models import HashingEmbedder, embed
 from quillspark.functions.text import tokens
 from quillspark.operators import search as S
+from quillspark.operators.cells import build_cells, probes_for, search_cells
 from quillspark.operators.dedup import merge_best
+from quillspark.operators.terms import search_terms, term_index
 from quillspark.plans import graph
 from quillspark.plans.retrieve import merge_asks
 from quillspark.session import spread
@@ -53,6 +55,32 @@ def knn_topk(spark, sf):
     return _out(S.search(label_questions(spark, sf), vector_corpus(spark, sf), K))
 
 
+CELLS, PROBES = 16, 4
+
+
+@query(f"WITH {PAIRS} SELECT qid, id, round(score, 6) AS score, rank FROM {_top(K)}")
+def cell_search_exact(spark, sf):
+    """Nearest vectors through the cell index; cells that cannot hold a better one are not read."""
+    index = build_cells(vector_corpus(spark, sf), CELLS)
+    return _out(search_cells(index, label_questions(spark, sf), K, PROBES, exact=True))
+
+
+#: Neighbours counted for the recall of the cell index: every 20th vector, asked against all.
+RECALL_OF = 10
+
+
+@query()
+def cell_search_recall(spark, sf):
+    """Share of the nearest vectors that probing finds, per question; every id divisible by 20 asks."""
+    corpus = vector_corpus(spark, sf)
+    asked = corpus.where(F.col("id") % 20 == 0).withColumnRenamed("id", "qid")
+    index = build_cells(corpus, CELLS)
+    found = search_cells(index, asked, RECALL_OF, probes_for(index, RECALL_OF))
+    true = S.search(asked, corpus, RECALL_OF)
+    both = true.join(found.select("qid", "id", F.lit(1).alias("hit")), ["qid", "id"], "left")
+    return both.groupBy("qid").agg(F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)), 6).alias("recall"))
+
+
 @query(
     f"""WITH {PAIRS}, topped AS (SELECT qid // 3 AS q, qid % 3 AS ask_no, id, score, rank FROM {_top(K)}),
     best AS (SELECT *, row_number() OVER (PARTITION BY q, id ORDER BY score DESC, ask_no, rank) AS b,
@@ -178,8 +206,8 @@ sparse AS (SELECT q.id AS qid, d.id AS id, sum(q.c * d.c)::DOUBLE AS score,
 
 def _term_search(spark: SparkSession, sf: str) -> DataFrame:
     asked = text_questions(spark, sf).select("qid", tokens(F.col("question")).alias("payload"))
-    docs = spread(table(spark, sf, "documents")).select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("payload"))
-    return S.search(asked, docs, 10, S.TermKernel())
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens(F.col("text")).alias("payload"))
+    return search_terms(asked, term_index(docs), 10)
 
 
 @query(f"WITH {_RRF} SELECT qid, id, score, rank FROM sparse")

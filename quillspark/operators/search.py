@@ -4,34 +4,32 @@ The corpus is scanned once, in place: every task multiplies its Arrow batches wi
 the question matrix and keeps only its k best rows per question.  What is shuffled
 is (tasks x questions x k) rows, never the pairs and never the corpus.
 
-The question set is sent to the tasks only when it is below a row and byte bound,
-which is checked before.  A larger set is split into blocks, the corpus into cells,
-and each (question block, corpus cell) pair is scored by one task, so neither side
-has to fit anywhere as a whole.
+The question set is sent to the tasks in blocks below a row and byte bound, which is
+checked before; each block is one scan of the corpus, and usually there is one block.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillspark.operators.ranking import top_k_per_key
+from quillspark.session import stored
 
 # Scores are rounded before ranking, so that equal vectors tie in every engine and
 # the id decides, whatever order the products were added in.
 SCORE_DIGITS = 9
 MAX_QUESTION_ROWS = 4096
 MAX_QUESTION_BYTES = 64 << 20
-CELL_ROWS = 100_000
 _WORK = 2_000_000  # score matrix entries held by a task at a time
 
 
@@ -91,64 +89,6 @@ class QuantisedKernel:
         return self._codes(rows) @ codes.T, rescore
 
 
-def _term_counts(lists: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Vocabulary of the question side and its (terms x questions) counts."""
-    terms = lists.flatten()
-    vocabulary = pc.unique(terms)
-    at = pc.index_in(terms, value_set=vocabulary).to_numpy(zero_copy_only=False)
-    owner = lists.value_parent_indices().to_numpy(zero_copy_only=False)
-    counts = np.zeros((max(len(vocabulary), 1), len(lists)))
-    np.add.at(counts, (at.astype(np.int64), owner), 1.0)
-    return vocabulary, counts
-
-
-def _known_counts(lists: pa.Array, vocabulary: pa.Array, size: int) -> np.ndarray:
-    """(rows x terms) counts of the vocabulary terms in each list."""
-    found = pc.index_in(lists.flatten(), value_set=vocabulary)
-    owner = lists.value_parent_indices().to_numpy(zero_copy_only=False)
-    known = found.is_valid().to_numpy(zero_copy_only=False)
-    at = pc.fill_null(found, 0).to_numpy(zero_copy_only=False)[known].astype(np.int64)
-    return np.bincount(owner[known] * size + at, minlength=len(lists) * size).reshape(len(lists), size)
-
-
-@dataclass(frozen=True)
-class TermKernel:
-    """Sum over shared terms of the product of their counts; payloads are term lists."""
-
-    def load(self, questions: pa.Table) -> Any:
-        return _term_counts(questions["payload"].combine_chunks())
-
-    def width(self, loaded: Any) -> int:
-        return max(loaded[1].shape)
-
-    def scores(self, loaded: Any, payload: pa.Array):
-        vocabulary, counts = loaded
-        rank = _known_counts(payload, vocabulary, counts.shape[0]) @ counts
-        return np.where(rank > 0, rank, -np.inf), None
-
-
-@dataclass(frozen=True)
-class FilteredKernel:
-    """Inner product over rows that hold every word the question asks for.
-
-    Payloads of both sides are structs of ``vec`` and ``words``.
-    """
-
-    def load(self, questions: pa.Table) -> Any:
-        payload = questions["payload"].combine_chunks()
-        vocabulary, wanted = _term_counts(payload.field("words"))
-        return _matrix(payload.field("vec")), vocabulary, (wanted > 0).astype(np.float64)
-
-    def width(self, loaded: Any) -> int:
-        return max(len(loaded[0]), loaded[2].shape[0])
-
-    def scores(self, loaded: Any, payload: pa.Array):
-        vectors, vocabulary, wanted = loaded
-        rank = np.round(_matrix(payload.field("vec")) @ vectors.T, SCORE_DIGITS)
-        held = (_known_counts(payload.field("words"), vocabulary, wanted.shape[0]) > 0) @ wanted
-        return np.where(held == wanted.sum(axis=0), rank, -np.inf), None
-
-
 class _Best:
     """Running k best (rank desc, id asc) per question."""
 
@@ -203,60 +143,67 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[t.simpleString()]
 
 
-def _candidates(questions: DataFrame, corpus: DataFrame, kernel, k: int, max_rows: int, max_bytes: int) -> DataFrame:
-    """(qid, id, coarse, score): for every question the k best rows of each scanned part."""
-    q_type, id_type = questions.schema["qid"].dataType, corpus.schema["id"].dataType
-    schema = pa.schema(
-        [("qid", _arrow_type(q_type)), ("id", _arrow_type(id_type)), ("coarse", pa.float64()), ("score", pa.float64())]
-    )
-    ddl = f"qid {q_type.simpleString()}, id {id_type.simpleString()}, coarse double, score double"
-    spark = questions.sparkSession
+def question_blocks(questions: DataFrame, max_rows: int = MAX_QUESTION_ROWS, max_bytes: int = MAX_QUESTION_BYTES) -> list[DataFrame]:
+    """The questions (qid, payload, ...) in blocks that may be sent to the tasks; none if there are no questions.
 
-    # Sizes are measured in Spark before anything is collected; JSON text is an upper bound.
-    size = F.sum(F.length(F.to_json(F.struct("payload"))))
-    rows, volume = questions.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
+    Rows and bytes are measured in Spark before anything is collected; JSON text is an upper bound of the bytes.
+    Blocks are half as large as allowed on average, as questions are dealt by hash.
+    """
+    size = F.sum(F.length(F.to_json(F.struct(*[c for c in questions.columns if c != "qid"]))))
+    rows, volume = questions.agg(F.count(F.lit(1)), F.coalesce(size, F.lit(0))).first()
     if rows == 0:
-        return spark.createDataFrame([], ddl)
+        return []
     if rows <= max_rows and volume <= max_bytes:
-        head = questions.toArrow()
+        return [questions]
+    blocks = min(rows, math.ceil(2 * max(rows / max_rows, volume / max_bytes)))
+    dealt = stored(questions.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))), "question-blocks")
+    return [dealt.where(F.col("_block") == b).drop("_block") for b in range(blocks)]
+
+
+def per_block(blocks: list[DataFrame], corpus: DataFrame, scan: Callable[[pa.Table, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ddl: str) -> DataFrame:
+    """Union of one scan of the corpus per question block, each with its block sent to the tasks; the corpus is not shuffled.
+
+    With several blocks each one's result is stored before the next is sent, so that no task holds more than one.
+    """
+    spark, done = corpus.sparkSession, []
+    for block in blocks:
+        head = block.toArrow()
+        if not head.num_rows:
+            continue
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, head.schema) as writer:
             writer.write_table(head)
         shared = spark.sparkContext.broadcast(sink.getvalue().to_pybytes())
 
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.ipc.open_stream(shared.value).read_all()
-            qids, loaded, best = table["qid"].combine_chunks(), kernel.load(table), _Best(k)
-            if not table.num_rows:
-                return
-            for batch in batches:
-                _scan(kernel, loaded, k, best, batch.column("id"), batch.column("payload"))
-            yield from _emit(best, qids, schema)
-
-        return corpus.select("id", "payload").mapInArrow(scan, ddl)
-
-    blocks = max(2, math.ceil(questions.count() / max_rows))
-    cells = max(1, math.ceil(corpus.count() / CELL_ROWS))
-    left = questions.withColumn("_qb", F.pmod(F.xxhash64("qid"), F.lit(blocks))).withColumn(
-        "_cell", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long")))
-    )
-    right = corpus.select("id", "payload").withColumn("_cell", F.pmod(F.xxhash64("id"), F.lit(cells))).withColumn(
-        "_qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
-    )
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            yield from scan(pa.ipc.open_stream(shared.value).read_all(), batches)
+
+        found = corpus.mapInArrow(run, ddl)
+        if len(blocks) > 1:
+            found = stored(found, "block-hits")
+            shared.unpersist()
+        done.append(found)
+    return reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], ddl)
+
+
+def hit_schema(questions: DataFrame, corpus: DataFrame) -> tuple[pa.Schema, str]:
+    """Arrow schema and DDL of (qid, id, coarse, score)."""
+    q_type, id_type = questions.schema["qid"].dataType, corpus.schema["id"].dataType
+    schema = pa.schema([("qid", _arrow_type(q_type)), ("id", _arrow_type(id_type)), ("coarse", pa.float64()), ("score", pa.float64())])
+    return schema, f"qid {q_type.simpleString()}, id {id_type.simpleString()}, coarse double, score double"
+
+
+def _candidates(questions: DataFrame, corpus: DataFrame, kernel, k: int, max_rows: int, max_bytes: int) -> DataFrame:
+    """(qid, id, coarse, score): for every question the k best rows of each scanned part."""
+    schema, ddl = hit_schema(questions, corpus)
+
+    def scan(table: pa.Table, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        qids, loaded, best = table["qid"].combine_chunks(), kernel.load(table), _Best(k)
+        for batch in batches:
+            _scan(kernel, loaded, k, best, batch.column("id"), batch.column("payload"))
+        yield from _emit(best, qids, schema)
 
-    def cell(asked: pa.Table, rows: pa.Table) -> pa.Table:
-        best = _Best(k)
-        if asked.num_rows and rows.num_rows:
-            rows = rows.combine_chunks()
-            loaded = kernel.load(asked.combine_chunks())
-            for batch in rows.to_batches():
-                _scan(kernel, loaded, k, best, batch.column("id"), batch.column("payload"))
-            return pa.Table.from_batches(
-                list(_emit(best, asked["qid"].combine_chunks(), schema)), schema
-            )
-        return schema.empty_table()
-
-    return left.groupBy("_qb", "_cell").cogroup(right.groupBy("_qb", "_cell")).applyInArrow(cell, ddl)
+    return per_block(question_blocks(questions.select("qid", "payload"), max_rows, max_bytes), corpus.select("id", "payload"), scan, ddl)
 
 
 def search(

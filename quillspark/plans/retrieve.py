@@ -19,7 +19,8 @@ from quillspark.functions.text import contains_any, or_empty, strip, tokens
 from quillspark.operators.dedup import merge_best
 from quillspark.operators.joins import attach_parent_text, filtered_else_all
 from quillspark.operators.ranking import rank_bounded, top_k_per_key
-from quillspark.operators.search import DenseKernel, FilteredKernel, search
+from quillspark.operators.search import DenseKernel, search
+from quillspark.operators.terms import search_among, term_index
 from quillspark.session import stored
 
 HIT_COLUMNS = ["qid", "cid", "score", "seq"]
@@ -34,6 +35,13 @@ class Index:
     embedder: models.Embedder
     scorer: models.Scorer | None = None
     parents: DataFrame | None = None
+    postings: DataFrame | None = None
+
+    def term_table(self) -> DataFrame:
+        """Postings of the texts: those given, or built from the points."""
+        if self.postings is not None:
+            return self.postings
+        return term_index(self.points.select(F.col("cid").alias("id"), tokens(F.col("text")).alias("payload")))
 
     def corpus(self) -> DataFrame:
         return self.points.select(F.col("cid").alias("id"), F.col("embedding").alias("payload"))
@@ -169,10 +177,10 @@ def _inside_named(index: Index, asks: DataFrame, width: int) -> DataFrame:
     """Hits of the summaries that name a document, among the texts that mention it."""
     words = F.array_distinct(tokens(routing.law_name(F.col("question"))))
     named = asks.where(F.col("strategy") == "summarize").withColumn("words", words).where(F.size("words") > 0)
-    asked = named.select(F.col("_ask").alias("qid"), F.struct(F.col("payload").alias("vec"), "words").alias("payload"))
-    vec = F.struct(F.col("embedding").alias("vec"), F.array_distinct(tokens(F.col("text"))).alias("words"))
-    corpus = index.points.select(F.col("cid").alias("id"), vec.alias("payload"))
-    return _parts(search(asked, corpus, width, FilteredKernel()), named)
+    if named.isEmpty():  # no term table is needed then
+        return _parts(search(named.select(F.col("_ask").alias("qid"), "payload"), index.corpus(), width), named)
+    asked = named.select(F.col("_ask").alias("qid"), "payload", "words")
+    return _parts(search_among(asked, index.corpus(), index.term_table(), width), named)
 
 
 def _second_hop(index: Index, planned: DataFrame, hop1: DataFrame, k: int) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.models import HashingEmbedder, OverlapScorer
 from quillspark.operators import search as S
+from quillspark.operators.cells import build_cells, probes_for, search_cells
 from quillspark.operators.dedup import first_per_key, last_per_key, merge_best
+from quillspark.operators.terms import rows_with_all, search_among, search_terms, term_index
 from quillspark.plans import graph
 from quillspark.plans import retrieve as R
 
@@ -20,6 +22,10 @@ def frame(spark, name, matrix):
     return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(matrix)], f"{name} long, payload array<float>").repartition(3)
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().toString()
+
+
 def brute(k, score):
     s = np.round(score, 9)
     return {(q, int(i), r + 1) for q in range(len(QUESTIONS)) for r, i in enumerate(np.lexsort((np.arange(120), -s[:, q]))[:k])}
@@ -58,17 +64,69 @@ def test_term_and_filtered_search(spark):
         [(1, ["a", "b"]), (2, ["a", "a", "c"]), (3, ["d"]), (4, [])], "id long, payload array<string>"
     )
     asked = spark.createDataFrame([(1, ["a", "c"]), (2, ["z"]), (3, ["d", "d"])], "qid long, payload array<string>")
-    for max_rows in (10, 1):
-        got = {(r.qid, r.id): r.score for r in S.search(asked, docs, 3, S.TermKernel(), max_rows=max_rows).collect()}
-        assert got == {(1, 2): 3.0, (1, 1): 1.0, (3, 3): 2.0}
+    postings = term_index(docs)
+    got = {(r.qid, r.id): r.score for r in search_terms(asked, postings, 3).collect()}
+    assert got == {(1, 2): 3.0, (1, 1): 1.0, (3, 3): 2.0}
     vec = F.array(F.lit(1.0).cast("float"))
-    filtered = S.search(
-        asked.select("qid", F.struct(vec.alias("vec"), F.col("payload").alias("words")).alias("payload")),
-        docs.select("id", F.struct(vec.alias("vec"), F.col("payload").alias("words")).alias("payload")), 3, S.FilteredKernel(),
-    )
+    filtered = search_among(asked.select("qid", vec.alias("payload"), F.col("payload").alias("words")), docs.select("id", vec.alias("payload")), postings, 3)
     assert {(r.qid, r.id) for r in filtered.collect()} == {(1, 2), (3, 3)}
 
 
+def test_term_table_as_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{k}" for k in range(40)]
+    # half of all rows hold w0, some hold nothing
+    rows = {k: [words[int(x)] for x in rng.zipf(1.4, rng.integers(0, 30)) % 40] + ["w0"] * (k % 2) for k in range(300)}
+    asks = {q: [words[int(x)] for x in rng.integers(0, 40, 1 + q % 4)] for q in range(25)}
+    docs = spark.createDataFrame(list(rows.items()), "id long, payload array<string>")
+    asked = spark.createDataFrame(list(asks.items()), "qid long, payload array<string>")
+    postings = term_index(docs.unionByName(spark.createDataFrame([(None, ["w0"]), (500, None), (501, [None])], docs.schema)))
+    scores = {(q, d): float(sum(have.count(w) for w in ask)) for q, ask in asks.items() for d, have in rows.items()}
+    best = set()
+    for q in asks:
+        order = sorted((-s, d) for (q2, d), s in scores.items() if q2 == q and s)[:7]
+        best |= {(q, d, -s, r) for r, (s, d) in enumerate(order, 1)}
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        assert {tuple(r) for r in search_terms(asked, postings, 7).collect()} == best
+        holding = {tuple(r) for r in rows_with_all(asked.withColumnRenamed("payload", "words"), postings).collect()}
+        assert holding == {(q, d) for q, ask in asks.items() for d, have in rows.items() if set(ask) <= set(have)}
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_term_search_sums_where_postings_lie(spark):
+    docs = spark.createDataFrame([(k, ["a", f"t{k}"]) for k in range(50)], "id long, payload array<string>")
+    plan = plan_of(search_terms(spark.createDataFrame([(1, ["a"])], "qid long, payload array<string>"), term_index(docs), 3))
+    assert plan.count("Exchange hashpartitioning(id") == 0 and "Bucketed: true" in plan and "BroadcastHashJoin" in plan
+
+
+def test_cells_find_what_a_full_scan_finds(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(12, 16))
+    rows = [(k, (centres[0 if k % 3 == 0 else k % 12] + rng.normal(scale=0.4, size=16)).tolist()) for k in range(1500)]
+    corpus = spark.createDataFrame(rows, "id long, payload array<float>").repartition(5)
+    asked = corpus.where("id % 20 = 0").withColumnRenamed("id", "qid")
+    index = build_cells(corpus.unionByName(spark.createDataFrame([(9999, None)], corpus.schema)), 12)
+    assert index.rows().count() == 1500
+    true = {tuple(r) for r in S.search(asked, corpus, 10).collect()}
+    for bounds in ({}, {"max_rows": 9}, {"max_bytes": 4000}):
+        assert {tuple(r) for r in search_cells(index, asked, 10, 1, exact=True, **bounds).collect()} == true
+    probes = probes_for(index, 10)
+    assert 1 <= probes < 12
+    found = {(r.qid, r.id) for r in search_cells(index, asked, 10, probes).collect()}
+    assert len(found & {t[:2] for t in true}) >= 0.9 * len(true)
+
+
+def test_cells_read_only_what_is_probed(spark):
+    rows = [(k, [float(k % 4 == j) for j in range(4)]) for k in range(400)]
+    index = build_cells(spark.createDataFrame(rows, "id long, payload array<float>"), 4)
+    asked = spark.createDataFrame([(1, [1.0, 0.0, 0.0, 0.0])], "qid long, payload array<float>")
+    plan = plan_of(search_cells(index, asked, 5, 1))
+    cell = index.rows().where("id = 0").first()["cell"]
+    filters = plan.split("PartitionFilters: ")[1].split("], ")[0]
+    assert "cell#" in filters and f" = {cell})" in filters
+
+
 def test_no_questions_means_no_scan(spark):
     empty = frame(spark, "qid", QUESTIONS).where("qid < 0")
     assert S.search(empty, frame(spark, "id", CORPUS), 3).count() == 0
