@@ -196,7 +196,8 @@ def document_frequencies(docs: DataFrame, terms: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["term", "n"])
 
     counted = distinct_texts(docs).mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
-    return counted.join(terms, "term", "left_semi")
+    # stored, as Spark would else join the rows of every slice before they are summed
+    return stored(counted, "all-term-frequencies").join(terms, "term", "left_semi")
 
 
 def revealed(docs: DataFrame, found: DataFrame) -> DataFrame:
