@@ -71,6 +71,8 @@ class Lattice:
     def __init__(self, pieces: list[str]):
         self.unknown = len(pieces) + 1
         self.longest = max((len(p) for p in pieces), default=1)
+        #: characters of each table row
+        self.sizes = np.array([0, *map(len, pieces), 1])
         base = np.uint64(0x9E3779B97F4A7C15)
         hashes = np.zeros(len(pieces), dtype=np.uint64)
         for n in {len(p) for p in pieces}:
@@ -137,20 +139,32 @@ class Lattice:
                 some = at[lo : lo + most]
                 yield some, [words[i] for i in some], int(n)
 
+    def scaled(self, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(table with each piece multiplied by a factor per character, log of the factor), by language.
+
+        The factor is one over the root of the least probability, so that sums over words of up to
+        LONGEST_WORD + 1 characters stay between 1e-308 and 1e308 while probabilities are above 1e-18.
+        """
+        log_factor = -np.log(np.where(table[1:] > 0, table[1:], np.inf).min(axis=0)) / 2
+        return table * np.exp(self.sizes[:, None] * log_factor), log_factor
+
     def log_probabilities(self, words: list[str], table: np.ndarray) -> np.ndarray:
         """(words, languages) log of the sum over all segmentations; table: (pieces + 2, languages), row 0 zero."""
         out = np.empty((len(words), table.shape[1]))
+        table, log_factor = self.scaled(table)
         for at, some, n in self.by_length(words, table.shape[1]):
             forward = np.zeros((n + 1, len(some), table.shape[1]))
             forward[0] = 1
             for start, end, rows, number in self.arcs(some, n):
                 forward[end, rows] += forward[start, rows] * table[number]
-            out[at] = np.log(forward[n])
+            out[at] = np.log(forward[n]) - n * log_factor
         return out
 
     def expected(self, words: list[str], counts: np.ndarray, column: np.ndarray) -> np.ndarray:
         """Expected number of uses of each piece, under one language's probabilities."""
         total = np.zeros(len(column))
+        # the factors cancel out
+        column = self.scaled(column[:, None])[0][:, 0]
         for at, some, n in self.by_length(words):
             arcs = list(self.arcs(some, n))
             forward, backward = np.zeros((n + 1, len(some))), np.zeros((n + 1, len(some)))
@@ -226,10 +240,13 @@ def fitted(labelled: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> Mode
     return Model(pieces, languages, table)
 
 
-def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with lang_pred and score for every row."""
+def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with the predicted language and its score, in columns of these names, for every row.
+
+    docs must have no columns of these names.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.pieces, model.languages, model.table))
-    schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
     spot = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,7 +254,7 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         lattice = Lattice(pieces)
         for batch in batches:
             texts, n = batch.column(spot), batch.num_rows
-            names, scores = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
+            found, scores = np.full(n, UNKNOWN, dtype=object), np.zeros(n)
             sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
             for lo, hi in slices(sizes, SLICE_BYTES) if languages else ():
                 tokens, at, starts = tokens_of(texts.slice(lo, hi - lo))
@@ -250,9 +267,9 @@ def predicted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 np.add.at(logs, of, lattice.log_probabilities(list(numbers), table)[word])
                 totals = np.add.reduceat(logs[at], starts)
                 some = np.flatnonzero(totals[:, 0] < 0)  # texts with a letter
-                names[lo + some] = np.array(languages, dtype=object)[totals[some].argmax(axis=1)]
+                found[lo + some] = np.array(languages, dtype=object)[totals[some].argmax(axis=1)]
                 scores[lo + some] = 1 / np.exp(totals[some] - totals[some].max(axis=1, keepdims=True)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], names=schema.names)
 
     return docs.mapInArrow(run, schema)
 

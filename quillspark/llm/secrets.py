@@ -119,16 +119,21 @@ def _written(found: Column) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def text_key() -> Column:
+    """128-bit name of a row's text; null texts count as empty."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def scanned(docs: DataFrame) -> DataFrame:
-    """doc_id, base (array of base spans) and added (array of spans of the Markov models) of every row of (doc_id, text)."""
+    """doc_id, text_key (128 bits), base (array of base spans) and added (array of spans of the Markov models) of every row of (doc_id, text)."""
     narrow = docs.select("doc_id", "text")
     table = F.array(*[F.lit(round(x, 6)) for x in trained(narrow)])
     text = F.coalesce("text", F.lit(""))
-    found = base_spans(narrow).select("doc_id", F.concat(*[F.col(f"_{k}") for k in KINDS]).alias("base"), spans(text, TOKEN_PATTERN, "markov", TOKEN).alias("tokens"))
+    found = base_spans(narrow).select("doc_id", text_key().alias("text_key"), F.concat(*[F.col(f"_{k}") for k in KINDS]).alias("base"), spans(text, TOKEN_PATTERN, "markov", TOKEN).alias("tokens"))
     # spans and tokens are few; the texts are gone from here on
     apart = F.filter("tokens", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     added = F.filter(apart, lambda t: ratio(t["text"], table) > THRESHOLD)
-    return stored(found, "secret-spans").select("doc_id", "base", added.alias("added"))
+    return stored(found, "secret-spans").select("doc_id", "text_key", "base", added.alias("added"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -142,7 +147,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """doc_id and text with every span replaced by a mark; overlapping spans become one mark."""
+    """doc_id and text of every row, with every span replaced by a mark; overlapping spans become one mark.
+
+    ``found`` is the result of ``scanned``.  Spans are looked up by the text, so repeated and null ids keep their rows.
+    """
     merged = F.aggregate(
         F.array_sort(F.transform(F.concat("base", "added"), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))),
         F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
@@ -152,4 +160,6 @@ def redacted(docs: DataFrame, found: DataFrame, mark: str = "[secret]") -> DataF
         )),
         lambda s: F.concat(s["out"], F.substring(F.col("text"), s["at"] + 1, F.length("text"))),
     )
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(found, "doc_id").select("doc_id", merged.alias("text"))
+    spans_of = found.where((F.size("base") > 0) | (F.size("added") > 0)).select("text_key", "base", "added").dropDuplicates(["text_key"])
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), text_key().alias("text_key")).join(spans_of, "text_key", "left")
+    return rows.select("doc_id", F.when(F.col("base").isNull(), F.col("text")).otherwise(merged).alias("text"))

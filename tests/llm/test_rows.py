@@ -3,11 +3,15 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
+import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import tiktoken
 from llm_cases import CLASHING, DOCS, frame, sources
+from pyspark.sql import functions as F
 
 from quillspark.llm import byte_bpe, catalog, imatch, language, mixing, personal_data, secrets
 
@@ -85,6 +89,29 @@ def test_forward_sums_all_segmentations():
     assert abs(np.exp(lattice.log_probabilities(["▁abc"], table)[0, 0]) - want) < 1e-12
 
 
+def test_segmentations_do_not_underflow():
+    """33 characters of 1e-12 each, and their expected counts, against exact logarithms."""
+    lattice = language.Lattice(["a", "aa", "▁"])
+    table = np.array([[0.0, 0.0], [0.3, 1e-12], [0.2, 1e-12], [0.4, 0.5], [1e-12, 1e-12]])
+    words = ["▁" + "й" * 32, "▁" + "a" * 32, "й" * 33]
+    logs = lattice.log_probabilities(words, table)
+    assert np.isfinite(logs).all()
+    assert np.allclose(logs[0], np.log(table[3]) + 32 * np.log(1e-12))
+    ways = [1.0, 0.3]
+    for _ in range(31):
+        ways.append(0.3 * ways[-1] + 0.2 * ways[-2])
+    assert np.isclose(logs[1, 0], np.log(0.4 * ways[32]))
+    found = lattice.expected(words, np.array([1.0, 1.0, 2.0]), table[:, 1].copy())
+    assert np.isfinite(found).all() and np.isclose(found[4], 32 + 66) and np.isclose(found[3], 2)
+
+
+def test_language_clashing_names(spark):
+    docs = frame(spark)
+    assert {"score", "lang_pred"} <= set(docs.columns)
+    kept = corpus_pipeline.known_language(spark, docs.withColumn("LANG_pred_", F.lit(1)), "")
+    assert kept.columns == [*docs.columns, "LANG_pred_"] and kept.where("text is null").count() == 0
+
+
 def test_language_edge_cases(spark):
     model = language.learned(documents(spark), catalog.PIECES)
     rows = language.predicted(frame(spark).drop("score", "lang_pred"), model).collect()
@@ -134,6 +161,9 @@ def test_secret_edge_cases(spark):
     assert secrets.digest(secrets.scanned(frame(spark).limit(0))).count() == 0
     hidden = secrets.redacted(sources(spark, SECRETS), secrets.scanned(sources(spark, SECRETS)))
     assert {r["doc_id"]: r["text"] for r in hidden.collect()}[2] == "🎉[secret] [secret]"
+    rows = spark.createDataFrame([(None, SECRETS[2]), (1, SECRETS[2]), (1, SECRETS[2]), (1, "plain"), (3, None)], "doc_id long, text string")
+    again = Counter((r["doc_id"], r["text"]) for r in secrets.redacted(rows, secrets.scanned(rows)).collect())
+    assert again == {(None, "🎉[secret] [secret]"): 1, (1, "🎉[secret] [secret]"): 2, (1, "plain"): 1, (3, ""): 1}
 
 
 def base_personal(text):
