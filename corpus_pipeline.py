@@ -20,9 +20,14 @@ LEAST_SCORE = 0.5
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without letters, or without a likeliest language, go."""
-    named = language.predicted(docs, language.learned(docs, PIECES))
-    return named.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(docs.columns)
+    """Documents in a known language; null texts, those without letters, or without a likeliest language, go.
+
+    Repeated rows and ids are judged one by one; a tie between languages goes to the first by name.
+    """
+    taken = {c.lower() for c in docs.columns}
+    pred, score = (next(n for n in (base + "_" * k for k in range(len(taken) + 1)) if n not in taken) for base in ("lang_pred", "score"))
+    named = language.predicted(docs, language.learned(docs, PIECES), names=(pred, score))
+    return named.where((F.col(pred) != language.UNKNOWN) & (F.col(score) >= LEAST_SCORE)).select(docs.columns)
 
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
