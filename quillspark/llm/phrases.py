@@ -39,7 +39,7 @@ from quillspark.session import stored
 #: Longest phrase, least count, share of a phrase's occurrences in a longer one that drops it, rows per language.
 DEPTH, LEAST, INSIDE_PERCENT, MOST = 3, 10, 50, 2000
 #: Bytes of text per shard.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 12 << 20
 #: Values of the set of frequent phrases of one length; as a bitmap it takes 8 MiB.
 SET_BITS = 1 << 26
 SCALE = 1_000_000
@@ -85,8 +85,12 @@ class Intervals:
 
 def _by_word(before: np.ndarray) -> np.ndarray:
     """Rows of a transform by word, then by place: the inverse of the last-to-first map."""
-    n = len(before)
-    return (np.sort(before.astype(np.int64) * n + np.arange(n)) % n).astype(np.int32)
+    n, key = len(before), before.astype(np.int64)
+    key *= n
+    key += np.arange(n, dtype=np.int32)
+    key.sort()
+    key %= n
+    return key.astype(np.int32)
 
 
 def _transform(sequence: np.ndarray, depth: int) -> np.ndarray:
@@ -98,7 +102,8 @@ def _transform(sequence: np.ndarray, depth: int) -> np.ndarray:
     for lo in reversed(range(0, depth, fit)):
         key = np.zeros(len(sequence), np.int64)
         for k in range(lo, min(depth, lo + fit)):
-            key = key * base + np.roll(sequence, -k)
+            key *= base
+            key += np.roll(sequence, -k)
         order = np.argsort(key) if depth <= fit else order[np.argsort(key[order], kind="stable")]
     return sequence[order - 1]
 
@@ -131,9 +136,11 @@ class WordIndex:
         the interval of P.  Within a word's rows those of one P are neighbours, so the new intervals are runs.
         """
         phrase = np.full(len(self.first), -1, np.int32)
-        into = np.repeat(found.lo - (np.cumsum(found.size) - found.size), found.size) + np.arange(found.size.sum())
+        into = np.repeat((found.lo - (np.cumsum(found.size) - found.size)).astype(np.int32), found.size)
+        into += np.arange(len(into), dtype=np.int32)
         phrase[into] = np.repeat(np.arange(len(found.size), dtype=np.int32), found.size)
         after = phrase[self.by_word]
+        del into, phrase
         new = np.flatnonzero(np.concatenate([[True], (after[1:] != after[:-1]) | (self.first[1:] != self.first[:-1])]))
         size, parent, word = np.diff(np.append(new, len(after))), after[new], self.first[new]
         inside = parent >= 0
