@@ -12,6 +12,7 @@ from quillspark.functions.models import HashingEmbedder, embed
 from quillspark.functions.text import tokens
 from quillspark.operators import search as S
 from quillspark.operators.cells import build_cells, probes_for, search_cells
+from quillspark.operators.codes import search_coded, store_codes
 from quillspark.operators.dedup import merge_best
 from quillspark.operators.terms import search_terms, term_index
 from quillspark.plans import graph
@@ -55,7 +56,7 @@ def knn_topk(spark, sf):
     return _out(S.search(label_questions(spark, sf), vector_corpus(spark, sf), K))
 
 
-CELLS, PROBES = 16, 4
+CELLS, PROBES, BUCKETS = 16, 4, 16
 
 
 @query(f"WITH {PAIRS} SELECT qid, id, round(score, 6) AS score, rank FROM {_top(K)}")
@@ -130,8 +131,8 @@ def _code(v: str) -> str:
     SELECT qid, id, round(score, 6) AS score, rank FROM {_top(K)}"""
 )
 def quantized_rescore(spark, sf):
-    bound = S.quantisation_bound(table(spark, sf, "embeddings"), "embedding")
-    return _out(S.search_quantised(label_questions(spark, sf), vector_corpus(spark, sf), K, bound))
+    """Codes are scanned; exact vectors are read from the buckets of the coarse winners."""
+    return _out(search_coded(store_codes(vector_corpus(spark, sf), BUCKETS), label_questions(spark, sf), K))
 
 
 @query(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quillspark.functions.models import HashingEmbedder, OverlapScorer
 from quillspark.operators import search as S
 from quillspark.operators.cells import build_cells, probes_for, search_cells
+from quillspark.operators.codes import coarse_hits, search_coded, store_codes
 from quillspark.operators.dedup import first_per_key, last_per_key, merge_best
 from quillspark.operators.terms import rows_with_all, search_among, search_terms, term_index
 from quillspark.plans import graph
@@ -117,6 +118,25 @@ def test_cells_find_what_a_full_scan_finds(spark):
     assert len(found & {t[:2] for t in true}) >= 0.9 * len(true)
 
 
+def test_coded_search_as_the_two_stages_in_memory(spark):
+    questions, corpus = frame(spark, "qid", QUESTIONS), frame(spark, "id", CORPUS)
+    vectors = store_codes(corpus, 4)
+    want = {tuple(r) for r in S.search_quantised(questions, corpus, 10, vectors.bound).collect()}
+    for bounds in ({}, {"max_rows": 3}):
+        assert {tuple(r) for r in search_coded(vectors, questions, 10, **bounds).collect()} == want
+
+
+def test_coarse_pass_reads_codes_only(spark):
+    corpus = spark.createDataFrame([(f"n{k}", [k / 50, 1 - k / 50]) for k in range(50)] + [("none", None)], "id string, payload array<float>")
+    vectors = store_codes(corpus, 8)
+    asked = spark.createDataFrame([(1, [1.0, 0.0])], "qid long, payload array<float>")
+    plan = plan_of(coarse_hits(vectors, asked, 3))
+    assert "ReadSchema: struct<id:string,code:binary>" in plan and "exact-vectors" not in plan
+    last = plan_of(search_coded(vectors, asked, 2))
+    assert "PartitionFilters: [bucket" in last or "PartitionFilters: [isnotnull(bucket" in last
+    assert [r["id"] for r in search_coded(vectors, asked, 2).orderBy("rank").collect()] == ["n49", "n48"]
+
+
 def test_cells_read_only_what_is_probed(spark):
     rows = [(k, [float(k % 4 == j) for j in range(4)]) for k in range(400)]
     index = build_cells(spark.createDataFrame(rows, "id long, payload array<float>"), 4)
