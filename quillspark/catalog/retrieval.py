@@ -11,6 +11,7 @@ from quillspark.functions import routing
 from quillspark.functions.models import ExtractiveGenerator, HashingEmbedder, OverlapScorer, embed
 from quillspark.functions.text import tokens
 from quillspark.operators.joins import attach_parent_text, filtered_else_all
+from quillspark.operators.blocks import OrderedBlocks
 from quillspark.operators.search import search
 from quillspark.operators.terms import search_among, term_index
 from quillspark.plans import retrieve as R
@@ -286,7 +287,8 @@ def context_and_answer(spark, sf):
 
 
 @query(
-    f"""WITH {_LOOKUP}, g AS (SELECT item_id AS qid, doc_id AS cid, 0.3::DOUBLE AS score, 1 + quality AS rank FROM benchmark JOIN labels ON doc_id // 3 = item_id AND toxic = 1),
+    f"""WITH {_LOOKUP}, placed AS (SELECT item_id AS qid, row_number() OVER (ORDER BY item_id) % count(*) OVER () AS place, count(*) OVER () AS m FROM benchmark),
+    g AS (SELECT qid, doc_id AS cid, 0.3::DOUBLE AS score, 1 + quality AS rank FROM placed JOIN labels ON doc_id % m = place AND toxic = 1),
     u AS (SELECT qid, cid, score, 0 AS src, rank FROM ranked UNION ALL SELECT qid, cid, score, 1, 2 * cid + rank FROM g),
     b AS (SELECT *, row_number() OVER (PARTITION BY qid, cid ORDER BY score DESC, src, rank) AS best,
       min(src * 1000000000 + rank) OVER (PARTITION BY qid, cid) AS seen FROM u),
@@ -294,11 +296,13 @@ def context_and_answer(spark, sf):
     SELECT qid, cid, round(score, 6) AS score, rank FROM o WHERE rank <= 10"""
 )
 def both_route_merge(spark, sf):
-    """Text results merged with a second list taken from the labelled documents."""
+    """Text results merged with a second list; every labelled document is dealt to one question, by its id."""
     asked = benchmark_questions(spark, sf, "LEGAL_LOOKUP")
     local = R.lookup(document_index(spark, sf), asked, K).select("qid", "cid", "score", "rank")
-    marked = table(spark, sf, "labels").where("toxic = 1").withColumn("qid", F.floor(F.col("doc_id") / 3))
-    graph = asked.select("qid").join(marked, "qid").select(
+    count = F.lit(max(1, asked.count()))
+    placed = OrderedBlocks(asked.select("qid"), [], ["qid"]).position("place").rows().select("qid", (F.col("place") % count).alias("place"))
+    marked = table(spark, sf, "labels").where("toxic = 1").withColumn("place", F.col("doc_id") % count)
+    graph = placed.join(marked, "place").select(
         "qid", F.col("doc_id").alias("cid"), F.lit(0.3).alias("score"),
         (F.col("doc_id") * 2 + 1 + F.col("quality")).cast("int").alias("rank"),
     )
