@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.models import HashingEmbedder, OverlapScorer
+from quillspark.functions import routing
+from quillspark.functions.models import HashingEmbedder, OverlapScorer, embed
 from quillspark.operators import search as S
 from quillspark.operators.cells import build_cells, probes_for, search_cells
 from quillspark.operators.codes import coarse_hits, search_coded, store_codes
@@ -147,6 +148,19 @@ def test_cells_read_only_what_is_probed(spark):
     assert "cell#" in filters and f" = {cell})" in filters
 
 
+def test_summary_of_a_named_decree_stays_inside_it(spark):
+    """The text filter of summaries hits: only texts with all words of the name are left; without a hit all texts are searched."""
+    texts = {1: "theo nghị định 100/2019 về giao thông", 2: "tóm tắt nghị định 100 khác", 3: "2019 có nghị quyết và định mức 100", 4: "nghị định số 7"}
+    points = spark.createDataFrame(list(texts.items()), "cid long, text string").select(
+        "cid", F.col("cid").alias("parent_id"), "text", F.lit("t").alias("title"), F.lit("u").alias("url"), F.lit("x").alias("legal_type"),
+        embed(F.col("text"), HashingEmbedder(64)).alias("embedding"),
+    )
+    asked = spark.createDataFrame([(1, "tóm tắt nghị định 100/2019"), (2, "tóm tắt nghị định 55/2001")], "qid long, question string")
+    found = R.summarize(R.Index(points, HashingEmbedder(64)), routing.reflect(asked), 4).collect()
+    assert {r["cid"] for r in found if r["qid"] == 1} == {1, 3}
+    assert {r["cid"] for r in found if r["qid"] == 2} == {1, 2, 3, 4}
+
+
 def test_no_questions_means_no_scan(spark):
     empty = frame(spark, "qid", QUESTIONS).where("qid < 0")
     assert S.search(empty, frame(spark, "id", CORPUS), 3).count() == 0
