@@ -21,6 +21,8 @@ BITMAP_ROW_BITS = 32768
 CONTRACTED_LINKS = 1 << 19
 #: Words remembered per Python worker; beyond that the memory is emptied and filled anew.
 REMEMBERED_WORDS = 1 << 18
+#: Bytes of text worked on at once.
+SLICE_BYTES = 4 << 20
 
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -45,6 +47,18 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of rows with about ``most`` bytes each."""
+    start = held = 0
+    for i, size in enumerate(sizes):
+        if held and held + size > most:
+            yield start, i
+            start, held = i, 0
+        held += size
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 class Words:
     """64-bit hashes of words, kept for words met before."""
 

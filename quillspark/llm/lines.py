@@ -27,15 +27,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from quillspark.llm.common import LOWER_ASCII, as_bytes, mixed, probably_in, rolling
+from quillspark.llm.common import LOWER_ASCII, as_bytes, mixed, probably_in, rolling, slices
 from quillspark.llm.linking import Linked, band_keys, minima, packed
-from quillspark.llm.near_documents import slices
 from quillspark.session import scratch_path, stored
 
 SHINGLE = 7
 SIMILARITY = Fraction(4, 5)
 BANDS, ROWS = 10, 4
-_SCHEMA = "key long, doc_id long, row long, line int, n long, bands array<long>, g0 long, g1 long, text binary"
+#: Bytes of lines hashed at once (few enough for a processor's cache), and lines that a task knows again.
+HASHED_BYTES, KNOWN_LINES = 1 << 16, 1 << 18
+_SCHEMA = "key long, doc_id long, row long, line int, bands array<long>, text binary"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 
 
@@ -76,38 +77,69 @@ def set_sizes(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return sizes
 
 
+def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each line."""
+    out = []
+    for lo, hi in slices(list(map(len, lines)), HASHED_BYTES):
+        hashes, starts = shingles(lines[lo:hi])
+        for some in np.split(hashes, starts[1:]):
+            some = np.sort(some)
+            out.append(some[np.concatenate([[True], some[1:] != some[:-1]])])
+    return out
+
+
+def _banded(forms: list[bytes]) -> np.ndarray:
+    """(lines, BANDS) keys of the lines."""
+    parts = [np.empty((0, BANDS), dtype=np.int64)]
+    for lo, hi in slices(list(map(len, forms)), HASHED_BYTES):
+        parts.append(band_keys(minima(*shingles(forms[lo:hi]), BANDS * ROWS), BANDS, ROWS))
+    return np.concatenate(parts)
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row per line that is not blank; signature and text with the first of equal lines in a slice."""
+    """A row per line that is not blank; bands and text with the first of the equal lines that a task knows."""
+    known: set[int] = set()
     for batch in batches:
         texts, ids, rows = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
         for lo, hi in slices([len(t or b"") for t in texts], 2 << 20):
             found: list[tuple[int, int, int, int]] = []
-            first: dict[int, int] = {}
+            firsts: list[int] = []
             forms: list[bytes] = []
+            if len(known) > KNOWN_LINES:
+                known.clear()
             for doc_id, row, text in zip(ids[lo:hi], rows[lo:hi], texts[lo:hi]):
                 for k, line in enumerate((text or b"").split(b"\n")):
                     if form := plain(line):
                         key = xxhash.xxh3_64_intdigest(form) - (1 << 63)
-                        if key not in first:
-                            first[key] = len(found)
+                        if key not in known:
+                            known.add(key)
+                            firsts.append(len(found))
                             forms.append(form)
                         found.append((key, doc_id, row, k))
             if not found:
                 continue
-            hashes, starts = shingles(forms)
-            least = minima(hashes, starts)
-            at = pa.array([None] * len(found), pa.int64()).to_numpy(zero_copy_only=False)
-            at[list(first.values())] = np.arange(len(forms))
-            take = pa.array(at, from_pandas=True).cast(pa.int64())
-            keys = band_keys(least, BANDS, ROWS)
+            at = np.full(len(found), -1)
+            at[firsts] = np.arange(len(forms))
+            take = pa.array(at, mask=at < 0)
+            keys = _banded(forms)
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            signs = [pa.array(set_sizes(hashes, starts)), bands, *map(pa.array, packed(least)), pa.array(forms, pa.binary())]
             key, doc_id, row, line = zip(*found)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(row, pa.int64()), pa.array(line, pa.int32()), *[s.take(take) for s in signs]], names=_NAMES
+                [pa.array(key, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(row, pa.int64()), pa.array(line, pa.int32()), bands.take(take), pa.array(forms, pa.binary()).take(take)],
+                names=_NAMES,
             )
 
 
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) with the size of the line's set and its packed signature."""
+    for batch in batches:
+        forms = batch.column("text").to_pylist()
+        for lo, hi in slices(list(map(len, forms)), HASHED_BYTES):
+            hashes, starts = shingles(forms[lo:hi])
+            signs = [pa.array(set_sizes(hashes, starts)), *map(pa.array, packed(minima(hashes, starts)))]
+            yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns, *signs], names=["id", "text", "n", "g0", "g1"])
+
+
 def _row() -> Column:
     return F.xxhash64("doc_id", F.col("text"))
 
@@ -123,10 +155,11 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
     def texts(ids: DataFrame) -> DataFrame:
         maybe = probably_in(signed.select(F.col("key").alias("id"), "text"), "id", ids).where("_maybe").drop("_maybe")
-        return stored(maybe.join(ids, "id", "left_semi").dropDuplicates(["id"]), "candidate-lines")
+        once = maybe.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
+        return stored(once.mapInArrow(_described, "id long, text binary, n long, g0 long, g1 long"), "candidate-lines")
 
-    items = signed.select(F.col("key").alias("id"), "n", "bands", "g0", "g1")
-    found = Linked(items, SIMILARITY, texts, shingle_set).components
+    items = signed.select(F.col("key").alias("id"), "bands")
+    found = Linked(items, SIMILARITY, texts, shingle_set, shingle_sets).components
     place = F.struct("doc_id", "row", "line")
     each = lines.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times"))
     named = each.join(found.select(F.col("vertex").alias("key"), "component"), "key", "left").where("times > 1 or component is not null")

@@ -1,7 +1,8 @@
 """Near-duplicate linking by MinHash: packed b-bit signatures, band buckets, star and cross-group candidates, exact checks.
 
 Items have columns id (long), n (long, size of the set), bands (array<long>) and g0, g1 (long): the low
-two bits of 64 minima, packed.  Repeated rows of an item are one item.
+two bits of 64 minima, packed.  n, g0 and g1 may come with the candidates' texts instead, so that they are
+made only for items that share a bucket.  Repeated rows of an item are one item.
 
 1. Every member of a bucket is compared with the bucket's smallest member: by signature, then on the full
    sets.  What is linked forms groups; a bucket of thousands of copies costs one comparison each.
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, mixed, spanning
+from quillspark.llm.common import components, mixed, slices, spanning
 from quillspark.session import stored
 
 PERMUTATIONS = 64
@@ -31,6 +32,8 @@ PERMUTATIONS = 64
 CHANCE = 0.25
 #: Members per block of a bucket that is compared across its groups.
 BLOCK = 256
+#: Bytes of paired texts whose sets are held at once.
+CONFIRMED_BYTES = 1 << 19
 _DRAWN = np.random.default_rng(20).integers(0, 1 << 32, (2, PERMUTATIONS), dtype=np.uint64).astype(np.uint32)
 FLIP, ODD = _DRAWN[0], _DRAWN[1] | np.uint32(1)
 _PAIRED = 0x5555555555555555
@@ -169,13 +172,13 @@ def _linked_in(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, simil
     return spanning(len(sets), np.concatenate(found_i).astype(np.int64), np.concatenate(found_j).astype(np.int64))
 
 
-def _exact(set_of: Callable[[bytes], np.ndarray], similarity: Fraction):
+def _exact(sets_of: Callable[[list[bytes]], list[np.ndarray]], similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "cell"):
             ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
             xs, ys = [], []
             for lo, hi in _cells(table):
-                sets = [set_of(t) for t in table.column("text").slice(lo, hi - lo).to_pylist()]
+                sets = sets_of(table.column("text").slice(lo, hi - lo).to_pylist())
                 i, j = _linked_in(sets, comp[lo:hi], side[lo:hi], similarity)
                 xs.append(ids[lo + i])
                 ys.append(ids[lo + j])
@@ -185,20 +188,22 @@ def _exact(set_of: Callable[[bytes], np.ndarray], similarity: Fraction):
     return run
 
 
-def _confirmed(set_of: Callable[[bytes], np.ndarray], similarity: Fraction):
+def _confirmed(sets_of: Callable[[list[bytes]], list[np.ndarray]], similarity: Fraction):
     """The pairs (x, y) that are links on their full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held = None, None
         for batch in batches:
             xs, ys, keep = batch.column(0).to_numpy(), batch.column(1).to_numpy(), []
-            for k, (x, tx, ty) in enumerate(zip(xs, batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-                if x != last:
-                    last, held = x, set_of(tx)
-                other = set_of(ty)
-                both = len(np.intersect1d(held, other, assume_unique=True))
-                if both and both * similarity.denominator >= similarity.numerator * (len(held) + len(other) - both):
-                    keep.append(k)
+            tx, ty = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for lo, hi in slices([len(a) + len(b) for a, b in zip(tx, ty)], CONFIRMED_BYTES):
+                at = [lo, *(np.flatnonzero(xs[lo + 1 : hi] != xs[lo : hi - 1]) + lo + 1)]
+                left, right = sets_of([tx[k] for k in at]), sets_of(ty[lo:hi])
+                for held, start, end in zip(left, at, [*at[1:], hi]):
+                    for k in range(start, end):
+                        other = right[k - lo]
+                        both = len(np.intersect1d(held, other, assume_unique=True))
+                        if both and both * similarity.denominator >= similarity.numerator * (len(held) + len(other) - both):
+                            keep.append(k)
             yield _pairs([xs[keep]], [ys[keep]])
 
     return run
@@ -218,17 +223,21 @@ def _in_blocks(rows: DataFrame, group: str, members: str) -> DataFrame:
 class Linked:
     """Links that join the items as all their links do, and the components they form.
 
-    ``texts`` gives (id, text as bytes) for a table of ids, ``set_of`` the sorted distinct element hashes of
-    a text.
+    ``texts`` gives (id, text as bytes), and n, g0, g1 if items lack them, for a table of ids, ``set_of`` the sorted
+    distinct element hashes of a text, ``sets_of`` those of many texts at once.
     """
 
-    def __init__(self, items: DataFrame, similarity: Fraction, texts: Callable[[DataFrame], DataFrame], set_of: Callable[[bytes], np.ndarray]):
+    def __init__(
+        self, items: DataFrame, similarity: Fraction, texts: Callable[[DataFrame], DataFrame], set_of: Callable[[bytes], np.ndarray],
+        sets_of: Callable[[list[bytes]], list[np.ndarray]] | None = None,
+    ):
+        sets_of = sets_of or (lambda many: [set_of(t) for t in many])
         ratio, needed = float(similarity) - 1e-9, needed_matches(float(similarity))
         buckets = items.select("id", F.explode("bands").alias("band"))
         leads = buckets.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("members"))
         shared = stored(buckets.join(leads.where("lead < last").drop("last"), "band"), "buckets")
         full = texts(shared.select("id").distinct())
-        signs = items.select("id", "n", "g0", "g1").dropDuplicates(["id"])
+        signs = (full if "n" in full.columns else items).select("id", "n", "g0", "g1").dropDuplicates(["id"])
         star = shared.where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
         sides = [signs.select(F.col("id").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("n", "g0", "g1")]) for s in "xy"]
         likely = star.join(sides[0], "x").join(sides[1], "y").where(
@@ -238,7 +247,7 @@ class Linked:
         tried = stored(likely.select("x", "y"), "star-pairs")
         ty, tx = full.select(F.col("id").alias("y"), F.col("text").alias("ty")), full.select(F.col("id").alias("x"), F.col("text").alias("tx"))
         compared = tried.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty")
-        links = stored(compared.mapInArrow(_confirmed(set_of, similarity), "x long, y long"), "star-links")
+        links = stored(compared.mapInArrow(_confirmed(sets_of, similarity), "x long, y long"), "star-links")
         self.components = found = components(links)
 
         def grouped_in(rows: DataFrame, key: str) -> DataFrame:
@@ -253,7 +262,7 @@ class Linked:
         also = _in_blocks(rest, "band", "members").mapInArrow(_likely(needed, ratio), "x long, y long")
         clusters = components(tried.unionByName(also))
         placed = clusters.select(F.col("component").alias("cluster"), F.col("vertex").alias("id"))
-        unsettled = grouped_in(placed, "cluster").join(full, "id")
-        more = stored(_in_blocks(unsettled, "cluster", "members").mapInArrow(_exact(set_of, similarity), "x long, y long"), "cross-links")
+        unsettled = grouped_in(placed, "cluster").join(full.select("id", "text"), "id")
+        more = stored(_in_blocks(unsettled, "cluster", "members").mapInArrow(_exact(sets_of, similarity), "x long, y long"), "cross-links")
         if more.limit(1).count():
             self.components = components(links.unionByName(more))

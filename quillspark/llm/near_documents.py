@@ -19,14 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER_ASCII, Words, as_bytes, mixed, probably_in, rolling
+from quillspark.llm.common import LOWER_ASCII, Words, as_bytes, mixed, probably_in, rolling, slices
 from quillspark.llm.linking import Linked, band_keys, minima, packed
 from quillspark.session import stored
 
 BANDS, ROWS = 16, 4
 SCHEMA = "doc_id long, n_shingles long, s0 long, s1 long, bands array<long>, g0 long, g1 long"
-#: Bytes of text worked on at once.
-SLICE_BYTES = 4 << 20
 _WORDS = Words()
 
 
@@ -40,18 +38,6 @@ def shingle_set(text: bytes | None, width: int, words: Words = _WORDS) -> np.nda
     return np.unique(rolling(hashes, width)) if len(found) >= width else mixed(rolling(hashes, len(found)) + np.uint64(len(found)))
 
 
-def slices(sizes: list[int], most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Consecutive ranges of rows with about ``most`` bytes each."""
-    start = held = 0
-    for i, size in enumerate(sizes):
-        if held and held + size > most:
-            yield start, i
-            start, held = i, 0
-        held += size
-    if start < len(sizes):
-        yield start, len(sizes)
-
-
 def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
