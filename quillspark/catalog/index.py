@@ -10,6 +10,8 @@ from quillspark.functions.models import HashingEmbedder
 from quillspark.functions.vectors import dot
 from quillspark.operators.ranking import page
 from quillspark.plans import index
+from quillspark.session import scratch_path
+from quillspark.sinks.keyed import KeyedTable
 
 
 def _old_and_new(spark, sf):
@@ -39,6 +41,38 @@ def keyed_upsert(spark, sf):
     return index.upsert(docs, rows, "cid", ["arrived"]).select("cid", "value")
 
 
+@query(
+    """SELECT cid, value, arrived FROM (SELECT user_id * 97 AS cid, event_type AS value, event_id AS arrived,
+      row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id) AS r FROM events) WHERE r = 1"""
+)
+def keyed_table_append(spark, sf):
+    """Events in three batches into a bucketed table; the second batch comes twice."""
+    _, rows = _old_and_new(spark, sf)
+    target = KeyedTable(spark, scratch_path(spark, "keyed"), "cid", 8)
+    for number in (0, 1, 1, 2):
+        target.append(rows.where(F.col("arrived") % 3 == number), ["arrived"], ("events", number))
+    target.compact()
+    return target.read()
+
+
+@query(
+    """WITH batches AS (SELECT user_id * 97 AS cid, event_type AS value, event_id AS arrived FROM events
+      UNION ALL SELECT doc_id, source, -1 FROM documents),
+    last AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY (arrived >= 0 AND arrived % 2 = 1) DESC, arrived DESC) AS r FROM batches)
+    SELECT cid, value, 'new' AS version FROM last WHERE r = 1
+    UNION ALL SELECT doc_id, source, 'first' FROM documents"""
+)
+def keyed_table_replace(spark, sf):
+    """Keys replaced by two batches; the first version can still be read."""
+    docs, rows = _old_and_new(spark, sf)
+    target = KeyedTable(spark, scratch_path(spark, "keyed"), "cid", 8)
+    first = target.replace(docs.withColumn("arrived", F.lit(-1).cast("long")), ["arrived"])
+    for odd in (0, 1):
+        target.replace(rows.where(F.col("arrived") % 2 == odd), ["arrived"], ("events", odd))
+    now = target.read().select("cid", "value", F.lit("new").alias("version"))
+    return now.unionByName(target.read(first).select("cid", "value", F.lit("first").alias("version")))
+
+
 def _line_points(spark, sf):
     """Order lines as points of their order."""
     return table(spark, sf, "lineitem").select(

@@ -122,6 +122,7 @@ def ingest_stream_tables(spark, sf):
     from quillspark.functions.text import NEUTRAL
     from quillspark.catalog.ingest import SMALL
     from quillspark.session import scratch_path
+    from quillspark.sinks.keyed import KeyedTable
     from quillspark.streaming.ingest import ingest_stream
 
     parents, children = scratch_path(spark, "parents"), scratch_path(spark, "children")
@@ -129,6 +130,6 @@ def ingest_stream_tables(spark, sf):
     meta = own.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.col("lang").alias("legal_type"))
     for _ in range(2):
         content = table_stream(own, sf, "documents").select("doc_id", "text")
-        ingest_stream(content, meta, parents, children, SMALL, profile=NEUTRAL, boundary=LINE_BOUNDARY)
-    kids = spark.read.parquet(children)
+        ingest_stream(content, meta, parents, children, SMALL, profile=NEUTRAL, boundary=LINE_BOUNDARY, buckets=8)
+    kids = KeyedTable(spark, children, "cid").read()
     return kids.agg(F.count(F.lit(1)).alias("children"), F.count_distinct("parent_id").alias("parents"))

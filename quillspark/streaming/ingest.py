@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 
 from quillspark.functions import models
@@ -9,7 +11,7 @@ from quillspark.functions.chunking import ARTICLE_BOUNDARY
 from quillspark.functions.text import VIETNAMESE, TextProfile
 from quillspark.plans.ingest import ingest
 from quillspark.settings import Settings
-from quillspark.sinks.tables import append_new
+from quillspark.sinks.keyed import KeyedTable
 from quillspark.streaming.runner import drain_batches
 
 
@@ -22,17 +24,24 @@ def ingest_stream(
     embedder: models.Embedder | None = None,
     profile: TextProfile = VIETNAMESE,
     boundary: str = ARTICLE_BOUNDARY,
+    stream: str | None = None,
+    buckets: int = 64,
 ) -> None:
-    """Append new parents and children of every micro-batch.
+    """Append new parents and children of every micro-batch to two keyed tables.
 
-    The streaming checkpoint holds the progress; a batch that is replayed after a
-    failure writes nothing twice, because rows with known keys are not appended.
+    ``stream`` names the source in the tables' snapshots: a micro-batch that is replayed after a
+    failure is known by its number and does nothing.  Each call that starts from a new streaming
+    checkpoint needs a name of its own; rows whose keys are known are not added in any case.
     """
     cfg = cfg or Settings()
+    stream = stream or uuid.uuid4().hex
+    spark = content.sparkSession
 
-    def apply(batch: DataFrame, _: int) -> None:
+    def apply(batch: DataFrame, number: int) -> None:
+        parents = KeyedTable(spark, parents_path, "parent_id", buckets)
+        children = KeyedTable(spark, children_path, "cid", buckets)
         done = ingest(batch, metadata, cfg, embedder, profile=profile, boundary=boundary, staged=True)
-        append_new(done.parents, parents_path, "parent_id", ["doc_id"], cfg.shard_rows)
-        append_new(done.children, children_path, "cid", ["doc_id", "parent_index", "child_index"], cfg.shard_rows)
+        parents.append(done.parents, ["doc_id"], (stream, number), cfg.shard_rows)
+        children.append(done.children, ["doc_id", "parent_index", "child_index"], (stream, number), cfg.shard_rows)
 
     drain_batches(content, "ingest", apply)

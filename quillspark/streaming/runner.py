@@ -25,10 +25,7 @@ def state_session(spark: SparkSession, partitions: int | None = None) -> SparkSe
     """Session of its own for a stateful query, whose state layout is fixed by its shuffle width."""
     own = spark.newSession()
     own.conf.set("spark.sql.session.timeZone", "UTC")
-    width = spark.conf.get("spark.sql.shuffle.partitions")
-    local = spark.sparkContext.master.startswith("local")
-    fallback = str(spark.sparkContext.defaultParallelism) if local else width
-    own.conf.set("spark.sql.shuffle.partitions", str(partitions or fallback))
+    own.conf.set("spark.sql.shuffle.partitions", str(partitions or spark.conf.get("spark.sql.shuffle.partitions")))
     return own
 
 
