@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from quillspark.catalog import sql as Q
 from quillspark.catalog.registry import query, table
-from quillspark.functions.models import SentenceWriter
-from quillspark.plans import golden
+from quillspark.functions.models import ElsewhereWriter, OverlapCritic, SentenceWriter
+from quillspark.plans import golden, memory
 
 
 def _chunks(spark, sf, kind: str = "source"):
@@ -164,3 +164,43 @@ def generated_questions(spark, sf):
     chunks = _chunks(spark, sf)
     asked = chunks.withColumn("generated_qas", SentenceWriter().questions(F.col("text")))
     return golden.flatten_generated(asked).select("doc_id", F.md5("question").alias("question_md5"), "intent")
+
+
+def _reviewed(question: str, answer: str, text: str) -> str:
+    """SQL of the critic's three scores."""
+    rated = [f"coalesce(floor({Q.overlap(Q.content_tokens(x), Q.content_tokens(text))} * 4 + 1), 1)::INTEGER" for x in (question, answer)]
+    return f"{rated[0]} AS a, {rated[1]} AS c, least(len({Q.content_tokens(question)}) + 1, 5)::INTEGER AS cl"
+
+
+_TIER = """CASE WHEN cl <= 1 THEN 'flagged' WHEN intent = 'NEGATIVE' THEN CASE WHEN a <= 2 AND cl >= 3 THEN 'kept' WHEN cl < 2 THEN 'rejected' ELSE 'flagged' END
+    WHEN least(a, c, cl) = 1 THEN 'rejected' WHEN least(a, c, cl) = 2 THEN 'flagged' ELSE 'kept' END"""
+
+
+@query(
+    f"""WITH e AS (SELECT u.conv_id, u.turn, u.text AS q, a.text AS t, CASE WHEN u.turn % 4 = 0 THEN 'NEGATIVE' ELSE 'LOOKUP' END AS intent FROM conversations u
+      JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'),
+    s AS (SELECT *, {_reviewed("q", "t", "t")} FROM e) SELECT conv_id, turn, a, cl, {_TIER} AS tier FROM s"""
+)
+def critic_triage(spark, sf):
+    """Every recorded exchange as a question with its answer, reviewed by the default critic."""
+    turns = memory.exchanges(table(spark, sf, "conversations"))
+    samples = turns.select(
+        "conv_id", "turn", F.col("user_text").alias("question"), F.col("assistant_text").alias("reference_answer"), F.col("assistant_text").alias("text"),
+        F.when(F.col("turn") % 4 == 0, F.lit("NEGATIVE")).otherwise(F.lit("LOOKUP")).alias("intent"),
+    )
+    seen = golden.triaged(samples, OverlapCritic())
+    # A critic without a verdict gives null scores; SQL counts it as 1 and 1.
+    return seen.select("conv_id", "turn", F.coalesce("critic.answerability", F.lit(1)).alias("a"), F.coalesce("critic.clarity", F.lit(1)).alias("cl"), "tier")
+
+
+@query(
+    f"""WITH n AS (SELECT doc_id, text, source, {Q.tokens("text")}[1] AS word FROM documents ORDER BY md5('42|' || doc_id), doc_id LIMIT 20),
+    asked AS (SELECT *, word || ' (' || coalesce(source, '') || ', 2999)?' AS q, 'NEGATIVE' AS intent FROM n WHERE word IS NOT NULL),
+    s AS (SELECT *, {_reviewed("q", "'KHÔNG_CÓ_THÔNG_TIN'", "text")} FROM asked)
+    SELECT doc_id, q AS question, 'KHÔNG_CÓ_THÔNG_TIN' AS reference_answer, intent, TRUE AS is_negative, {_TIER} AS tier FROM s"""
+)
+def negative_records(spark, sf):
+    """Unanswerable questions for a tenth of 200 samples, reviewed and in the golden schema."""
+    asked = golden.negatives(_chunks(spark, sf), ElsewhereWriter(), golden.negative_count(200))
+    records = golden.flatten_ready(golden.triaged(asked, OverlapCritic()))
+    return records.select("doc_id", "question", "reference_answer", "intent", "is_negative", "tier")

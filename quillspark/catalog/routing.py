@@ -79,6 +79,28 @@ def reflect_questions(spark, sf):
     )
 
 
+@query(
+    f"""WITH {QUESTIONS}, r AS (SELECT qid, question, {_Q} AS q, {INTENT} AS i, CASE WHEN length({_Q}) < 3 THEN 'short' WHEN {INTENT} IS NOT NULL THEN 'rule'
+        ELSE ['none', 'json', 'damaged'][qid % 3 + 1] END AS how FROM questions)
+    SELECT qid, CASE how WHEN 'short' THEN 'CHITCHAT' WHEN 'rule' THEN i WHEN 'json' THEN 'PROCEDURE' ELSE 'LEGAL_LOOKUP' END AS intent,
+      CASE how WHEN 'short' THEN 1.0 WHEN 'rule' THEN 0.8 WHEN 'json' THEN 0.9 WHEN 'damaged' THEN 0.4 ELSE 0.5 END::DOUBLE AS confidence,
+      CASE how WHEN 'json' THEN 'llm' WHEN 'short' THEN 'rule' WHEN 'rule' THEN 'rule' ELSE 'fallback' END AS source,
+      md5(CASE how WHEN 'json' THEN 'refined ' || qid WHEN 'damaged' THEN question ELSE q END) AS refined_md5,
+      CASE how WHEN 'json' THEN 2 WHEN 'rule' THEN CASE i WHEN 'COMPARE' THEN 2 WHEN 'MULTI_HOP' THEN CASE WHEN starts_with(q, 'nếu vượt') THEN 2 ELSE 1 END ELSE 0 END ELSE 0 END::BIGINT AS n_sub
+    FROM r"""
+)
+def reflect_with_replies(spark, sf):
+    """Decisions where a model answers what the rules leave open: a reply, a damaged one, or none."""
+    asked = user_questions(spark, sf)
+    name = F.col("qid").cast("string")
+    body = F.concat(F.lit('{"intent": "procedure", "confidence": 0.9, "sub_entities": ["a", "b"], "refined_query": "refined '), name, F.lit('"}'))
+    raw = F.when(F.col("qid") % 3 == 1, body).when(F.col("qid") % 3 == 2, F.lit('{"intent": '))
+    replied = asked.withColumn("raw", raw).withColumn("reply", F.when(F.col("raw").isNotNull(), parsing.parse_reply(F.col("raw"), F.col("question"))))
+    return routing.reflect(replied, "reply").select(
+        "qid", "intent", "confidence", "source", F.md5("refined_query").alias("refined_md5"), F.size("sub_entities").cast("long").alias("n_sub")
+    )
+
+
 @query(
     f"""WITH {QUESTIONS} SELECT qid, CASE WHEN starts_with(question, 'Nghị định') THEN 'Nghị định 15/2020/CP'
       ELSE 'nghị định 100/2019' END AS law_name FROM questions

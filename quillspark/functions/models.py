@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillspark.functions.text import content_tokens, or_empty, overlap_ratio, strip
+from quillspark.functions.text import content_tokens, or_empty, overlap_ratio, strip, tokens
 
 
 class Embedder(Protocol):
@@ -46,6 +46,16 @@ class QuestionWriter(Protocol):
         """Array of structs question, answer, intent."""
 
 
+class Critic(Protocol):
+    def review(self, question: Column, answer: Column, text: Column) -> Column:
+        """Struct of answerability, correctness, clarity (1 to 5) and reasoning; null when it failed."""
+
+
+class NegativeWriter(Protocol):
+    def question(self, text: Column, legal_type: Column) -> Column:
+        """A question the text does not answer; null or empty when none was found."""
+
+
 class Summarizer(Protocol):
     def summarize(self, previous: str, turns: list[tuple[str, str]]) -> str: ...
 
@@ -149,3 +159,32 @@ class SentenceWriter:
             lambda x: F.struct(F.concat(x, F.lit("?")).alias("question"), x.alias("answer"), F.lit("DEFINITION").alias("intent")),
         )
         return F.when(F.size(pairs) > 0, pairs)
+
+
+class OverlapCritic:
+    """Scores 1 to 5 by shared words: question and answer with the text, and the question's length.
+
+    Null (no verdict) where the question has no word at all.
+    """
+
+    def review(self, question: Column, answer: Column, text: Column) -> Column:
+        def rated(of: Column) -> Column:
+            share = overlap_ratio(content_tokens(of), content_tokens(text))
+            return F.coalesce(F.floor(share * 4.0 + 1.0), F.lit(1)).cast("int")
+
+        words = F.size(content_tokens(question))
+        scores = F.struct(
+            rated(question).alias("answerability"),
+            rated(or_empty(answer)).alias("correctness"),
+            F.least(words + 1, F.lit(5)).cast("int").alias("clarity"),
+            F.lit("shared words").alias("reasoning"),
+        )
+        return F.when(words > 0, scores)
+
+
+class ElsewhereWriter:
+    """Asks for the text's first word in a law of the year 2999, which no text knows; null without a word."""
+
+    def question(self, text: Column, legal_type: Column) -> Column:
+        word = F.get(tokens(text), F.lit(0))
+        return F.concat(word, F.lit(" ("), or_empty(legal_type), F.lit(", 2999)?"))

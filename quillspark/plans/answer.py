@@ -12,6 +12,7 @@ from quillspark.functions import models, routing
 from quillspark.plans import retrieve as R
 from quillspark.plans import web
 from quillspark.plans.graph import graph_search
+from quillspark.plans.prompt import ERROR_REPLY
 from quillspark.session import stored
 
 DOC = ["qid", "cid", "text", "score", "rank", "title", "url", "entity_label"]
@@ -97,8 +98,8 @@ def answer_batch(
 
 
 def answers(engine: Engine, decisions: DataFrame, docs: DataFrame) -> DataFrame:
-    """(qid, intent, used_web, answer): small talk gets the fixed reply."""
+    """(qid, intent, used_web, answer): small talk gets the fixed reply, a null answer the error text."""
     blocks = R.context_block(docs, decisions).join(decisions, "qid")
-    generated = engine.generator.answer(F.col("question"), F.col("context"))
+    generated = F.coalesce(engine.generator.answer(F.col("question"), F.col("context")), F.lit(ERROR_REPLY))
     reply = F.when(F.col("intent") == "CHITCHAT", F.lit(routing.CHITCHAT_REPLY)).otherwise(generated)
     return blocks.select("qid", "intent", "confidence", "used_web", reply.alias("answer"))

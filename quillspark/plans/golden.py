@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark import settings as S
+from quillspark.functions import models
 from quillspark.functions.ids import hash_order
 from quillspark.functions.text import or_empty, strip
 from quillspark.operators.dedup import first_per_key
@@ -84,6 +85,33 @@ def negative_count(target: int) -> int:
     return max(1, int(target * S.NEGATIVE_RATIO))
 
 
+def triaged(samples: DataFrame, critic: models.Critic) -> DataFrame:
+    """Samples with the critic's scores in ``critic`` and the ``tier`` that follows from them.
+
+    ``samples``: question, reference_answer, text, intent, any other columns.  A critic without
+    a verdict gives null scores and the tier flagged.
+    """
+    reviewed = samples.withColumn("critic", critic.review(F.col("question"), F.col("reference_answer"), F.col("text")))
+    scores = [F.col(f"critic.{c}") for c in ("answerability", "correctness", "clarity")]
+    return reviewed.withColumn("tier", critic_tier(or_empty(F.col("intent")), *scores, F.col("critic").isNull()))
+
+
+# Fixed value: the reference answer of a question that the text does not answer.
+NO_ANSWER = "KHÔNG_CÓ_THÔNG_TIN"
+
+
+def negatives(samples: DataFrame, writer: models.NegativeWriter, n: int, seed: int = S.SAMPLE_SEED) -> DataFrame:
+    """Unanswerable questions about n samples, taken in a seeded order (``cid`` must be unique).
+
+    Samples for which the writer finds no question are left out, so fewer than n may come back.
+    """
+    chosen = seeded_sample(samples.select("cid", "doc_id", "legal_type", "text"), "cid", n, seed)
+    asked = chosen.withColumn("question", writer.question(F.col("text"), F.col("legal_type")))
+    return asked.where(or_empty(F.col("question")) != "").withColumns(
+        {"reference_answer": F.lit(NO_ANSWER), "intent": F.lit("NEGATIVE"), "is_negative": F.lit(True)}
+    )
+
+
 def flatten_generated(samples: DataFrame) -> DataFrame:
     """One record per generated question; samples without questions give a stub.
 

@@ -41,6 +41,22 @@ def window_messages(turns: DataFrame, n: int = S.MEMORY_WINDOW) -> DataFrame:
     )
 
 
+# Fixed value: what stands before the summary of earlier exchanges.
+SUMMARY_HEAD = "[Tóm tắt hội thoại trước]\n"
+
+
+def context_messages(turns: DataFrame, summaries: DataFrame, n: int = S.MEMORY_WINDOW) -> DataFrame:
+    """Messages a model is given: the summary, if there is one, as message 0, then the window.
+
+    ``summaries``: conv_id (unique), summary.  Null and empty summaries give no message; a
+    conversation with a summary and no exchanges has that one message.
+    """
+    heads = summaries.where(F.col("summary") != "").select(
+        "conv_id", F.lit(0).alias("msg_no"), F.lit("system").alias("role"), F.concat(F.lit(SUMMARY_HEAD), "summary").alias("content")
+    )
+    return window_messages(turns, n).unionByName(heads)
+
+
 def compaction_state(
     turns: DataFrame,
     threshold: int = S.MEMORY_THRESHOLD,
