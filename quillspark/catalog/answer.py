@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quillspark.catalog import graph as G
 from quillspark.catalog import retrieval as V
 from quillspark.catalog import sql as Q
 from quillspark.catalog.registry import query, table
 from quillspark.functions.models import ExtractiveGenerator
 from quillspark.functions.routing import CHITCHAT_REPLY
-from quillspark.plans.answer import Engine, answer_batch, answers
+from quillspark.plans.answer import Engine, Graph, answer_batch, answers, route_documents
+from quillspark.plans.retrieve import Index
 from quillspark.plans.web import PageSource
 from quillspark.session import spread
 
@@ -71,3 +73,27 @@ def answers_or_error(spark, sf):
     made = answers(Engine(index=None, generator=_ShortSighted(600)), decisions, found)
     talk = F.when(F.col("answer") == CHITCHAT_REPLY, F.lit("small talk")).otherwise(F.col("answer"))
     return made.select("qid", F.md5(talk).alias("answer_md5"))
+
+
+_DENSE = f"""{Q.vectors("ql", "questions", "qid", "question")},
+    qv AS (SELECT q.qid, list(coalesce(x, 0.0) ORDER BY i) AS v FROM questions q CROSS JOIN range({Q.DIM}) r(i) LEFT JOIN ql ON ql.id = q.qid AND ql.b = i GROUP BY 1)"""
+
+
+@query(
+    f"""WITH {V._questions("LEGAL_LOOKUP")}, {Q.DOC_VECTORS}, {V._asks("{}")}, {Q.text_search("hits", "asks", "dv", V.K)}, {_DENSE}, {G.graph_sql("qv")},
+    local AS (SELECT qid, cid::VARCHAR AS cid, score, seq AS rank FROM hits WHERE seq <= {V.K}),
+    g AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank FROM pool QUALIFY rank <= {2 * V.K}),
+    u AS (SELECT *, 0 AS src FROM local UNION ALL SELECT *, 1 FROM g),
+    merged AS (SELECT qid, cid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, src, rank) AS place FROM u WHERE qid % 3 = 2 QUALIFY place <= {2 * V.K})
+    SELECT qid, cid, round(score, 6) AS score, place AS rank FROM merged
+    UNION ALL SELECT qid, cid, round(score, 6), rank FROM local WHERE qid % 3 = 0
+    UNION ALL SELECT qid, cid, round(score, 6), rank FROM g WHERE qid % 3 = 1"""
+)
+def graph_routes(spark, sf):
+    """Text search, graph search and both, a third of the questions each; ranked by vector score."""
+    base = V.document_index(spark, sf)
+    entities, reports = G.graph_tables(spark, sf)
+    engine = Engine(Index(base.points, base.embedder), Graph(entities, reports, G.edges(spark, sf)))
+    name = F.element_at(F.array(*[F.lit(r) for r in ("rag", "graphrag", "both")]), (F.col("qid") % 3 + 1).cast("int"))
+    docs = route_documents(engine, V.benchmark_questions(spark, sf, "LEGAL_LOOKUP").withColumn("route", name), V.K)
+    return docs.select("qid", "cid", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))

@@ -86,14 +86,16 @@ def _distance(a: str, b: str) -> str:
     return f"round(-list_sum(list_transform(range(1, 65), lambda i: ({a}[i] - {b}[i]) * ({a}[i] - {b}[i]))), 9)"
 
 
-_GRAPH = f"""{CENTROIDS}, {_EDGES},
+def graph_sql(asked: str) -> str:
+    """CTEs ending in ``pool``: graph documents of the questions in ``asked``(qid, v)."""
+    return f"""{CENTROIDS}, {_EDGES},
     ent AS (SELECT e.vec_id AS id, c_name AS name, c_mktsegment AS description, embedding::DOUBLE[] AS v FROM embeddings e JOIN customer ON vec_id = c_custkey),
-    near AS (SELECT c.label::BIGINT AS qid, e.id, e.name, e.description, {_distance("c.v", "e.v")} AS d,
-      row_number() OVER (PARTITION BY c.label ORDER BY d DESC, e.id) AS entity_rank FROM cent c, ent e QUALIFY entity_rank <= {K}),
+    near AS (SELECT c.qid, e.id, e.name, e.description, {_distance("c.v", "e.v")} AS d,
+      row_number() OVER (PARTITION BY c.qid ORDER BY d DESC, e.id) AS entity_rank FROM {asked} c, ent e QUALIFY entity_rank <= {K}),
     ents AS (SELECT qid, name, description, id, entity_rank, greatest(0.0, 1 + d) AS score FROM near),
     {_expanded("(SELECT qid, name, score, entity_rank FROM ents)")},
-    com AS (SELECT c.label::BIGINT AS qid, r.label::BIGINT AS community, {_distance("c.v", "r.v")} AS d,
-      row_number() OVER (PARTITION BY c.label ORDER BY d DESC, r.label) AS cr FROM cent c, cent r QUALIFY cr <= {K}),
+    com AS (SELECT c.qid, r.label::BIGINT AS community, {_distance("c.v", "r.v")} AS d,
+      row_number() OVER (PARTITION BY c.qid ORDER BY d DESC, r.label) AS cr FROM {asked} c, cent r QUALIFY cr <= {K}),
     docs AS (
       SELECT qid, 'graphrag-entity-' || id AS cid, '[Entity: ' || name || E']\\n' || description AS text, score, 0 AS g, entity_rank AS a, 0 AS b FROM ents
       UNION ALL SELECT qid, cid, '[Relationship: ' || name || ' → ' || other || E']\\n' || description, score, 1, entity_rank, er FROM around
@@ -104,6 +106,9 @@ _GRAPH = f"""{CENTROIDS}, {_EDGES},
     pool AS (SELECT qid, cid, text, score, row_number() OVER (PARTITION BY qid ORDER BY seen) AS seq FROM best WHERE w = 1)"""
 
 
+_GRAPH = graph_sql("(SELECT label::BIGINT AS qid, v FROM cent)")
+
+
 @query(
     f"""WITH {_GRAPH} SELECT qid, cid, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, seq) AS rank
     FROM pool QUALIFY rank <= {2 * K}"""

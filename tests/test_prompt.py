@@ -72,3 +72,22 @@ def test_critic_and_negatives(spark):
     assert {r.cid for r in made} == {1, 2, 3, 4, 5} and {(r.question, r.is_negative, r.intent) for r in made} == {("word (law, 2999)?", True, "NEGATIVE")}
     few = golden.negatives(chunks, ElsewhereWriter(), 2).collect()
     assert len(few) <= 2 and [r.cid for r in few] == [r.cid for r in golden.negatives(chunks.repartition(3), ElsewhereWriter(), 2).collect()]
+
+
+def test_graph_route_without_documents_falls_back_to_text(spark):
+    from test_search import index as small_index
+
+    from quillspark.plans.answer import Engine, Graph, route_documents
+
+    base = small_index(spark)
+    vector = "array<float>"
+    entities = spark.createDataFrame([], f"id long, name string, description string, vector {vector}")
+    reports = spark.createDataFrame([], f"community long, title string, full_content string, vector {vector}")
+    edges = spark.createDataFrame([], "source string, target string, description string, weight double, edge_seq long")
+    asked = spark.createDataFrame(
+        [(i, "tax law one", "LEGAL_LOOKUP", [], [], route) for i, route in enumerate(("rag", "graphrag", "both", "none"))],
+        "qid long, question string, intent string, expanded_queries array<string>, sub_entities array<string>, route string",
+    )
+    docs = route_documents(Engine(base, Graph(entities, reports, edges)), asked, 2).collect()
+    found = {q: sorted((r.rank, r.cid) for r in docs if r.qid == q) for q in range(4)}
+    assert found[0] and found[0] == found[1] == found[2] and found[3] == []
