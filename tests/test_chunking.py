@@ -80,3 +80,50 @@ def test_conversation_key(spark):
     rows = spark.createDataFrame([([("user", "a")],), ([("user", "a"), ("assistant", "b"), ("user", "c")],)], f"m {m}")
     got = [r[0] for r in rows.select(ids.conversation_id(F.col("m"))).collect()]
     assert got == ["default", hashlib.md5(b"useraassistantb").hexdigest()]
+
+
+def test_python_sees_few_rows_at_a_time():
+    import pyarrow as pa
+
+    from quillspark.functions.batches import SLICE_ROWS, in_slices
+
+    sizes = []
+
+    def make(values):
+        sizes.append(len(values))
+        return pa.array([v and v.upper() for v in values], pa.string())
+
+    column = pa.array([None if k % 7 == 0 else f"t{k}" for k in range(3 * SLICE_ROWS + 1)], pa.string())
+    assert in_slices(column, make, pa.string()).to_pylist() == [v and v.upper() for v in column.to_pylist()]
+    assert sizes == [SLICE_ROWS] * 3 + [1]
+    assert in_slices(column.slice(0, 0), make, pa.string()).to_pylist() == []
+
+
+def test_texts_are_cut_once(spark):
+    from pyspark.sql import functions as F
+
+    from quillspark.functions.chunking import LINE_BOUNDARY, chunk_documents
+    from quillspark.plans.ingest import chunk, pack
+
+    spec = ChunkSpec(50, 20, 5, 3, LINE_BOUNDARY)
+    docs = spark.createDataFrame([(1, "one line\nand another one\n" * 9), (2, ""), (3, None)], "doc_id long, text string")
+    from quillspark.plans.ingest import META
+
+    judged = docs.withColumns({c: F.lit("") for c in META}).withColumn("reject_reason", F.lit(None).cast("string"))
+    parents, children = chunk(pack(judged, spec))
+    plain = chunk_documents(docs, spec)
+    for df in (parents.select("parent_text"), children.select("text"), plain.select("text")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert sorted(r.text for r in children.collect()) == sorted(r.text for r in plain.collect())
+    assert {r.doc_id for r in parents.collect()} == {1}
+
+
+def test_embedder_keeps_no_words_when_sent():
+    import pickle
+
+    from quillspark.functions.models import HashingEmbedder
+
+    model = HashingEmbedder(8)
+    before = model.encode(["some words", ""])
+    sent = pickle.loads(pickle.dumps(model))
+    assert not sent._slots and (sent.encode(["some words", ""]) == before).all()
