@@ -7,11 +7,12 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.functions import ids
+from quillspark.functions.batches import in_slices
 from quillspark.settings import Settings
 
 # Article headings of the default profile, and child separators by priority.
@@ -80,18 +81,19 @@ def cut_children(text: str, spec: ChunkSpec) -> list[str]:
 
 
 _PARENTS = "array<struct<parent_text:string,children:array<string>>>"
+_PARENTS_ARROW = pa.list_(pa.struct([("parent_text", pa.string()), ("children", pa.list_(pa.string()))]))
 
 
 def parents_and_children(text: Column, spec: ChunkSpec) -> Column:
     """Array of parents, each with its kept children; one Arrow pass over the text."""
 
-    @F.pandas_udf(_PARENTS)
-    def chunk(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: [
-                {"parent_text": p, "children": cut_children(p, spec)} for p in pack_parents(t or "", spec)
-            ]
-        )
+    def cut(texts: list) -> pa.Array:
+        found = [[{"parent_text": p, "children": cut_children(p, spec)} for p in pack_parents(t or "", spec)] for t in texts]
+        return pa.array(found, _PARENTS_ARROW)
+
+    @F.arrow_udf(_PARENTS)
+    def chunk(texts: pa.Array) -> pa.Array:
+        return in_slices(texts, cut, _PARENTS_ARROW)
 
     return chunk(text)
 
@@ -99,11 +101,12 @@ def parents_and_children(text: Column, spec: ChunkSpec) -> Column:
 def chunk_documents(docs: DataFrame, spec: ChunkSpec, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per kept child with parent text, positions and stable ids.
 
-    Narrow: no shuffle; children stay in the task that read their document.
+    Narrow: no shuffle; children stay in the task that read their document.  The outer explosion
+    keeps Spark from filtering on the size of ``_p`` first, which would cut every text twice.
     """
     parents = docs.withColumn("_p", parents_and_children(F.col(text), spec)).drop(text)
     exploded = parents.select(
-        "*", F.posexplode("_p").alias("parent_index", "_parent")
+        "*", F.posexplode_outer("_p").alias("parent_index", "_parent")
     ).drop("_p")
     children = exploded.select(
         *[c for c in exploded.columns if c != "_parent"],

@@ -89,9 +89,13 @@ def pack(documents: DataFrame, spec: ChunkSpec) -> DataFrame:
 
 
 def chunk(packed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(parents, children) of the accepted documents; no shuffle."""
+    """(parents, children) of the accepted documents; no shuffle.
+
+    The outer explosion keeps Spark from filtering on the size of ``_p`` first, which would cut every text twice;
+    the row it adds for a document without parents has no children and goes with them.
+    """
     accepted = packed.where("reject_reason is null")
-    one = accepted.select("doc_id", *META, F.posexplode("_p").alias("parent_index", "_parent")).withColumn(
+    one = accepted.select("doc_id", *META, F.posexplode_outer("_p").alias("parent_index", "_parent")).withColumn(
         "parent_id", ids.parent_id(F.col("doc_id"), F.col("parent_index"))
     )
     kept = F.size("_parent.children") > 0
