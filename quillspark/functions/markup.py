@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import html
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from quillspark.functions.batches import in_slices
 from quillspark.functions.text import or_empty, strip
 
 # Elements whose text is dropped (raw text cannot hold elements), and those that never have an end tag.
@@ -25,9 +26,9 @@ _TAG = r"(?s)<[a-zA-Z/!?][^>]*+(?:>|\z)"
 _AFTER_VOID = rf"(?is)<(?:{'|'.join(VOID_ELEMENTS)}){_OPENED}.*"
 
 
-@F.pandas_udf(StringType())
-def _unescaped(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+@F.arrow_udf(StringType())
+def _unescaped(texts: pa.Array) -> pa.Array:
+    return in_slices(texts, lambda part: pa.array([t if t is None else html.unescape(t) for t in part], pa.string()), pa.string())
 
 
 def unescape(c: Column) -> Column:
