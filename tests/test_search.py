@@ -250,3 +250,54 @@ def test_fallback_threshold(spark):
     docs = spark.createDataFrame([(1, 0.05), (1, 0.05), (2, 0.04)], "qid int, score double")
     asked = spark.createDataFrame([(1,), (2,), (3,)], "qid int")
     assert {r.qid: r.used_web for r in R.needs_fallback(docs, asked).collect()} == {1: False, 2: True, 3: True}
+
+
+def test_terms_of_an_id_in_several_batches(spark):
+    rows = [(k % 3 and f"http://s/{k % 7}", ["x", None, "y"] * (k % 4) or None) for k in range(60)]
+    rows = [(i or None, words) for i, words in rows]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2")
+    got = {(r.id, r.term): r.n for r in term_index(spark.createDataFrame(rows, "id string, payload array<string>")).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {}
+    for i, words in rows:
+        for w in words or []:
+            if i and w:
+                want[i, w] = want.get((i, w), 0) + 1
+    assert got == want
+
+
+def test_term_pairs_are_not_grouped_by_shuffle(spark):
+    docs = spark.createDataFrame([(f"d{k:04}", ["a", "b"]) for k in range(400)], "id string, payload array<string>")
+    asked = spark.createDataFrame([(q, ["a", "b", "b"]) for q in range(30)], "qid long, payload array<string>")
+    found = search_terms(asked, term_index(docs), 3)
+    assert "MapInArrow" in plan_of(found)
+    # all rows tie: the smallest ids win
+    assert {tuple(r) for r in found.collect()} == {(q, f"d{r:04}", 3.0, r + 1) for q in range(30) for r in range(3)}
+
+
+def test_texts_of_few_hits_are_not_shuffled(spark):
+    from quillspark.plans.retrieve import DOC_COLUMNS, Index
+
+    points = spark.range(2_000_000).select(F.col("id").alias("cid"), *[F.col("id").cast("string").alias(c) for c in DOC_COLUMNS])
+    hits = spark.range(2_000_000).where("id < 3").select(F.col("id").alias("cid"))
+    docs = Index(points, None).with_text(hits)
+    assert "BroadcastHashJoin" in plan_of(docs) and {r.text for r in docs.collect()} == {"0", "1", "2"}
+
+
+def test_order_lines_are_shuffled_once(spark, tmp_path):
+    from quillspark.catalog.graph import edges
+
+    lines = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_returnflag string, l_linestatus string"
+    for name, row, ddl in (
+        ("lineitem", (1, 2, 3, 1, 4.0, 5.0, "N", "O"), lines),
+        ("orders", (1, 7, "1-URGENT"), "o_orderkey long, o_custkey long, o_orderpriority string"),
+        ("customer", (7, "C7"), "c_custkey long, c_name string"),
+    ):
+        spark.createDataFrame([row], ddl).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    found = edges(spark, str(tmp_path))
+    plan = plan_of(found)
+    assert [tuple(r)[:4] for r in found.collect()] == [("C7", " Part#2", "1-URGENT O", 4.0)]
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    shuffled = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(shuffled) == 4 and not any("RoundRobin" in line for line in shuffled)
