@@ -191,7 +191,7 @@ def filtered_else_unfiltered(spark, sf):
     sizes = docs.select(F.col("doc_id").alias("id"), size.alias("payload"))
     one = F.array(F.lit(1.0).cast("float"))
     postings = term_index(docs.select(F.col("doc_id").alias("id"), words.alias("payload")))
-    inside = search_among(asked.select("qid", one.alias("payload"), "words"), sizes, postings, 3).withColumn("filtered", F.lit(True))
+    inside = stored(search_among(asked.select("qid", one.alias("payload"), "words"), sizes, postings, 3), "inside").withColumn("filtered", F.lit(True))
     everywhere = search(asked.select("qid", one.alias("payload")), sizes, 3)
     out = filtered_else_all(inside, everywhere.withColumn("filtered", F.lit(False)), "qid")
     return out.select("qid", F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), "filtered")

@@ -14,6 +14,7 @@ from quillspark.functions.text import content_tokens, first_filled, overlap_rati
 from quillspark.operators.blocks import OrderedBlocks
 from quillspark.operators.dedup import first_per_key
 from quillspark.operators.terms import search_terms, term_index
+from quillspark.session import stored
 
 
 class WebSource(Protocol):
@@ -41,7 +42,8 @@ class PageSource:
             F.col("cache_key").alias("qid"), content_tokens(F.col("query")).alias("payload")
         )
         corpus = self.pages.select(F.col("url").alias("id"), content_tokens(F.col("text")).alias("payload"))
-        hits = search_terms(asked, term_index(corpus), limit)
+        # stored, so that Spark knows how few pages are fetched
+        hits = stored(search_terms(asked, term_index(corpus), limit), "web-hits")
         rows = hits.select(F.col("qid").alias("cache_key"), F.col("id").alias("url"), "rank").join(self.pages, "url")
         scored = rows.join(queries, "cache_key")
         share = overlap_ratio(content_tokens(F.col("query")), content_tokens(F.col("text")))
