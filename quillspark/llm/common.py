@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,6 +32,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return free pages to the system (malloc_trim is glibc's; other C libraries have none)."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lean(fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """fn, after which freed memory goes back to the system: Python workers outlive their tasks and hold it otherwise."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Apply a function to each Arrow batch where it lies."""
 
@@ -39,7 +59,7 @@ def per_batch(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -80,9 +100,12 @@ class Words:
 
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit values so that all bits depend on all bits."""
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(32))
+    h = h ^ (h >> np.uint64(31))
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def rolling(words: np.ndarray, width: int, base: int = 0x5851F42D4C957F2D) -> np.ndarray:
@@ -90,9 +113,10 @@ def rolling(words: np.ndarray, width: int, base: int = 0x5851F42D4C957F2D) -> np
     n = len(words) - width + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
-    out = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        out = out * np.uint64(base) + words[k : k + n]
+    out = words[:n].copy()
+    for k in range(1, width):
+        out *= np.uint64(base)
+        out += words[k : k + n]
     return mixed(out)
 
 
@@ -204,12 +228,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     a, b = edges.columns[:2]
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    links, mark = stored(links.mapInArrow(_contracted, "u long, v long").distinct(), "links"), None
+    links, mark = stored(links.mapInArrow(lean(_contracted), "u long, v long").distinct(), "links"), None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
         mark = now
-        links = stored(_small_star(_large_star(links.mapInArrow(_contracted, "u long, v long"))), "links")
+        links = stored(_small_star(_large_star(links.mapInArrow(lean(_contracted), "u long, v long"))), "links")
     roots = links.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()
     return links.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(roots)

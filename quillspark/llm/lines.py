@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-from quillspark.llm.common import LOWER_ASCII, as_bytes, mixed, probably_in, rolling, slices
+from quillspark.llm.common import LOWER_ASCII, as_bytes, lean, probably_in, rolling, slices
 from quillspark.llm.linking import Linked, band_keys, minima, packed
 from quillspark.session import scratch_path, stored
 
@@ -90,10 +90,10 @@ def shingle_sets(lines: list[bytes]) -> list[np.ndarray]:
 
 def _banded(forms: list[bytes]) -> np.ndarray:
     """(lines, BANDS) keys of the lines."""
-    parts = [np.empty((0, BANDS), dtype=np.int64)]
+    parts = [np.empty((BANDS * ROWS, 0), dtype=np.uint32)]
     for lo, hi in slices(list(map(len, forms)), HASHED_BYTES):
-        parts.append(band_keys(minima(*shingles(forms[lo:hi]), BANDS * ROWS), BANDS, ROWS))
-    return np.concatenate(parts)
+        parts.append(minima(*shingles(forms[lo:hi]), BANDS * ROWS))
+    return band_keys(np.concatenate(parts, axis=1), BANDS, ROWS)
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +108,9 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(known) > KNOWN_LINES:
                 known.clear()
             for doc_id, row, text in zip(ids[lo:hi], rows[lo:hi], texts[lo:hi]):
-                for k, line in enumerate((text or b"").split(b"\n")):
-                    if form := plain(line):
+                # as plain(), with all lines of a text lower-cased at once
+                for k, line in enumerate((text or b"").translate(LOWER_ASCII).split(b"\n")):
+                    if form := b" ".join(line.split()):
                         key = xxhash.xxh3_64_intdigest(form) - (1 << 63)
                         if key not in known:
                             known.add(key)
@@ -149,14 +150,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("binary").alias("text"))
     path = scratch_path(spark, "lines")
-    narrow.mapInArrow(_signed, _SCHEMA).write.option("compression", "zstd").parquet(path)
+    narrow.mapInArrow(lean(_signed), _SCHEMA).write.option("compression", "zstd").parquet(path)
     lines = spark.read.parquet(path)
     signed = lines.where("bands is not null")
 
     def texts(ids: DataFrame) -> DataFrame:
         maybe = probably_in(signed.select(F.col("key").alias("id"), "text"), "id", ids).where("_maybe").drop("_maybe")
         once = maybe.join(ids, "id", "left_semi").dropDuplicates(["id"]).select("id", "text")
-        return stored(once.mapInArrow(_described, "id long, text binary, n long, g0 long, g1 long"), "candidate-lines")
+        return stored(once.mapInArrow(lean(_described), "id long, text binary, n long, g0 long, g1 long"), "candidate-lines")
 
     items = signed.select(F.col("key").alias("id"), "bands")
     found = Linked(items, SIMILARITY, texts, shingle_set, shingle_sets).components
@@ -196,7 +197,7 @@ def _applied(docs: DataFrame) -> DataFrame:
 
     whole = marked.where("not _maybe").select(*names, F.lit(None).cast("array<int>").alias("__lines"))
     cut = marked.where("_maybe").join(gone, F.col("__row") == F.col("__row_gone"), "left").select(*names, "__lines")
-    return whole.mapInArrow(run, schema).unionByName(cut.mapInArrow(run, schema))
+    return whole.mapInArrow(lean(run), schema).unionByName(cut.mapInArrow(lean(run), schema))
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:

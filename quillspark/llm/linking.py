@@ -5,7 +5,8 @@ two bits of 64 minima, packed.  n, g0 and g1 may come with the candidates' texts
 made only for items that share a bucket.  Repeated rows of an item are one item.
 
 1. Every member of a bucket is compared with the bucket's smallest member: by signature, then on the full
-   sets.  What is linked forms groups; a bucket of thousands of copies costs one comparison each.
+   sets.  What is linked forms groups; a bucket of thousands of copies costs one comparison each.  Members
+   (two longs each) are shuffled once and sorted by bucket; a task reads them as they come and holds one row.
 2. Where a bucket still holds several groups, the signatures of its other members are compared across
    groups, in blocks of bounded size.  Each block passes on only links that join the same items as all
    its likely pairs, so the rows grow with the members, not with their pairs.  Together with the first
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import components, mixed, slices, spanning
+from quillspark.llm.common import components, lean, mixed, slices, spanning
 from quillspark.session import stored
 
 PERMUTATIONS = 64
@@ -42,9 +43,11 @@ _PAIRED = 0x5555555555555555
 def minima(hashes: np.ndarray, starts: np.ndarray, permutations: int = PERMUTATIONS) -> np.ndarray:
     """(permutations, items) minima of 64-bit hashes; ``starts`` has the first position of each item, none is empty."""
     folded = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((permutations, len(starts)), dtype=np.uint32)
+    out, held = np.empty((permutations, len(starts)), dtype=np.uint32), np.empty_like(folded)
     for k in range(permutations):
-        out[k] = np.minimum.reduceat((folded ^ FLIP[k]) * ODD[k], starts)
+        np.bitwise_xor(folded, FLIP[k], out=held)
+        np.multiply(held, ODD[k], out=held)
+        np.minimum.reduceat(held, starts, out=out[k])
     return out
 
 
@@ -105,6 +108,43 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (band, id) of the buckets with several members, from rows sorted by both.
+
+    lead is the bucket's smallest member; several tells whether it has members besides that and this one.
+    The last row of a batch is held back, as the next one may continue its bucket.
+    """
+    band, item, lead, at = (np.empty(0, dtype=np.int64) for _ in range(4))
+
+    def rows(some: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(band[some]), pa.array(item[some]), pa.array(lead[some]), pa.array(more[some])], names=["band", "id", "lead", "several"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, item = (np.concatenate([old[-1:], batch.column(k).to_numpy()]) for k, old in enumerate((band, item)))
+        held = len(band) - batch.num_rows
+        new = np.ones(len(band), dtype=bool)
+        new[1:] = (band[1:] != band[:-1]) | (item[1:] != item[:-1])
+        band, item = band[new], item[new]
+        first = np.ones(len(band), dtype=bool)
+        first[1:] = band[1:] != band[:-1]
+        start = np.maximum.accumulate(np.where(first, np.arange(len(band)), 0))
+        leads, places = item[start], np.arange(len(band)) - start
+        if held:
+            run = start == 0
+            leads[run], places[run] = lead[-1], places[run] + min(at[-1], 2)
+        lead, at = leads, places
+        goes_on = np.append(~first[1:], False)
+        more = (at > 1) | ((at > 0) & goes_on)
+        some = (at > 0) | goes_on
+        some[-1] = False
+        yield rows(some)
+    if len(band) and at[-1] > 0:
+        more = at > 1
+        yield rows(np.arange(len(band)) == len(band) - 1)
+
+
 def _cells(table: pa.Table) -> Iterator[tuple[int, int]]:
     cell = table.column("cell").to_numpy()
     cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1), len(cell)]
@@ -234,8 +274,8 @@ class Linked:
         sets_of = sets_of or (lambda many: [set_of(t) for t in many])
         ratio, needed = float(similarity) - 1e-9, needed_matches(float(similarity))
         buckets = items.select("id", F.explode("bands").alias("band"))
-        leads = buckets.groupBy("band").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("members"))
-        shared = stored(buckets.join(leads.where("lead < last").drop("last"), "band"), "buckets")
+        ordered = buckets.select("band", "id").repartition("band").sortWithinPartitions("band", "id")
+        shared = stored(ordered.mapInArrow(lean(_shared), "band long, id long, lead long, several boolean"), "buckets")
         full = texts(shared.select("id").distinct())
         signs = (full if "n" in full.columns else items).select("id", "n", "g0", "g1").dropDuplicates(["id"])
         star = shared.where("id <> lead").select(F.col("lead").alias("x"), F.col("id").alias("y")).distinct()
@@ -247,7 +287,7 @@ class Linked:
         tried = stored(likely.select("x", "y"), "star-pairs")
         ty, tx = full.select(F.col("id").alias("y"), F.col("text").alias("ty")), full.select(F.col("id").alias("x"), F.col("text").alias("tx"))
         compared = tried.join(ty, "y").join(tx, "x").select("x", "y", "tx", "ty")
-        links = stored(compared.mapInArrow(_confirmed(sets_of, similarity), "x long, y long"), "star-links")
+        links = stored(compared.mapInArrow(lean(_confirmed(sets_of, similarity)), "x long, y long"), "star-links")
         self.components = found = components(links)
 
         def grouped_in(rows: DataFrame, key: str) -> DataFrame:
@@ -256,13 +296,12 @@ class Linked:
             several = named.groupBy(key).agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("members")).where("_lo < _hi")
             return named.join(several.select(key, "members"), key)
 
-        # an item may have several rows; from here on each is one member
-        apart = shared.where("id <> lead and members > 2").select("band", "id").distinct()
+        apart = shared.where("id <> lead and several").select("band", "id")
         rest = grouped_in(apart, "band").join(signs, "id")
-        also = _in_blocks(rest, "band", "members").mapInArrow(_likely(needed, ratio), "x long, y long")
+        also = _in_blocks(rest, "band", "members").mapInArrow(lean(_likely(needed, ratio)), "x long, y long")
         clusters = components(tried.unionByName(also))
         placed = clusters.select(F.col("component").alias("cluster"), F.col("vertex").alias("id"))
         unsettled = grouped_in(placed, "cluster").join(full.select("id", "text"), "id")
-        more = stored(_in_blocks(unsettled, "cluster", "members").mapInArrow(_exact(sets_of, similarity), "x long, y long"), "cross-links")
+        more = stored(_in_blocks(unsettled, "cluster", "members").mapInArrow(lean(_exact(sets_of, similarity)), "x long, y long"), "cross-links")
         if more.limit(1).count():
             self.components = components(links.unionByName(more))

@@ -5,6 +5,7 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_cases import DOCS, frame, sources
 
@@ -230,6 +231,30 @@ def test_repeated_items_are_one_member(spark, monkeypatch):
     assert seen[0][0] <= 2 * lines.BANDS and seen[0][1] == 2
 
 
+def test_buckets_need_one_shuffle_of_their_members(spark, monkeypatch):
+    plans = []
+    kept = linking.stored
+    monkeypatch.setattr(linking, "stored", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or kept(df, label))
+    items = spark.createDataFrame([(1, 9, [5, 6], 0, 0), (2, 9, [5, 7], 0, 0), (3, 9, [8, 7], 0, 0)], "id long, n long, bands array<long>, g0 long, g1 long")
+    full = spark.createDataFrame([(i, bytearray(b"a line of text")) for i in (1, 2, 3)], "id long, text binary")
+    found = linking.Linked(items, Fraction(4, 5), lambda ids: full.join(ids, "id", "left_semi"), lines.shingle_set)
+    assert {r["vertex"]: r["component"] for r in found.components.collect()} == {1: 1, 2: 1, 3: 1}
+    assert dict(plans)["buckets"].count("Exchange") == 1
+
+
+def test_bucket_members_in_batches():
+    """A bucket that runs over batches has one smallest member; repeated rows are one."""
+    rng = np.random.default_rng(3)
+    for _ in range(100):
+        rows = sorted((int(rng.integers(8)), int(rng.integers(-3, 4))) for _ in range(int(rng.integers(40))))
+        cuts = [0, *sorted(rng.integers(0, len(rows) + 1, 3).tolist()), len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in (0, 1)], names=["band", "id"]) for a, b in zip(cuts, cuts[1:])]
+        got = [tuple(r.values()) for out in linking._shared(iter(batches)) for r in out.to_pylist()]
+        members = {band: sorted({i for b, i in rows if b == band}) for band, _ in rows}
+        assert [g[:3] for g in got] == [(b, i, m[0]) for b, m in members.items() if len(m) > 1 for i in m]
+        assert all(more == (len(members[b]) > 2) for b, i, lead, more in got if i != lead)
+
+
 def test_line_edge_cases(spark):
     out = lines.counted(frame(spark)).collect()
     assert len(out) == len(DOCS)
