@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from quillspark.llm import byte_bpe, language, lines, mixing, near_documents
 from quillspark.llm.catalog import PIECES, RANKS
 from quillspark.llm.common import read_table
-from quillspark.session import stored
+from quillspark.session import small_batches, stored
 
 #: Least share of the best language among all; documents below it are rejected.
 LEAST_SCORE = 0.5
@@ -24,6 +24,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Repeated rows and ids are judged one by one; a tie between languages goes to the first by name.
     """
+    small_batches(spark)
     taken = {c.lower() for c in docs.columns}
     pred, score = (next(n for n in (base + "_" * k for k in range(len(taken) + 1)) if n not in taken) for base in ("lang_pred", "score"))
     named = language.predicted(docs, language.learned(docs, PIECES), names=(pred, score))
@@ -32,11 +33,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def fuzzy_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; those that lose every line go."""
+    small_batches(spark)
     return lines.deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, similarity 0.8)."""
+    small_batches(spark)
     return near_documents.one_of_each(docs)
 
 
@@ -47,6 +50,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source and token_ids of every document."""
+    small_batches(spark)
     vocabulary = byte_bpe.Vocabulary(spark, RANKS, public_tokenizers.PATTERN)
     return byte_bpe.encoded(docs, vocabulary, ["doc_id", "lang", "source"])
 

@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from sentencepiece import sentencepiece_model_pb2 as spm
 
-from quillspark.llm.near_documents import slices
+from quillspark.llm.common import lean, slices
 
 FIRST_CHARACTER = 0x100
 #: Characters of text split at once.
 SLICE_CHARS = 1 << 20
-#: Pre-tokens remembered per Python worker.
+#: Pre-tokens remembered within a task.
 REMEMBERED = 1 << 18
 
 
@@ -72,7 +72,7 @@ class ByteBpe:
             found = [split(t or "") for t in texts[lo:hi]]
             new = set().union(*found) - self.seen.keys()
             if new and len(self.seen) > REMEMBERED + len(self.whole):
-                self.seen = dict(self.whole)
+                self.forget()
                 new = set().union(*found) - self.seen.keys()
             if new:
                 tokens, letters = list(new), self.letters
@@ -82,6 +82,10 @@ class ByteBpe:
             for tokens in found:
                 yield list(chain.from_iterable(map(ids_of, tokens)))
 
+    def forget(self) -> None:
+        """Forget the pre-tokens met; the vocabulary's own stay."""
+        self.seen = dict(self.whole)
+
     def encode(self, text: str | None) -> list[int]:
         return next(self.encode_all([text]))
 
@@ -132,8 +136,9 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, keep: list[str], text: str
             for lo, hi in slices([len(t or "") for t in texts], SLICE_CHARS):
                 ids = pa.array([array("i", x) for x in bpe.encode_all(texts[lo:hi])], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:-1], ids], names=schema.names)
+        bpe.forget()
 
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(lean(run), schema)
 
 
 def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -148,5 +153,6 @@ def round_trip(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
                 ids_sha.append(hashlib.sha256(bpe.written(ids).encode()).hexdigest())
                 back_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(back_sha, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        bpe.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

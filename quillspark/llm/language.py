@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quillspark.llm.near_documents import slices
+from quillspark.llm.common import lean, slices
 from quillspark.session import stored
 
 UNKNOWN = "und"
@@ -35,6 +35,8 @@ ROUNDS = 2
 #: Added to every expected count.
 SMOOTHING = 0.01
 SLICE_BYTES = 8 << 20
+#: Occurrences whose log-probabilities are added at once.
+SUMMED = 1 << 16
 _SLOT_BITS = 19
 _FACTORS = [0xC2B2AE3D27D4EB4F + 2 * k * 0x165667B19E3779F9 & (1 << 64) - 1 for k in range(200)]
 
@@ -50,6 +52,13 @@ def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     return coded.dictionary.to_pylist(), coded.indices.to_numpy(), starts.astype(np.int64)
 
 
+def summed(logs: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Sums of each text's rows of ``logs``, for SUMMED occurrences at a time."""
+    ends = np.append(starts[1:], len(at))
+    parts = [np.add.reduceat(logs[at[starts[lo] : ends[hi - 1]]], starts[lo:hi] - starts[lo]) for lo, hi in slices((ends - starts).tolist(), SUMMED)]
+    return np.concatenate(parts)
+
+
 def words_of(token: str) -> list[str]:
     """Runs of letters, in parts of at most LONGEST_WORD, with the start mark."""
     if token.isalpha() and len(token) <= LONGEST_WORD:
@@ -197,7 +206,7 @@ def word_counts(labelled: DataFrame) -> DataFrame:
                             counted[w] += int(n[t])
                     yield pa.RecordBatch.from_arrays([pa.array([lang] * len(counted), pa.string()), pa.array(list(counted), pa.string()), pa.array(list(counted.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counted = labelled.select("text", "lang").mapInArrow(run, "lang string, word string, n long")
+    counted = labelled.select("text", "lang").mapInArrow(lean(run), "lang string, word string, n long")
     return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
@@ -232,7 +241,7 @@ def fitted(labelled: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> Mode
             yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(piece.astype(np.int32)), pa.array(sums[k, piece])], names=["k", "piece", "n"])
 
         # one row per language and piece, whatever the corpus
-        found = counts.mapInArrow(run, "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
+        found = counts.mapInArrow(lean(run), "k int, piece int, n double").groupBy("k", "piece").agg(F.sum("n").alias("n")).toArrow()
         table = np.full((width, len(languages)), SMOOTHING)
         table[0] = 0
         np.add.at(table, (found.column("piece").to_numpy(), found.column("k").to_numpy()), found.column("n").to_numpy())
@@ -265,13 +274,13 @@ def predicted(docs: DataFrame, model: Model, text: str = "text", names: tuple[st
                 of, word = np.array(pairs).T
                 logs = np.zeros((len(tokens), len(languages)))
                 np.add.at(logs, of, lattice.log_probabilities(list(numbers), table)[word])
-                totals = np.add.reduceat(logs[at], starts)
+                totals = summed(logs, at, starts)
                 some = np.flatnonzero(totals[:, 0] < 0)  # texts with a letter
                 found[lo + some] = np.array(languages, dtype=object)[totals[some].argmax(axis=1)]
                 scores[lo + some] = 1 / np.exp(totals[some] - totals[some].max(axis=1, keepdims=True)).sum(axis=1)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(scores)], names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def remainder(doc_id: Column) -> Column:

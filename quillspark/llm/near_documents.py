@@ -19,31 +19,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import LOWER_ASCII, Words, as_bytes, mixed, probably_in, rolling, slices
+from quillspark.llm.common import LOWER_ASCII, Words, as_bytes, lean, mixed, probably_in, rolling, slices
 from quillspark.llm.linking import Linked, band_keys, minima, packed
 from quillspark.session import stored
 
 BANDS, ROWS = 16, 4
 SCHEMA = "doc_id long, n_shingles long, s0 long, s1 long, bands array<long>, g0 long, g1 long"
-_WORDS = Words()
 
 
-def shingle_set(text: bytes | None, width: int, words: Words = _WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the document's shingles."""
+def shingle_set(text: bytes | None, width: int, words: Words | None = None) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the document's shingles; ``words`` are those that a task knows."""
     found = (text or b"").translate(LOWER_ASCII).split()
     if not found:
         return np.empty(0, dtype=np.uint64)
-    hashes = words.hashes(found)
+    hashes = (words or Words()).hashes(found)
     # a short sequence gets a hash of its own kind, so that it never equals a run of a longer one
     return np.unique(rolling(hashes, width)) if len(found) >= width else mixed(rolling(hashes, len(found)) + np.uint64(len(found)))
 
 
 def _signed(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words()
         for batch in batches:
             texts, ids = as_bytes(batch.column(1)), batch.column(0)
             for lo, hi in slices([len(t or b"") for t in texts]):
-                sets = [shingle_set(t, width) for t in texts[lo:hi]]
+                sets = [shingle_set(t, width, words) for t in texts[lo:hi]]
                 sizes = np.array([len(s) for s in sets])
                 full = np.flatnonzero(sizes)
                 n = hi - lo
@@ -73,13 +73,14 @@ def candidate_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def near_documents(docs: DataFrame, width: int = 5, similarity: Fraction = Fraction(4, 5)) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs`` (doc_id, text)."""
-    signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed(width), SCHEMA), "signatures")
+    signed = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_signed(width)), SCHEMA), "signatures")
     key = ["n_shingles", "s0", "s1"]
     firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("rep"))
     placed = stored(signed.where("n_shingles > 0 and doc_id is not null").join(firsts, key), "placed")
     items = placed.where("doc_id = rep").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bands", "g0", "g1")
 
-    linked_items = Linked(items, similarity, lambda ids: candidate_texts(docs, ids), lambda text: shingle_set(text, width))
+    words = Words()  # sent empty: each task fills its own
+    linked_items = Linked(items, similarity, lambda ids: candidate_texts(docs, ids), lambda text: shingle_set(text, width, words))
     found = linked_items.components
     named = placed.select("doc_id", "n_shingles", "rep").join(found.select(F.col("vertex").alias("rep"), "component"), "rep", "left")
     linked = named.select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))

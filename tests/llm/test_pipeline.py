@@ -7,7 +7,8 @@ import corpus_pipeline
 import public_tokenizers
 import tiktoken
 
-from quillspark.llm import byte_bpe, catalog, lines
+from quillspark import session
+from quillspark.llm import byte_bpe, catalog, common, lines, near_documents
 from quillspark.session import stored
 
 FOLDER = "/root/testdata/sf0.001"
@@ -45,3 +46,39 @@ def test_stages(spark):
     assert all(r["token_ids"] == own.encode_ordinary(text[r["doc_id"]]) for r in seen["tokens"])
     again = corpus_pipeline.run(spark, FOLDER).collect()
     assert sorted((r["doc_id"], r["token_ids"]) for r in again) == sorted((r["doc_id"], r["token_ids"]) for r in seen["tokens"])
+
+
+def test_workers_keep_little_between_tasks(spark):
+    """Python workers outlive their tasks: what a task remembered or freed must not stay with them."""
+    def held():
+        with open("/proc/self/statm") as statm:
+            return int(statm.read().split()[1]) * 4096 / 2**20
+
+    def hold(batches):
+        for batch in batches:
+            some = [bytes(1000) for _ in range(200_000)]
+            kept.extend(some[::1000])
+            yield batch
+
+    kept, before = [], held()
+    assert list(common.lean(hold)(iter([0]))) == [0] and held() - before < 60
+
+    encoder = byte_bpe.Vocabulary(spark, catalog.RANKS, public_tokenizers.PATTERN).open()
+    encoder.encode("unheardofword")
+    assert "unheardofword" in encoder.seen
+    encoder.forget()
+    assert encoder.seen == encoder.whole
+    assert not hasattr(near_documents, "_WORDS")
+
+
+def test_text_batches_are_bounded(spark):
+    set_before = spark.conf.get(session.BATCH_SIZE, None)
+    try:
+        spark.conf.unset(session.BATCH_SIZE)
+        corpus_pipeline.STAGES[0][1](spark, corpus_pipeline.read_table(spark, FOLDER, "documents").limit(20), FOLDER)
+        assert int(spark.conf.get(session.BATCH_SIZE)) == session.BATCH_BYTES
+        spark.conf.set(session.BATCH_SIZE, "12345")
+        session.small_batches(spark)
+        assert spark.conf.get(session.BATCH_SIZE) == "12345"
+    finally:
+        spark.conf.unset(session.BATCH_SIZE) if set_before is None else spark.conf.set(session.BATCH_SIZE, set_before)
