@@ -222,17 +222,21 @@ def components(edges: DataFrame) -> DataFrame:
     """(vertex, component) of every vertex with a link; component is the smallest vertex reachable.
 
     ``edges`` has two long columns.  Each task first joins the links it holds, which saves rounds;
-    then alternating large-star and small-star steps until nothing changes.  Each round's links are
-    written to the shared folder, none of them reaches the driver.
+    then alternating large-star and small-star steps until nothing changes.  When what is left fits the
+    fixed number of links that a task joins at a time (16 bytes each), one task joins it and no more rounds
+    are made.  Each round's links are written to the shared folder, none of them reaches the driver.
     A vertex with very many links costs one partial minimum per task.
     """
     a, b = edges.columns[:2]
     links = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    links, mark = stored(links.mapInArrow(lean(_contracted), "u long, v long").distinct(), "links"), None
+    links, mark = stored(links.mapInArrow(lean(_contracted), "u long, v long"), "links"), None
     while True:
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
+        if now[0] <= CONTRACTED_LINKS:
+            links = stored(links.coalesce(1).mapInArrow(lean(_contracted), "u long, v long"), "links")
+            break
         mark = now
         links = stored(_small_star(_large_star(links.mapInArrow(lean(_contracted), "u long, v long"))), "links")
     roots = links.select(F.col("v").alias("vertex"), F.col("v").alias("component")).distinct()

@@ -36,6 +36,8 @@ SIMILARITY = Fraction(4, 5)
 BANDS, ROWS = 10, 4
 #: Bytes of lines hashed at once (few enough for a processor's cache), and lines that a task knows again.
 HASHED_BYTES, KNOWN_LINES = 1 << 16, 1 << 18
+#: LOWER_ASCII, and ASCII white space within a line to spaces.
+_SPACED = bytes(32 if b in b"\t\r\x0b\x0c" else b for b in LOWER_ASCII)
 _SCHEMA = "key long, doc_id long, row long, line int, bands array<long>, text binary"
 _NAMES = [c.split()[0] for c in _SCHEMA.split(", ")]
 
@@ -45,6 +47,14 @@ def plain(line: bytes) -> bytes:
     return b" ".join(line.translate(LOWER_ASCII).split())
 
 
+def forms_of(text: bytes) -> list[bytes]:
+    """plain() of each line, by passes over the whole text."""
+    text = text.translate(_SPACED)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return [line.strip(b" ") for line in text.split(b"\n")]
+
+
 def shingles(lines: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, starts): shingle hashes of all lines one after another, and where each line's begin."""
     padded = [t if len(t) >= SHINGLE else t.ljust(SHINGLE, "\0") for t in (x.decode("utf-8", "replace") for x in lines)]
@@ -102,31 +112,35 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, ids, rows = as_bytes(batch.column("text")), batch.column("doc_id").to_pylist(), batch.column("row").to_pylist()
         for lo, hi in slices([len(t or b"") for t in texts], 2 << 20):
-            found: list[tuple[int, int, int, int]] = []
+            keys: list[int] = []
+            places: list[int] = []
+            ends: list[int] = [0]
             firsts: list[int] = []
             forms: list[bytes] = []
             if len(known) > KNOWN_LINES:
                 known.clear()
-            for doc_id, row, text in zip(ids[lo:hi], rows[lo:hi], texts[lo:hi]):
-                # as plain(), with all lines of a text lower-cased at once
-                for k, line in enumerate((text or b"").translate(LOWER_ASCII).split(b"\n")):
-                    if form := b" ".join(line.split()):
-                        key = xxhash.xxh3_64_intdigest(form) - (1 << 63)
+            for text in texts[lo:hi]:
+                for k, form in enumerate(forms_of(text or b"")):
+                    if form:
+                        key = xxhash.xxh3_64_intdigest(form)
                         if key not in known:
                             known.add(key)
-                            firsts.append(len(found))
+                            firsts.append(len(keys))
                             forms.append(form)
-                        found.append((key, doc_id, row, k))
-            if not found:
+                        keys.append(key)
+                        places.append(k)
+                ends.append(len(keys))
+            if not keys:
                 continue
-            at = np.full(len(found), -1)
+            at = np.full(len(keys), -1)
             at[firsts] = np.arange(len(forms))
             take = pa.array(at, mask=at < 0)
-            keys = _banded(forms)
-            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-            key, doc_id, row, line = zip(*found)
+            banded = _banded(forms)
+            bands = pa.ListArray.from_arrays(pa.array(np.arange(0, banded.size + 1, BANDS, dtype=np.int32)), pa.array(banded.ravel()))
+            key = (np.array(keys, dtype=np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+            doc_id, row = (np.repeat(np.array(some[lo:hi], dtype=np.int64), np.diff(ends)) for some in (ids, rows))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(row, pa.int64()), pa.array(line, pa.int32()), bands.take(take), pa.array(forms, pa.binary()).take(take)],
+                [pa.array(key), pa.array(doc_id), pa.array(row), pa.array(places, pa.int32()), bands.take(take), pa.array(forms, pa.binary()).take(take)],
                 names=_NAMES,
             )
 
@@ -150,7 +164,8 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     narrow = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), _row().alias("row"), F.col("text").cast("binary").alias("text"))
     path = scratch_path(spark, "lines")
-    narrow.mapInArrow(lean(_signed), _SCHEMA).write.option("compression", "zstd").parquet(path)
+    # hardly any band or text occurs twice: dictionaries of them would be made and thrown away
+    narrow.mapInArrow(lean(_signed), _SCHEMA).write.option("compression", "zstd").option("parquet.enable.dictionary", "false").parquet(path)
     lines = spark.read.parquet(path)
     signed = lines.where("bands is not null")
 
@@ -180,20 +195,23 @@ def _cut(text: bytes | None, lines: list[int] | None) -> tuple[bytes | None, int
     return b"\n".join([x for k, x in enumerate(split) if k not in gone]) if gone else text, len(split), len(gone)
 
 
-def _applied(docs: DataFrame) -> DataFrame:
-    """docs with its text as _kept (bytes) and _n, _gone: lines before, lines removed."""
+def _applied(docs: DataFrame, digests: bool = False) -> DataFrame:
+    """docs with _kept, _n, _gone in place of its text: kept text (bytes; its SHA-256 with digests), lines before, lines removed."""
     gone = removed_lines(docs)
     gone = gone.select(F.col("row").alias("__row_gone"), F.col("lines").alias("__lines"))
     marked = probably_in(docs.withColumn("__row", _row()), "__row", gone.select("__row_gone"))
-    schema = StructType([*docs.schema.fields, StructField("_kept", BinaryType()), StructField("_n", IntegerType()), StructField("_gone", IntegerType())])
-    names, width = docs.columns, len(docs.columns)
+    others = [f for f in docs.schema.fields if f.name != "text"]
+    schema = StructType([*others, StructField("_kept", BinaryType()), StructField("_n", IntegerType()), StructField("_gone", IntegerType())])
+    names = [*[f.name for f in others], "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines = as_bytes(batch.column(names.index("text"))), batch.column(width).to_pylist()
+            texts, lines = as_bytes(batch.column(len(others))), batch.column(len(others) + 1).to_pylist()
             for lo, hi in slices([len(t or b"") for t in texts]):
                 kept, n, cut = zip(*map(_cut, texts[lo:hi], lines[lo:hi]))
-                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[:width], pa.array(kept, pa.binary()), pa.array(n, pa.int32()), pa.array(cut, pa.int32())], names=schema.names)
+                if digests:
+                    kept = [hashlib.sha256(t or b"").digest() for t in kept]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(others)], pa.array(kept, pa.binary()), pa.array(n, pa.int32()), pa.array(cut, pa.int32())], names=schema.names)
 
     whole = marked.where("not _maybe").select(*names, F.lit(None).cast("array<int>").alias("__lines"))
     cut = marked.where("_maybe").join(gone, F.col("__row") == F.col("__row_gone"), "left").select(*names, "__lines")
@@ -208,5 +226,5 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed and kept_sha256 (lowercase hex of the kept text, UTF-8) of every row."""
-    sha = F.sha2(F.coalesce("_kept", F.lit("").cast("binary")), 256)
-    return _applied(docs.select("doc_id", "text")).select("doc_id", F.col("_n").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), sha.alias("kept_sha256"))
+    sha = F.lower(F.hex("_kept"))
+    return _applied(docs.select("doc_id", "text"), digests=True).select("doc_id", F.col("_n").cast("long").alias("n_lines"), F.col("_gone").cast("long").alias("n_removed"), sha.alias("kept_sha256"))

@@ -7,6 +7,7 @@ made only for items that share a bucket.  Repeated rows of an item are one item.
 1. Every member of a bucket is compared with the bucket's smallest member: by signature, then on the full
    sets.  What is linked forms groups; a bucket of thousands of copies costs one comparison each.  Members
    (two longs each) are shuffled once and sorted by bucket; a task reads them as they come and holds one row.
+   Only members that are not alone in their bucket are sorted by id as well.
 2. Where a bucket still holds several groups, the signatures of its other members are compared across
    groups, in blocks of bounded size.  Each block passes on only links that join the same items as all
    its likely pairs, so the rows grow with the members, not with their pairs.  Together with the first
@@ -22,6 +23,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,8 @@ CHANCE = 0.25
 BLOCK = 256
 #: Bytes of paired texts whose sets are held at once.
 CONFIRMED_BYTES = 1 << 19
+#: Numbers in a table of sets and elements held at once.
+HELD_CELLS = 1 << 21
 _DRAWN = np.random.default_rng(20).integers(0, 1 << 32, (2, PERMUTATIONS), dtype=np.uint64).astype(np.uint32)
 FLIP, ODD = _DRAWN[0], _DRAWN[1] | np.uint32(1)
 _PAIRED = 0x5555555555555555
@@ -108,6 +112,30 @@ def grouped(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(rest)
 
 
+def _several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The (band, id) whose band other rows have, too, from rows sorted by band.
+
+    The last row of a batch is held back, as the next one may have its band.
+    """
+    band, item, some = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=bool)
+
+    def rows(some: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(band[some]), pa.array(item[some])], names=["band", "id"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        band, item = (np.concatenate([old[-1:], batch.column(k).to_numpy()]) for k, old in enumerate((band, item)))
+        same = band[1:] == band[:-1]
+        some = np.concatenate([some[-1:], np.zeros(batch.num_rows, dtype=bool)])
+        some[1:] |= same
+        some[:-1] |= same
+        if some[:-1].any():
+            yield rows(np.append(some[:-1], False))
+    if some[-1:].any():
+        yield rows(np.append(np.zeros(len(band) - 1, dtype=bool), True))
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Distinct (band, id) of the buckets with several members, from rows sorted by both.
 
@@ -186,42 +214,52 @@ def _likely(needed: int, ratio: float):
     return run
 
 
+def _common(holder: np.ndarray, element: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """(left, right) numbers of common elements, from the (holder, element) in the order of elements numbered from 0."""
+    both = np.zeros((len(left), len(right)))
+    count = int(np.concatenate([left, right, holder]).max()) + 1
+    step = max(1, HELD_CELLS // count)
+    for lo in range(0, element[-1] + 1 if len(element) else 0, step):
+        a, b = np.searchsorted(element, [lo, lo + step])
+        has = np.zeros((count, element[b - 1] + 1 - lo), dtype=np.float32)
+        has[holder[a:b], element[a:b] - lo] = 1
+        both += has[left] @ has[right].T
+    return both
+
+
 def _linked_in(sets: list[np.ndarray], comp: np.ndarray, side: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning pairs of the links across groups in one cell; intersections are counted through the elements' holders."""
-    sizes = np.array([len(x) for x in sets])
-    _, element = np.unique(np.concatenate(sets), return_inverse=True)
-    holder = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(element, kind="stable")
-    by_element = holder[order]
-    first = np.searchsorted(element[order], np.arange(element.max() + 1 if len(element) else 0))
-    count = np.diff([*first, len(element)])
-    ends = np.cumsum(sizes)
-    found_i, found_j = [], []
-    for i in np.flatnonzero(side != 1):
-        mine = element[ends[i] - sizes[i] : ends[i]]
-        n = count[mine]
-        # positions of all holders of my elements, one run per element
-        runs = np.repeat(first[mine] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        both = np.bincount(by_element[runs], minlength=len(sets))
-        near = both * similarity.denominator >= similarity.numerator * (sizes + sizes[i] - both)
-        j = np.flatnonzero(near & (both > 0) & (comp != comp[i]) & (side != 0 if side[i] == 0 else True))
-        found_i.append(np.full(len(j), i))
-        found_j.append(j)
-    if not found_i:
+    """Spanning pairs of the links across groups in one cell; elements are sets' rows in a table of zeros and ones."""
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    if not len(left) or not len(right):
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    return spanning(len(sets), np.concatenate(found_i).astype(np.int64), np.concatenate(found_j).astype(np.int64))
+    sizes = np.array([len(x) for x in sets])
+    values = np.concatenate(sets)
+    order = np.argsort(values)
+    holder, ordered = np.repeat(np.arange(len(sets)), sizes)[order], values[order]
+    new = np.ones(len(ordered) + 1, dtype=bool)
+    new[1:-1] = ordered[1:] != ordered[:-1]
+    shared = ~(new[1:] & new[:-1])
+    element = np.cumsum(new[:-1][shared]) - 1
+    both = _common(holder[shared], element, left, right)
+    near = both * similarity.denominator >= similarity.numerator * (sizes[left][:, None] + sizes[right][None, :] - both)
+    i, j = np.nonzero(near & (both > 0) & (comp[left][:, None] != comp[right][None, :]))
+    return spanning(len(sets), left[i], right[j])
 
 
 def _exact(sets_of: Callable[[list[bytes]], list[np.ndarray]], similarity: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, "cell"):
             ids, comp, side = (table.column(c).to_numpy() for c in ("id", "comp", "side"))
+            cells, column = list(_cells(table)), table.column("text")
+            sizes = np.concatenate([[0], np.cumsum(pc.binary_length(column).to_numpy())])
             xs, ys = [], []
-            for lo, hi in _cells(table):
-                sets = sets_of(table.column("text").slice(lo, hi - lo).to_pylist())
-                i, j = _linked_in(sets, comp[lo:hi], side[lo:hi], similarity)
-                xs.append(ids[lo + i])
-                ys.append(ids[lo + j])
+            for a, b in slices([int(sizes[hi] - sizes[lo]) for lo, hi in cells], CONFIRMED_BYTES):
+                start, end = cells[a][0], cells[b - 1][1]
+                sets = sets_of(column.slice(start, end - start).to_pylist())
+                for lo, hi in cells[a:b]:
+                    i, j = _linked_in(sets[lo - start : hi - start], comp[lo:hi], side[lo:hi], similarity)
+                    xs.append(ids[lo + i])
+                    ys.append(ids[lo + j])
             if xs:
                 yield _pairs(xs, ys)
 
@@ -274,7 +312,8 @@ class Linked:
         sets_of = sets_of or (lambda many: [set_of(t) for t in many])
         ratio, needed = float(similarity) - 1e-9, needed_matches(float(similarity))
         buckets = items.select("id", F.explode("bands").alias("band"))
-        ordered = buckets.select("band", "id").repartition("band").sortWithinPartitions("band", "id")
+        dealt = buckets.select("band", "id").repartition("band").sortWithinPartitions("band")
+        ordered = dealt.mapInArrow(_several, "band long, id long").sortWithinPartitions("band", "id")
         shared = stored(ordered.mapInArrow(lean(_shared), "band long, id long, lead long, several boolean"), "buckets")
         full = texts(shared.select("id").distinct())
         signs = (full if "n" in full.columns else items).select("id", "n", "g0", "g1").dropDuplicates(["id"])

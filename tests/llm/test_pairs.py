@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from llm_cases import DOCS, frame, sources
+from pyspark.sql import functions as F
 
 from quillspark.llm import common, lines, linking, near_documents, near_vectors, substrings
 
@@ -255,6 +256,64 @@ def test_bucket_members_in_batches():
         assert all(more == (len(members[b]) > 2) for b, i, lead, more in got if i != lead)
 
 
+def test_members_alone_in_their_bucket_go_first():
+    """Batches sorted by band only; what is left keeps every bucket of several rows whole."""
+    rng = np.random.default_rng(4)
+    for _ in range(100):
+        rows = sorted(((int(rng.integers(12)), int(rng.integers(-3, 4))) for _ in range(int(rng.integers(30)))), key=lambda r: r[0])
+        cuts = [0, *sorted(rng.integers(0, len(rows) + 1, 4).tolist()), len(rows)]
+        batches = [pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[a:b]], pa.int64()) for k in (0, 1)], names=["band", "id"]) for a, b in zip(cuts, cuts[1:])]
+        got = [tuple(r.values()) for out in linking._several(iter(batches)) for r in out.to_pylist()]
+        assert got == [r for r in rows if sum(x[0] == r[0] for x in rows) > 1]
+
+
+def test_few_links_are_joined_in_one_pass(spark, monkeypatch):
+    """A chain that lies over several tasks needs no rounds when it fits one task; longer tables take rounds, with the same result."""
+    written, kept = [], common.stored
+    monkeypatch.setattr(common, "stored", lambda df, label: written.append(label) or kept(df, label))
+    links = spark.range(0, 4000, 1, 8).select(((F.col("id") * 7) % 4001).alias("a"), ((F.col("id") + 1) * 7 % 4001).alias("b")).repartition(8)
+    assert {r["component"] for r in common.components(links).collect()} == {0}
+    assert len(written) == 2
+    few = links.where("a % 5 > 0 and b % 5 > 0")
+    want = sorted(map(tuple, common.components(few).collect()))
+    written.clear()
+    monkeypatch.setattr(common, "CONTRACTED_LINKS", 10)
+    assert sorted(map(tuple, common.components(few).collect())) == want
+    assert len(written) > 2
+
+
+def test_links_in_a_cell_against_brute_force(monkeypatch):
+    rng = np.random.default_rng(9)
+    for k in range(300):
+        monkeypatch.setattr(linking, "HELD_CELLS", int(rng.choice([1, 50, 1 << 21])))
+        count, base = int(rng.integers(1, 25)), rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+        sets = [np.unique(np.where(rng.random(40) < 0.08, rng.integers(0, 1 << 63, 40, dtype=np.uint64), base)[: rng.integers(0, 41)]) for _ in range(count)]
+        comp, side = rng.integers(0, 6, count), rng.integers(0, 2, count) if k % 2 else np.full(count, 2)
+        groups = Union(range(count))
+        for a, b in combinations(range(count), 2):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if comp[a] != comp[b] and (side[a] == 2 or side[a] != side[b]) and both and 5 * both >= 4 * (len(sets[a]) + len(sets[b]) - both):
+                groups.join(a, b)
+        i, j = linking._linked_in(sets, comp, side, Fraction(4, 5))
+        assert dict(zip(i.tolist(), j.tolist())) == {x: groups.find(x) for x in range(count) if groups.find(x) != x}
+
+
+def test_forms_of_a_text_are_those_of_its_lines():
+    rng = np.random.default_rng(10)
+    for _ in range(500):
+        text = bytes(rng.choice(list(b" \t\r\n\x0b\x0c  aB\x1c\x85\xc3\xa9\n"), int(rng.integers(0, 40))).astype(np.uint8))
+        assert lines.forms_of(text) == [lines.plain(x) for x in text.split(b"\n")]
+
+
+def test_line_results_leave_texts_behind(spark):
+    """Texts go through Python once: out come digests, or the kept texts, not the original text as well."""
+    docs = sources(spark, {1: "a line here\nanother line", 2: "a line here", 3: None})
+    assert "text" not in lines._applied(docs).columns
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in lines.counted(docs).collect()}
+    sha = {t: hashlib.sha256(t).hexdigest() for t in (b"a line here\nanother line", b"")}
+    assert got == {1: (2, 0, sha[b"a line here\nanother line"]), 2: (1, 1, sha[b""]), 3: (0, 0, sha[b""])}
+
+
 def test_line_edge_cases(spark):
     out = lines.counted(frame(spark)).collect()
     assert len(out) == len(DOCS)
