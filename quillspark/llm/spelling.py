@@ -225,6 +225,15 @@ def looked_up(word: bytes, grams: Grams) -> tuple[int, list[int]]:
     return last, list(keys)
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A join's side that grows with the words: both sides are shuffled and merged, never broadcast.
+
+    Spark takes what a Python function gives to be as large as what it was given (here a word has 4 keys, or some 20), and
+    a stored table to be as large as its compressed files; below its threshold it may send millions of rows through the driver.
+    """
+    return side.hint("merge")
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """(a, n_a, b, n_b) with a < b of all near words of (word, n), each pair once; words of 4 letters or more."""
     grams = words.sparkSession.sparkContext.broadcast(Grams(gram_counts(words)))
@@ -242,7 +251,7 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
         return words.select("word", "n").mapInArrow(run, "key long, last int, word string, n long")
 
-    i, p = keyed(indexed).alias("i"), keyed(looked_up).alias("p")
+    i, p = keyed(indexed).alias("i"), _shuffled(keyed(looked_up)).alias("p")
     met = i.join(p, (F.col("i.key") == F.col("p.key")) & (F.col("i.last") <= F.col("p.last")) & (F.abs(F.length("i.word") - F.length("p.word")) <= 1) & (F.levenshtein("i.word", "p.word", 1) == 1))
     first = F.col("i.word") < F.col("p.word")
     sides = [F.when(first, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name) for x, y, c, name in (("i", "p", "word", "a"), ("i", "p", "n", "n_a"), ("p", "i", "word", "b"), ("p", "i", "n", "n_b"))]
@@ -254,7 +263,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     links = stored(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         further = links.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = stored(links.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
+        moved = stored(links.join(_shuffled(further), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "spelling-roots")
         links = moved.select("word", "root")
         if moved.where("moved").isEmpty():
             return links
@@ -272,6 +281,6 @@ def variants(docs: DataFrame, min_chars: int = MIN_CHARS, min_count: int = MIN_C
     more = -F.col("best.minus_n") >= FORM_TIMES * F.col("n")
     near = stored(likely.select("word", "n_near", F.when(more, F.col("best.near")).alias("form"), F.when(more, -F.col("best.minus_n")).alias("form_n")), "spelling-near")
     roots = _roots(near.where("form is not null").select("word", "form"))
-    return words.join(near, "word", "left").join(roots, "word", "left").select(
+    return words.join(_shuffled(near), "word", "left").join(_shuffled(roots), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0)).alias("n_near"), "form_n"
     )

@@ -73,6 +73,24 @@ def test_variants_as_brute_force(spark, letters):
     assert got == brute_variants(docs)
 
 
+def test_variants_broadcast_no_table(spark):
+    """Words, keys and roots grow with the input; small ones would be broadcast, and more rows of them than Spark expects."""
+    rng = random.Random(11)
+    base = ["".join(rng.choice("abcdé") for _ in range(rng.randrange(5, 12))) for _ in range(40)]
+    words = base + [edited(w, rng, "abcdé") for w in base for _ in range(4)]
+    words += [x for w in words for x in [w] * rng.randrange(12)]
+    docs = [(d, " ".join(rng.choice(words) for _ in range(200))) for d in range(20)]
+    limit = "spark.sql.maxBroadcastTableSize"
+    before = spark.conf.get(limit)
+    spark.conf.set(limit, "1b")  # any broadcast of rows fails
+    try:
+        got = {tuple(r) for r in spelling.variants(frame(spark, docs)).collect()}
+    finally:
+        spark.conf.set(limit, before)
+    assert got == brute_variants(docs)
+    assert any(form and root != form for _, form, root, *_ in got)
+
+
 def test_variants_of_no_rows(spark):
     assert spelling.variants(frame(spark, [])).count() == 0
 
